@@ -235,3 +235,19 @@ def remove_stop_words(tokens, stop_words=None) -> Column:
     stop = F.array(*[F.lit(w) for w in words])
     return F.filter(_c(tokens),
                     lambda t: (~F.array_contains(stop, t)) & (F.length(F.translate(t, PUNCTUATION, "")) > 0))
+
+
+# Generators --------------------------------------------------------------------
+def explode_nonempty(df, arr, alias: str, *keep, with_pos: str | None = None):
+    """Rows of ``df`` times the elements of ``arr`` (a Column), NULL elements dropped.
+
+    ``explode_outer`` plus a filter on the generated column. A plain ``explode``
+    lets Catalyst infer ``size(arr) > 0`` and push that filter below the
+    projection that computes ``arr``, so an expensive array (tokenization,
+    labelling) would be computed twice per row.
+    """
+    if with_pos:
+        out = df.select(*keep, F.posexplode_outer(arr).alias(with_pos, alias))
+    else:
+        out = df.select(*keep, F.explode_outer(arr).alias(alias))
+    return out.where(F.col(alias).isNotNull())

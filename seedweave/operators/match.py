@@ -14,7 +14,7 @@ grow past the number of labels of the dictionary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedweave.operators.common import size_checked_broadcast
@@ -25,8 +25,9 @@ DISTINCT = "distinct"
 
 def explode_tokens(docs: DataFrame, tokens, id_col: str = "doc_id", distinct: bool = False) -> DataFrame:
     """(doc_id, word) rows, one per token occurrence (or per distinct token)."""
+    from seedweave.functions.text import explode_nonempty
     arr = F.array_distinct(tokens) if distinct else tokens
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(arr).alias("word"))
+    return explode_nonempty(docs, arr, "word", F.col(id_col).alias("doc_id"))
 
 
 def seed_hits(tokens: DataFrame, seeds: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -122,11 +123,15 @@ def production_labels(docs: DataFrame, text_col: str, seeds: DataFrame, n_dict_l
     """
     from seedweave.functions.text import ngrams_upto, word_tokens
 
-    grams = docs.select(F.col(id_col).alias("doc_id"),
-                        F.array_distinct(ngrams_upto(word_tokens(text_col), max_n)).alias("grams"))
-    grams = grams.where(F.size("grams") > 0)
+    from seedweave.functions.text import WORD_RE
+    # A document without any token is dropped; tested on the raw text so that
+    # no filter on a derived array is pushed below (and re-runs) the tokenizer.
+    has_tok = docs.where(F.col(text_col).rlike(WORD_RE))
+    toks = has_tok.select(F.col(id_col).alias("doc_id"), word_tokens(text_col).alias("tok"))
+    grams = toks.select("doc_id", F.array_distinct(ngrams_upto("tok", max_n)).alias("grams"))
     # Broadcast semi join before any shuffle: only n-grams that are seeds move.
-    toks = grams.select("doc_id", F.explode("grams").alias("word"))
+    from seedweave.functions.text import explode_nonempty
+    toks = explode_nonempty(grams, F.col("grams"), "word", "doc_id")
     counts = label_counts(toks, seeds)
     picked = share_rule(counts, n_dict_labels, threshold, fallback=True)
     return (grams.select("doc_id")
@@ -143,8 +148,9 @@ def tag_matches(docs: DataFrame, text_col: str, synonyms: DataFrame, tag_ids: Da
     """
     from seedweave.functions.text import ngrams_upto, word_tokens
 
-    grams = docs.select(F.col(id_col).alias("doc_id"),
-                        F.explode(F.array_distinct(ngrams_upto(word_tokens(text_col), max_n))).alias("word"))
+    toks = docs.select(F.col(id_col).alias("doc_id"), word_tokens(text_col).alias("tok"))
+    from seedweave.functions.text import explode_nonempty
+    grams = explode_nonempty(toks, F.array_distinct(ngrams_upto("tok", max_n)), "word", "doc_id")
     counts = label_counts(grams, synonyms.withColumnRenamed("tag", "label"))
     hit = (counts.where(F.col("n") >= min_hits)
            .join(F.broadcast(tag_ids.withColumnRenamed("tag", "label")), "label")
@@ -153,3 +159,45 @@ def tag_matches(docs: DataFrame, text_col: str, synonyms: DataFrame, tag_ids: Da
     expanded = expand_links(hit, links, key="doc_id", node="tag_id", hops=hops)
     known = tag_ids.select("tag_id").distinct()
     return expanded.join(F.broadcast(known), "tag_id", "left_semi").select("doc_id", "tag_id").distinct()
+
+
+# ---------------------------------------------------------------------------
+# In-row labelling for small dictionaries (no explode, no shuffle)
+# ---------------------------------------------------------------------------
+MAX_INROW_SEED_WORDS = 5_000
+
+
+def inrow_label_counts(tokens, seeds: dict) -> Column:
+    """Hits per label (sorted label order) computed inside the row."""
+    def hits(words):
+        arr = F.lit(sorted(set(words)))  # one constant, not an array built per token
+        return F.size(F.filter(tokens, lambda t: F.array_contains(arr, t)))
+
+    return F.array(*[hits(seeds[label]) for label in sorted(seeds)])
+
+
+def inrow_share_labels(df: DataFrame, tokens: str, seeds: dict, threshold: float = 0.2,
+                       out: str = "labels") -> DataFrame:
+    """P2 inside the row: adds ``out``, the label array of each document (empty: no hit).
+
+    Used by the refinement loop, where the dictionary is small and known on the
+    driver: the whole labelling is one narrow stage, no explode and no shuffle.
+    The counts are projected once, then read by the rule (no recomputation).
+    """
+    n_words = sum(len(v) for v in seeds.values())
+    if n_words > MAX_INROW_SEED_WORDS:
+        raise ValueError("dictionary too large for in-row matching; use pseudo_labels()")
+    labels = sorted(seeds)
+    lab = F.lit(labels)
+    with_counts = df.withColumn("_cnt", inrow_label_counts(F.col(tokens), seeds))
+    with_counts = with_counts.withColumn("_tot", F.aggregate("_cnt", F.lit(0), lambda a, b: a + b))
+    pairs = F.arrays_zip(lab.alias("l"), F.col("_cnt").alias("n"))
+    if len(labels) < 3:
+        picked = F.filter(pairs, lambda p: p["n"] > 0)
+    else:
+        picked = F.filter(pairs, lambda p: F.try_divide(p["n"], F.col("_tot")) >= F.lit(threshold))
+    with_picked = with_counts.withColumn("_pick", F.transform(picked, lambda p: p["l"]))
+    best = F.array(F.element_at(lab, F.array_position("_cnt", F.array_max("_cnt")).cast("int")))
+    label_col = (F.when(F.col("_tot") == 0, F.array().cast("array<string>"))
+                 .when(F.size("_pick") > 0, F.col("_pick")).otherwise(best))
+    return with_picked.withColumn(out, label_col).drop("_cnt", "_tot", "_pick")

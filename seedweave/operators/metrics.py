@@ -28,8 +28,9 @@ def labels_per_doc_histogram(docs: DataFrame, pred: DataFrame, max_k: int = 4) -
 
 def dictionary_sizes(dicts: DataFrame) -> DataFrame:
     """Words per (iteration, label), per iteration and overall (rollup)."""
-    return (dicts.rollup("iteration", "label").agg(F.count(F.lit(1)).alias("n_words"))
-            .select("iteration", "label", "n_words"))
+    r = dicts.rollup("iteration", "label").agg(F.count(F.lit(1)).alias("n_words"))
+    return r.select(F.coalesce(F.col("iteration").cast("int"), F.lit(-1)).alias("iteration"),
+                    F.coalesce("label", F.lit("*")).alias("label"), "n_words")
 
 
 def confusion(pred: DataFrame, truth: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedweave.functions.text import filter_tokens, sentences
+from seedweave.functions.text import explode_nonempty, filter_tokens, sentences
 from seedweave.operators.common import size_checked_broadcast
 from seedweave.operators.windows import global_index
 
@@ -13,7 +13,7 @@ DOC_POS_FACTOR = 1_000_000  # position key = doc_id * factor + token position
 
 
 def token_rows(docs: DataFrame, tokens, id_col: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens).alias("pos", "word"))
+    return explode_nonempty(docs, tokens, "word", F.col(id_col).alias("doc_id"), with_pos="pos")
 
 
 def vocabulary(docs: DataFrame, tokens, id_col: str = "doc_id", max_words: int | None = None) -> DataFrame:
