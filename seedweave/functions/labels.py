@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedweave.operators.common import local_table
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -29,7 +31,7 @@ def labels_array(labels: list[str]) -> Column:
 
 def label_index_table(spark, labels: list[str]) -> DataFrame:
     """(label, idx) in alphabetical order, 0-based."""
-    return spark.createDataFrame([(l, i) for i, l in enumerate(sorted(labels))], "label string, idx int")
+    return local_table(spark, [(l, i) for i, l in enumerate(sorted(labels))], ["label", "idx"], ["string", "int"])
 
 
 def one_hot(label, labels: list[str]) -> Column:

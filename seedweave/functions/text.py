@@ -103,9 +103,16 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
 
 
+# Whitespace-delimited words holding a digit. Same matches as \S*\p{Nd}\S*
+# (leftmost match starts at the word start and runs to its end), but anchored at
+# word starts with a possessive prefix, so the engine never backtracks through
+# long digit-free words.
+DIGIT_WORD_RE = r"(?<!\S)[^\s\p{Nd}]*+\p{Nd}\S*"
+
+
 def small_clean(c) -> Column:
     """Casefold, delete tokens holding a digit, strip, squeeze spaces."""
-    x = F.regexp_replace(casefold(c), r"\S*\p{Nd}\S*", "")
+    x = F.regexp_replace(casefold(c), DIGIT_WORD_RE, "")
     return F.regexp_replace(strip_ws(x), " +", " ")
 
 

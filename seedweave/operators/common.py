@@ -33,3 +33,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def round_cols(df: DataFrame, cols, places: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(c), places).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def local_table(spark: SparkSession, rows, columns: list[str], types: list[str] | None = None) -> DataFrame:
+    """A small inline table (SQL ``VALUES``): a local relation planned in the JVM.
+
+    Unlike ``createDataFrame`` on a Python list it needs no Python workers, and
+    Catalyst knows its exact size, so it is broadcast only because it is small.
+    """
+    rows = list(rows)
+    cols = ", ".join(columns)
+    if not rows:
+        schema = ", ".join(f"{c} {t}" for c, t in zip(columns, types or ["string"] * len(columns)))
+        return spark.createDataFrame([], schema)
+    body = ", ".join("(" + ", ".join(_sql_lit(v) for v in r) + ")" for r in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {body} AS t({cols})")
+    if types:
+        df = df.select(*[F.col(c).cast(t).alias(c) for c, t in zip(columns, types)])
+    return df

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seedweave.operators.common import local_table
+
 from seedweave.functions.text import PUNCTUATION, char_class, strip_punctuation
 from seedweave.operators import mapping as mp
 from seedweave.plans.fixtures import (TAG_IDS, TAG_LINKS, WORD_CATEGORY, pairs_values_sql)
@@ -15,7 +17,7 @@ _PUNCT_SQL = char_class(PUNCTUATION).replace("'", "''")
 
 
 def _word_category(spark):
-    return spark.createDataFrame(WORD_CATEGORY, "key string, value string")
+    return local_table(spark, WORD_CATEGORY, ["key", "value"])
 
 
 def _part_lists(spark, sf):
@@ -111,7 +113,7 @@ SELECT DISTINCT p_partkey, tag_id FROM (SELECT * FROM base UNION ALL SELECT * FR
 def j8_linked_tags(spark, sf):
     """One-hop expansion over the tag-link graph (tag of a part := p_size mod 7)."""
     base = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 7).cast("int").alias("tag_id"))
-    links = spark.createDataFrame(TAG_LINKS, "src int, dst int")
+    links = local_table(spark, TAG_LINKS, ["src", "dst"], ["int", "int"])
     return mp.expand_links(base, links, "p_partkey", "tag_id", hops=1)
 
 

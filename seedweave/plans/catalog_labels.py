@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seedweave.operators.common import local_table
+
 from seedweave.functions import labels as lb
 from seedweave.functions.text import filter_tokens
 from seedweave.operators import match
@@ -141,7 +143,7 @@ SELECT lbl.label, count(p2.doc_id) AS n FROM lbl LEFT JOIN p2 USING (label) GROU
 """)
 def a9_label_distribution(spark, sf):
     from seedweave.operators.metrics import label_distribution
-    return label_distribution(_p2(spark, sf), spark.createDataFrame([(l,) for l in LABELS], "label string"))
+    return label_distribution(_p2(spark, sf), local_table(spark, [(l,) for l in LABELS], ["label"]))
 
 
 @query("a10_labels_per_doc", f"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seedweave.operators.common import local_table
+
 from seedweave.functions.text import ENGLISH_STOP_WORDS, EXTRA_STOP_WORDS, filter_tokens
 from seedweave.operators import match
 from seedweave.plans.fixtures import SEEDS, seeds_values_sql, sql_filter_tokens, sql_str
@@ -86,5 +88,5 @@ def u7_stop_words_plus_frequent(spark, sf):
         F.count(F.lit(1)).alias("df"))
     n = d.agg(F.count(F.lit(1))).scalar()  # scalar subquery: no driver round trip
     frequent = df.where(F.col("df") > 0.5 * n).select("word")
-    stop = spark.createDataFrame([(w,) for w in _STOP], "word string")
+    stop = local_table(spark, [(w,) for w in _STOP], ["word"])
     return stop.union(frequent).distinct()

@@ -17,11 +17,9 @@ SEED_SCHEMA = "map<string, array<string>>"
 
 def seeds_from_dict(spark: SparkSession, seeds: dict) -> DataFrame:
     """(label, word, pos) from an in-memory {label: [word]} dictionary."""
+    from seedweave.operators.common import local_table
     rows = [(label, word, i) for label, words in seeds.items() for i, word in enumerate(words)]
-    schema = T.StructType([T.StructField("label", T.StringType(), False),
-                           T.StructField("word", T.StringType(), False),
-                           T.StructField("pos", T.IntegerType(), False)])
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, ["label", "word", "pos"], ["string", "string", "int"])
 
 
 def _decode_twice(col):
