@@ -90,3 +90,27 @@ def sql_ngrams_upto(tok: str, n_max: int) -> str:
     for p in parts[1:]:
         out = f"list_concat({out}, {p})"
     return out
+
+
+# Tags over the conversation languages (for the company job) and their links.
+TEXT_TAGS = {
+    "article": ["the", "der", "le", "el", "la"],
+    "conjunction": ["and", "und", "et", "y"],
+    "phrase": ["of the", "de la", "in der"],
+    "preposition": ["of", "in", "de", "von", "dans"],
+}
+TEXT_TAG_IDS = {"article": 1, "conjunction": 2, "phrase": 3, "preposition": 4}
+TEXT_TAG_LINKS = [(3, 1), (3, 4), (2, 7)]
+
+# Batch timestamp written with classified rows (a parameter of the job).
+ACQ_DATE = "2024-01-01 00:00:00"
+
+
+def synonyms_values_sql(syn: dict) -> str:
+    rows = ", ".join(f"({sql_str(t)}, {sql_str(w)})" for t, ws in syn.items() for w in ws)
+    return f"(SELECT * FROM (VALUES {rows}) AS s(tag, word))"
+
+
+def ids_values_sql(ids: dict) -> str:
+    rows = ", ".join(f"({sql_str(t)}, {i})" for t, i in ids.items())
+    return f"(SELECT * FROM (VALUES {rows}) AS s(tag, tag_id))"
