@@ -24,7 +24,7 @@ def seeds_from_dict(spark: SparkSession, seeds: dict) -> DataFrame:
 
 def _decode_twice(col):
     """Accept plain JSON and JSON encoded as a JSON string (Q9)."""
-    inner = F.from_json(col, "string")
+    inner = F.get_json_object(F.concat(F.lit('{"v":'), col, F.lit("}")), "$.v")
     looks_quoted = F.regexp_like(F.trim(col), F.lit('^".*"$'))
     return F.when(looks_quoted, inner).otherwise(col)
 
