@@ -136,3 +136,27 @@ def k15_similar_words(spark, sf):
                                                  F.round("similarity", 6).alias("similarity"))
         out = syn if out is None else out.unionByName(syn)
     return out
+
+
+def _profile_model():
+    """A stand-in external model: share of each language's function words (pandas, per batch)."""
+    import re as _re
+    profiles = {l: set(ws) for l, ws in SEEDS.items()}
+
+    def predict(texts):
+        out = []
+        for t in texts:
+            toks = _re.findall(r"[^\W\d_]{2,}", t.lower())
+            hits = [sum(1 for w in toks if w in profiles[l]) for l in LABELS]
+            tot = sum(hits) or 1
+            out.append([h / tot for h in hits])
+        return out
+    return predict
+
+
+@query("k7_external_model_scores")
+def k7_external_model_scores(spark, sf):
+    """K7: a caller-supplied model scored with mapInPandas, loaded once per task (P)."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    s = ml.score_with_model(d, _profile_model, "text", "doc_id", LABELS)
+    return s.select("doc_id", "label", F.round("score", 6).alias("score"))
