@@ -6,11 +6,21 @@ from seedweave.llm import oracles
 from seedweave.session import table
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_bounded_ring_shards(spark, sf_dir):
     from seedweave.llm.sharding import shard_documents
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_tree_concatenated_bpe(spark, sf_dir):
+    from seedweave.llm.bpe import encode_digests
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op6_url_language_model(spark, sf_dir):
     from seedweave.llm.urls import judge_urls
     return judge_urls(table(spark, sf_dir, "pages")).drop("score")
@@ -21,6 +31,16 @@ def op9_risk_controlled_rules(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_simhash_byte_index(spark, sf_dir):
+    from seedweave.llm.simhash import simhash_components
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op10_sum_of_squares_packing(spark, sf_dir):
+    from seedweave.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
