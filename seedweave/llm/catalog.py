@@ -16,11 +16,21 @@ def op2_bounded_ring_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_content_defined_chunks(spark, sf_dir):
+    from seedweave.llm.fingerprint import neighbour_fingerprints
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_tree_concatenated_bpe(spark, sf_dir):
     from seedweave.llm.bpe import encode_digests
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op5_composite_text_density(spark, sf_dir):
+    from seedweave.llm.html import extract_pages
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_url_language_model(spark, sf_dir):
     from seedweave.llm.urls import judge_urls
     return judge_urls(table(spark, sf_dir, "pages")).drop("score")
