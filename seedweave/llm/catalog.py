@@ -11,6 +11,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_level_wise_doubling(spark, sf_dir):
+    from seedweave.llm.substring import remove_repeated_windows
+    return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op2_bounded_ring_shards(spark, sf_dir):
     from seedweave.llm.sharding import shard_documents
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -41,6 +46,11 @@ def op9_risk_controlled_rules(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_prefix_doubling(spark, sf_dir):
+    from seedweave.llm.suffix import remove_repeated_strings
+    return remove_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_byte_index(spark, sf_dir):
     from seedweave.llm.simhash import simhash_components
     return simhash_components(table(spark, sf_dir, "documents"))
@@ -52,7 +62,8 @@ def op10_sum_of_squares_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
+    import corpus_pipeline
+    return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
