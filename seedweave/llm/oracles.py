@@ -97,11 +97,12 @@ s AS (SELECT host, path, ruled, n, floor(sum(ratio)::DOUBLE / count(*))::BIGINT
 h AS (SELECT least(greatest(floor(score::DOUBLE / {urls.STEP}), -{urls.BINS}), {urls.BINS})::BIGINT AS step,
       sum(CASE WHEN ruled = 'allow' THEN n ELSE 0 END) AS acc, sum(CASE WHEN ruled = 'block' THEN n ELSE 0 END) AS rej
       FROM s WHERE ruled IS NOT NULL GROUP BY 1),
-rates AS (SELECT step, coalesce(sum(rej) OVER b, 0)::DOUBLE / nullif(sum(rej) OVER (), 0)
+rates AS (SELECT least(greatest(0, (coalesce(lag(step) OVER (ORDER BY step), -{urls.BINS}) + 1) * {urls.STEP}), step * {urls.STEP})
+          AS cutoff, coalesce(sum(rej) OVER b, 0)::DOUBLE / nullif(sum(rej) OVER (), 0)
           - coalesce(sum(acc) OVER b, 0)::DOUBLE / nullif(sum(acc) OVER (), 0) AS gain FROM h
           WINDOW b AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cut AS (SELECT coalesce((SELECT step FROM rates WHERE gain IS NOT NULL ORDER BY round(gain, 9) DESC, step LIMIT 1), 0)
-        * {urls.STEP} AS cutoff)
+cut AS (SELECT coalesce((SELECT cutoff FROM rates WHERE gain IS NOT NULL ORDER BY round(gain, 9) DESC, abs(cutoff), cutoff LIMIT 1), 0)
+        AS cutoff)
 SELECT page_id, base.host, base.path, rule,
        coalesce(base.ruled, CASE WHEN s.score >= cutoff THEN 'allow' ELSE 'block' END) AS verdict
 FROM base CROSS JOIN cut LEFT JOIN s ON s.host = base.host AND s.path = base.path AND base.ruled IS NULL"""

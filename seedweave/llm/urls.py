@@ -3,8 +3,8 @@
 Two smoothed variable-order Markov models (contexts of 3, 2, 1 and 0 characters,
 each falling back on the next shorter one) are counted over URLs that the rules
 allow and over URLs that they block. A URL without a rule is judged by the
-log-likelihood difference per character; the cutoff is the one with the best
-balanced accuracy on hosts that were left out of the counts.
+log-likelihood difference per character; the cutoff has the best balanced accuracy
+on hosts that were left out of the counts, and of equally good ones is nearest to 0.
 
 Characters are mapped to ``ALPHABET`` (33 signs), so a table over all four-character
 grams has at most 33**4 = 1,185,921 rows whatever the input: it is broadcast.
@@ -127,15 +127,19 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def calibrated_cutoff(held: DataFrame) -> int:
-    """The histogram step with the best balanced accuracy on holdout rows (ruled, n, score); the lowest on ties."""
+    """The cutoff with the best balanced accuracy on holdout rows (ruled, n, score); of equally good ones that nearest to 0."""
     step = F.least(F.greatest(F.floor(F.col("score") / STEP), F.lit(-BINS)), F.lit(BINS))
     hist = held.groupBy(step.alias("step")).agg(
         F.sum(F.when(F.col("ruled") == "allow", F.col("n")).otherwise(0)).alias("acc"),
         F.sum(F.when(F.col("ruled") == "block", F.col("n")).otherwise(0)).alias("rej"))
     # At most 2 * BINS + 1 rows: cumulative sums over them in one window.
-    below = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("step")
+    below = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    rates = hist.select("step", (F.coalesce(F.sum("rej").over(below), F.lit(0)) / F.sum("rej").over(whole)
-                                 - F.coalesce(F.sum("acc").over(below), F.lit(0)) / F.sum("acc").over(whole)).alias("gain"))
-    best = rates.where("gain IS NOT NULL").orderBy(F.desc(F.round("gain", 9)), "step").limit(1).collect()
-    return int(best[0]["step"]) * STEP if best else 0
+    gain = F.coalesce(F.sum("rej").over(below), F.lit(0)) / F.sum("rej").over(whole) \
+        - F.coalesce(F.sum("acc").over(below), F.lit(0)) / F.sum("acc").over(whole)
+    # Every cutoff after the step before, up to this step, splits the holdout in the same way.
+    cutoff = F.least(F.greatest(F.lit(0), (F.coalesce(F.lag("step").over(order), F.lit(-BINS)) + 1) * STEP), F.col("step") * STEP)
+    rates = hist.select(cutoff.cast("long").alias("cutoff"), F.round(gain, 9).alias("gain")).where("gain IS NOT NULL")
+    best = rates.orderBy(F.desc("gain"), F.abs("cutoff"), "cutoff").limit(1).collect()
+    return best[0]["cutoff"] if best else 0
