@@ -1,10 +1,9 @@
 """Keyword graphs and TextRank (W7, K13, K14, T3), all documents at once.
 
 Every document's word graph lives in one edge table keyed by document; one
-TextRank step is a join of edges to the current weights plus a sum per
-(document, node): two shuffles keyed by document with partial aggregation.
-Converged documents stop changing; the plan is cut by a reliable checkpoint
-every few steps.
+TextRank step is a join of edges to the current weights, a sum per (document,
+node) and a window per document for the stop test. Edges and each step's weights
+are checkpointed in the shared folder; the loop ends when no document is active.
 """
 
 from __future__ import annotations
@@ -59,30 +58,24 @@ def textrank(words: DataFrame, window: int = 4, damping: float = 0.85, steps: in
     the weights; ``stop="fixed"`` runs exactly ``steps`` updates. Nodes without
     edges get 1 - damping after the first update.
     """
-    nodes = words.select("doc", "word").distinct()
-    edges = graph_edges(window_pairs(words, window))
-    pr = nodes.select("doc", "word", F.lit(1.0).alias("pr"))
-    state = nodes.select("doc").distinct().select("doc", F.lit(0.0).alias("prev"), F.lit(True).alias("active"))
-    for i in range(steps):
-        contrib = (edges.join(pr.select("doc", F.col("word").alias("dst"), "pr"), ["doc", "dst"])
-                   .groupBy("doc", "src").agg(F.sum(F.col("w") * F.col("pr")).alias("c"))
+    edges = cut_lineage(graph_edges(window_pairs(words, window)))
+    doc = Window.partitionBy("doc")
+    pr = words.select("doc", "word").distinct().select(
+        "doc", "word", F.lit(1.0).alias("pr"), F.lit(0.0).alias("prev"), F.lit(True).alias("active"))
+    for _ in range(steps):
+        # Only documents that still change are worked on; the others keep their rows.
+        weights = pr.where("active").select("doc", F.col("word").alias("dst"), "pr")
+        contrib = (edges.join(weights, ["doc", "dst"]).groupBy("doc", "src").agg(F.sum(F.col("w") * F.col("pr")).alias("c"))
                    .withColumnRenamed("src", "word"))
-        upd = (pr.join(contrib, ["doc", "word"], "left").join(state, "doc")
-               .select("doc", "word", "active", "pr",
-                       (F.lit(1 - damping) + F.lit(damping) * F.coalesce("c", F.lit(0.0))).alias("new")))
-        upd = upd.select("doc", "word", "pr", F.when(F.col("active"), F.col("new")).otherwise(F.col("pr")).alias("new"))
-        if stop == "fixed":
-            pr = upd.select("doc", "word", F.col("new").alias("pr"))
-        else:
-            stats = upd.groupBy("doc").agg(F.sum("new").alias("s"), F.sum(F.abs(F.col("new") - F.col("pr"))).alias("l1"))
-            change = F.abs(F.col("prev") - F.col("s")) if stop == "sum" else F.col("l1")
-            state = (state.join(stats, "doc")
-                     .select("doc", F.col("s").alias("prev"), (F.col("active") & (change >= min_diff)).alias("active")))
-            pr = upd.select("doc", "word", F.col("new").alias("pr"))
-        if (i + 1) % 3 == 0:
-            pr = cut_lineage(pr)
-            state = cut_lineage(state)
-    return pr.withColumnRenamed("pr", "weight")
+        new = F.lit(1 - damping) + F.lit(damping) * F.coalesce("c", F.lit(0.0))
+        upd = pr.join(contrib, ["doc", "word"], "left").withColumn("new", F.when(F.col("active"), new).otherwise(F.col("pr")))
+        total = F.sum("new").over(doc)
+        change = {"sum": F.abs(F.col("prev") - total), "l1": F.sum(F.abs(F.col("new") - F.col("pr"))).over(doc)}.get(stop)
+        still = F.col("active") if change is None else F.col("active") & (change >= min_diff)
+        pr = cut_lineage(upd.select("doc", "word", F.col("new").alias("pr"), total.alias("prev"), still.alias("active")))
+        if stop != "fixed" and pr.where("active").isEmpty():
+            break
+    return pr.select("doc", "word", F.col("pr").alias("weight"))
 
 
 def top_keywords(ranks: DataFrame, n: int = 10) -> DataFrame:

@@ -167,6 +167,16 @@ def tag_matches(docs: DataFrame, text_col: str, synonyms: DataFrame, tag_ids: Da
 MAX_INROW_SEED_WORDS = 5_000
 
 
+def joined_share_labels(df: DataFrame, tokens: str, seeds: DataFrame, id_col: str = "doc_id", threshold: float = 0.2,
+                        out: str = "labels") -> DataFrame:
+    """The result of ``inrow_share_labels`` for dictionaries of any size, by joins (ids are unique)."""
+    n_labels = seeds.select("label").distinct().count()
+    picked = pseudo_labels(df, F.col(tokens), seeds, n_labels, threshold=threshold, id_col=id_col)
+    per_doc = picked.groupBy(F.col("doc_id").alias(id_col)).agg(F.array_sort(F.collect_set("label")).alias(out))
+    none = F.array().cast("array<string>")
+    return df.join(per_doc, id_col, "left").withColumn(out, F.coalesce(out, none))
+
+
 def inrow_label_counts(tokens, seeds: dict) -> Column:
     """Hits per label (sorted label order) computed inside the row."""
     def hits(words):
@@ -184,10 +194,9 @@ def inrow_share_labels(df: DataFrame, tokens: str, seeds: dict, threshold: float
     driver: the whole labelling is one narrow stage, no explode and no shuffle.
     The counts are projected once, then read by the rule (no recomputation).
     """
-    n_words = sum(len(v) for v in seeds.values())
-    if n_words > MAX_INROW_SEED_WORDS:
-        raise ValueError("dictionary too large for in-row matching; use pseudo_labels()")
     labels = sorted(seeds)
+    if not labels:
+        return df.withColumn(out, F.array().cast("array<string>"))
     lab = F.lit(labels)
     with_counts = df.withColumn("_cnt", inrow_label_counts(F.col(tokens), seeds))
     with_counts = with_counts.withColumn("_tot", F.aggregate("_cnt", F.lit(0), lambda a, b: a + b))

@@ -90,6 +90,49 @@ def rank_table(corpus: DataFrame, labelled: DataFrame, tokens: str = "tokens", l
     return out.withColumn("rank", F.col("reldocfreq") * F.col("idf") * F.col("rel_freq"))
 
 
+# The extra "word" every document has once: its counts are the numbers of documents. No tokenizer yields it.
+DOCUMENT = ""
+
+
+def word_counts(labelled: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
+    """(label, word, df, tf) in one pass: per label, and with a null label over all documents.
+
+    A document's tokens are sorted inside its row, so the first of equal tokens
+    counts for the document frequency and each for the term frequency.
+    """
+    words = labelled.select(labels, F.sort_array(tokens).alias("_s"))
+    first = F.transform("_s", lambda w, i: F.struct(w.alias("word"), (
+        (i == 0) | (F.get(F.col("_s"), i - 1) != w)).cast("int").alias("first")))
+    marker = F.array(F.struct(F.lit(DOCUMENT).alias("word"), F.lit(1).alias("first")))
+    # Empty or null tokens and labels: the document still counts.
+    words = words.select(F.concat(F.coalesce(labels, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+                         .alias("_l"), F.coalesce(F.concat(first, marker), marker).alias("_w"))
+    rows = words.select("_l", F.explode_outer("_w").alias("x")).select(F.explode_outer("_l").alias("label"), "x.*")
+    return rows.groupBy("label", "word").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("tf"))
+
+
+def rank_labelled(labelled: DataFrame, tokens: str = "tokens", labels: str = "labels", min_df: int = 5,
+                  vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A6 where the labelled documents are the whole corpus: (``rank_table``, (label, n_l)).
+
+    One scan and one shuffle of the corpus: both results read the same counts,
+    which Spark exchanges once.
+    """
+    stats = word_counts(labelled, tokens, labels)
+    n = F.max(F.when(F.col("word") == DOCUMENT, F.greatest("df", "tf")))
+    sizes = stats.groupBy("label").agg(n.alias("n_l"))            # one row per label
+    sizes = sizes.withColumn("n", F.max(F.when(F.col("label").isNull(), F.col("n_l"))).over(Window.partitionBy()))
+    whole = F.max(F.when(F.col("label").isNull(), F.col("df"))).over(Window.partitionBy("word"))
+    ls = stats.withColumn("_df", whole).where(F.col("label").isNotNull() & (F.col("word") != DOCUMENT) & (F.col("df") >= min_df))
+    if vocabulary is not None:
+        ls = ls.join(vocabulary.select("word").distinct(), "word", "left_semi")
+    j = ls.join(sizes.withColumnRenamed("label", "_l"), F.col("label") == F.col("_l"))
+    out = j.select("label", "word", (F.col("df") / F.col("_df")).alias("reldocfreq"), F.log(F.col("n") / F.col("_df")).alias("idf"),
+                   F.tanh(F.col("tf") / F.col("n_l")).alias("rel_freq"))
+    return (out.withColumn("rank", F.col("reldocfreq") * F.col("idf") * F.col("rel_freq")),
+            sizes.where(F.col("label").isNotNull()).select("label", "n_l"))
+
+
 def subset_stats(corpus: DataFrame, subset: DataFrame, tokens: str = "tokens", group: str = "label",
                  top: int = 80) -> DataFrame:
     """Rank of every word of each subset against the whole corpus, top ``top``.
@@ -135,8 +178,9 @@ def expand(ranks: DataFrame, n_docs_label: DataFrame, old_seeds: DataFrame, iter
     nl = n_docs_label.where(F.col("n_l") > 0).select("label", n.alias("top_n"))
     r = ranks.where(F.col("rank") > 0) if require_positive else ranks
     w = Window.partitionBy("label").orderBy(F.desc("rank"), F.asc("word"))
-    top = (r.join(F.broadcast(nl), "label")
-           .withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= F.col("top_n")))
+    # The literal bound lets Spark keep that many rows per label before it sorts a label's words.
+    top = (r.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= words_per_round * iteration)
+           .join(nl, "label").where(F.col("pos") <= F.col("top_n")))
     w2 = Window.partitionBy("word").orderBy(F.desc("rank"), F.asc("label"))
     chosen = top.withColumn("rn", F.row_number().over(w2)).where("rn = 1").select("label", "word")
     kept = old_seeds.select("label", "word").join(nl.select("label"), "label", "left_anti")

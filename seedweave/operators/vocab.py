@@ -9,8 +9,6 @@ from seedweave.functions.text import explode_nonempty, filter_tokens, sentences
 from seedweave.operators.common import size_checked_broadcast
 from seedweave.operators.windows import global_index
 
-DOC_POS_FACTOR = 1_000_000  # position key = doc_id * factor + token position
-
 
 def token_rows(docs: DataFrame, tokens, id_col: str = "doc_id") -> DataFrame:
     return explode_nonempty(docs, tokens, "word", F.col(id_col).alias("doc_id"), with_pos="pos")
@@ -21,7 +19,7 @@ def vocabulary(docs: DataFrame, tokens, id_col: str = "doc_id", max_words: int |
     t = token_rows(docs, tokens, id_col)
     v = t.groupBy("word").agg(
         F.count(F.lit(1)).alias("tf"),
-        F.min(F.col("doc_id") * DOC_POS_FACTOR + F.col("pos")).alias("first_seen"))
+        F.min(F.struct("doc_id", "pos")).alias("first_seen"))
     v = global_index(v, [F.desc("tf"), F.asc("first_seen"), F.asc("word")], "idx", start=1)
     if max_words is not None:  # T6: keep indices below the cut
         v = v.where(F.col("idx") < max_words)
@@ -31,7 +29,7 @@ def vocabulary(docs: DataFrame, tokens, id_col: str = "doc_id", max_words: int |
 def first_seen_index(docs: DataFrame, tokens, id_col: str = "doc_id", start: int = 0) -> DataFrame:
     """Index of words in order of first appearance."""
     t = token_rows(docs, tokens, id_col)
-    v = t.groupBy("word").agg(F.min(F.col("doc_id") * DOC_POS_FACTOR + F.col("pos")).alias("first_seen"))
+    v = t.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("first_seen"))
     return global_index(v, [F.asc("first_seen"), F.asc("word")], "idx", start=start)
 
 

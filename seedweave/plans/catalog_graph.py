@@ -73,11 +73,19 @@ def k13_textrank_two_steps(spark, sf):
     return r.select("doc", "word", F.round(F.round("weight", 9), 4).alias("weight"))
 
 
-@query("k13_textrank")
+@query("k13_textrank", f"""
+WITH {_WORDS_SQL}
+SELECT doc, word, round(round(pr, 9), 4) AS weight FROM pr2
+""")
 def k13_textrank(spark, sf):
-    """TextRank with the reference's stop test on the weight sum (at most 10 steps; P)."""
+    """TextRank with the reference's stop test on the weight sum (at most 10 steps).
+
+    Columns are normalised, so from the first update on the sum of a document's
+    weights stays the same (nodes without edges have 1 - damping): the test ends
+    every document after its second update, which is what the SQL has.
+    """
     r = gr.textrank(_words(spark, sf), steps=10, stop="sum")
-    return r.select("doc", "word", F.round("weight", 6).alias("weight"))
+    return r.select("doc", "word", F.round(F.round("weight", 9), 4).alias("weight"))
 
 
 @query("t3_top_keywords", f"""

@@ -152,15 +152,15 @@ def a27_label_audit(spark, sf):
 
 @query("n1_dictionary_report", f"""
 WITH {_corpus_sql()}
-SELECT s.label, s.word, round(rt.rank, 6) AS rank, round(rt.idf, 6) AS idf FROM seeds s LEFT JOIN rt USING (label, word)
+SELECT s.label, s.word, round(rt.rank, 6) AS rank, round(rt.idf, 6) AS idf, round(rt.reldocfreq, 6) AS reldocfreq,
+       round(rt.rel_freq, 6) AS rel_freq FROM seeds s LEFT JOIN rt USING (label, word)
 """)
 def n1_dictionary_report(spark, sf):
-    """Each seed word with its rank components (NULL when it has none)."""
-    c = corpus(spark, sf)
-    r = rk.rank_table(c, labelled(c), min_df=5)
+    """Each seed word with its four rank components (NULL when it has none)."""
+    r, _ = rk.rank_labelled(labelled(corpus(spark, sf)), min_df=5)
     s = seeds_from_dict(spark, SEEDS).select("label", "word")
     j = s.join(r, ["label", "word"], "left")
-    return j.select("label", "word", F.round("rank", 6).alias("rank"), F.round("idf", 6).alias("idf"))
+    return _r(j.select("label", "word", "rank", "idf", "reldocfreq", "rel_freq"), {"rank", "idf", "reldocfreq", "rel_freq"})
 
 
 @query("n3_best_dictionary_coverage", f"""

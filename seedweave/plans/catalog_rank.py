@@ -121,8 +121,7 @@ SELECT label, word, round(reldocfreq, 6) AS reldocfreq, round(idf, 6) AS idf, ro
        round(rank, 6) AS rank FROM rt
 """)
 def a6_rank_table(spark, sf):
-    c = corpus(spark, sf)
-    r = rk.rank_table(c, labelled(c), min_df=5)
+    r, _ = rk.rank_labelled(labelled(corpus(spark, sf)), min_df=5)
     return _r6(r, {"reldocfreq", "idf", "rel_freq", "rank"})
 
 
@@ -160,10 +159,8 @@ newd AS (SELECT * FROM chosen UNION ALL SELECT * FROM kept)
 
 
 def _round1(spark, sf):
-    c = corpus(spark, sf)
-    lab = labelled(c, SEEDS_U6)
-    ranks = rk.rank_table(c, lab, min_df=5)
-    return rk.expand(ranks, rk.docs_per_label(lab), seeds_from_dict(spark, SEEDS_U6), iteration=1)
+    ranks, per_label = rk.rank_labelled(labelled(corpus(spark, sf), SEEDS_U6), min_df=5)
+    return rk.expand(ranks, per_label, seeds_from_dict(spark, SEEDS_U6), iteration=1)
 
 
 @query("p15_expand_round1", f"""
@@ -210,10 +207,10 @@ def n2_dictionary_diff(spark, sf):
 
 @query("p16_refine_loop")
 def p16_refine_loop(spark, sf):
-    """Three rounds of label -> rank -> rewrite dictionary; each round's
+    """Six rounds of label -> rank -> rewrite dictionary; each round's
     dictionary is written under the checkpoint folder and read back (P)."""
     from seedweave.plans.refine import refine_dictionary
-    hist = refine_dictionary(spark, corpus(spark, sf), SEEDS, rounds=3)
+    hist = refine_dictionary(spark, corpus(spark, sf), SEEDS)
     return hist.select("iteration", "label", "word")
 
 

@@ -123,7 +123,7 @@ def x9_sentences(spark, sf):
 @query("x10_tokens_to_indices", f"""
 WITH t AS (SELECT doc_id, unnest({sql_filter_tokens('text')}) AS word,
                   unnest(range(len({sql_filter_tokens('text')}))) AS pos FROM documents),
-v AS (SELECT word, count(*) AS tf, min(doc_id * 1000000 + pos) AS first_seen FROM t GROUP BY word),
+v AS (SELECT word, count(*) AS tf, min({{'d': doc_id, 'p': pos}}) AS first_seen FROM t GROUP BY word),
 vi AS (SELECT word, row_number() OVER (ORDER BY tf DESC, first_seen) AS idx FROM v)
 SELECT doc_id, string_agg(CAST(idx AS VARCHAR), ' ' ORDER BY pos) AS ids
 FROM t JOIN vi USING (word) GROUP BY doc_id

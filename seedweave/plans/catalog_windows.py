@@ -15,7 +15,7 @@ from seedweave.session import table
 _VOCAB_SQL = f"""
 t AS (SELECT doc_id, unnest({sql_filter_tokens('text')}) AS word,
              unnest(range(len({sql_filter_tokens('text')}))) AS pos FROM documents),
-v AS (SELECT word, count(*) AS tf, min(doc_id * 1000000 + pos) AS first_seen FROM t GROUP BY word),
+v AS (SELECT word, count(*) AS tf, min({{'d': doc_id, 'p': pos}}) AS first_seen FROM t GROUP BY word),
 vi AS (SELECT word, tf, row_number() OVER (ORDER BY tf DESC, first_seen, word) AS idx FROM v)
 """
 
@@ -75,7 +75,7 @@ def w8_vocabulary(spark, sf):
 @query("w9_first_seen_index", f"""
 WITH t AS (SELECT doc_id, unnest({sql_filter_tokens('text')}) AS word,
                   unnest(range(len({sql_filter_tokens('text')}))) AS pos FROM documents),
-v AS (SELECT word, min(doc_id * 1000000 + pos) AS first_seen FROM t GROUP BY word)
+v AS (SELECT word, min({{'d': doc_id, 'p': pos}}) AS first_seen FROM t GROUP BY word)
 SELECT word, row_number() OVER (ORDER BY first_seen, word) - 1 AS idx FROM v
 """)
 def w9_first_seen_index(spark, sf):
