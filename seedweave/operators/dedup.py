@@ -1,22 +1,26 @@
 """Near-duplicate texts inside a group.
 
-A text is dropped when an *earlier* text of the same group (by priority
-order) has similarity ratio > 80 after rounding (i.e. > 80.5, Q11/Q12). The
-ratio is the indel similarity ``100 * 2 * LCS / (len_a + len_b)``.
-
-Plan: identical texts are found by an equi-join on a text hash (no pairs
-enumerated). Other candidate pairs come from a self join on the group key that
-keeps only pairs passing the exact length bound (a pair can only reach the cut
-when ``400 * min(len) > 161 * (len_a + len_b)``); the survivors are scored by
-an Arrow-batched pandas UDF running a bit-parallel LCS over the whole texts.
+A text is dropped when an *earlier* text of the same group (by a total order) has
+similarity ratio > 80 after rounding (i.e. > 80.5, Q11/Q12). The ratio is the indel
+similarity ``100 * 2 * LCS / (len_a + len_b)``.
+
+Identical texts go first, by an aggregate on the text. The remaining texts of a
+group are cut into blocks of ``BLOCK`` texts in their order, and every two blocks
+meet in a task of their own, so that neither a task nor a row ever holds a whole
+group. A pair is only scored if its lengths, and then its letters, leave the cut
+within reach; both bounds are exact.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+BLOCK = 256
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -34,7 +38,7 @@ def lcs_length(a: str, b: str) -> int:
     for ch in b:
         u = s & masks.get(ch, 0)
         s = ((s + u) | (s - u)) & full
-    return n - bin(s).count("1")
+    return n - s.bit_count()
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -44,47 +48,99 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / total
 
 
-@F.pandas_udf(DoubleType())
-def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity 0-100 of two whole texts (Arrow batches)."""
-    return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
-
-
-@F.pandas_udf(BooleanType())
-def above_cut_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """ratio > 80.5 in integer form: 400 * LCS > 161 * (len_a + len_b)."""
-    out = []
-    for x, y in zip(a, b):
-        x, y = x or "", y or ""
-        tot = len(x) + len(y)
-        out.append(tot > 0 and 400 * lcs_length(x, y) > 161 * tot)
-    return pd.Series(out, dtype="bool")
-
-
-def candidate_pairs(texts: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """J14 restricted by the exact length bound: (group, a_ord, b_ord, a_text, b_text), a before b."""
-    t = texts.select(group, order, text, F.length(text).alias("_len"))
-    a = t.select(F.col(group), F.col(order).alias("a_ord"), F.col(text).alias("a_text"), F.col("_len").alias("a_len"))
-    b = t.select(F.col(group).alias("_g"), F.col(order).alias("b_ord"), F.col(text).alias("b_text"), F.col("_len").alias("b_len"))
-    cond = ((a[group] == b["_g"]) & (a["a_ord"] < b["b_ord"])
-            & (F.lit(400) * F.least(a["a_len"], b["b_len"]) > F.lit(161) * (a["a_len"] + b["b_len"])))
-    return a.join(b, cond).select(group, "a_ord", "b_ord", "a_text", "b_text")
-
-
-def drop_near_duplicates(texts: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """Rows of ``texts`` minus those with an earlier near-duplicate in their group."""
-    h = texts.select(group, order, F.xxhash64(text).alias("_h"), text)
-    w_first = h.groupBy(group, "_h", text).agg(F.min(order).alias("_first"))
-    exact = (h.join(w_first, [group, "_h", text]).where(F.col(order) > F.col("_first"))
-             .select(group, order))
-    pairs = candidate_pairs(texts, group, order, text).where(F.col("a_text") != F.col("b_text"))
-    near = pairs.where(above_cut_udf("a_text", "b_text")).select(group, F.col("b_ord").alias(order))
-    dropped = exact.unionByName(near).distinct()
-    return texts.join(dropped, [group, order], "left_anti")
-
-
-def drop_exact_duplicates(texts: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """Keep the first of identical texts per group (the SQL-checkable part of P9)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(group, text).orderBy(order)
-    return texts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def above_cut(lcs: int, len_a: int, len_b: int) -> bool:
+    """ratio > 80.5 in integer form."""
+    return 400 * lcs > 161 * (len_a + len_b)
+
+
+def _in_blocks(texts: DataFrame, group: str, order: list[str], text: str, block: int) -> DataFrame:
+    """Every text once per block of its group, keyed by the two blocks that meet (``_lo`` <= ``_hi``)."""
+    w = Window.partitionBy(group).orderBy(*order)
+    t = texts.select(group, *order, F.coalesce(text, F.lit("")).alias("_text"), (F.row_number().over(w) - 1).alias("_n"))
+    t = t.withColumn("_blk", F.floor(F.col("_n") / block)).withColumn("_last", F.max("_blk").over(Window.partitionBy(group)))
+    t = t.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
+    return t.withColumns({"_lo": F.least("_blk", "_other"), "_hi": F.greatest("_blk", "_other")}).drop("_last", "_other")
+
+
+def _feasible_pairs(pdf: pd.DataFrame):
+    """(place of a, place of b) with a before b, one from each block, and lengths within reach of the cut."""
+    texts, n, blk = pdf["_text"].tolist(), pdf["_n"].tolist(), pdf["_blk"].tolist()
+    lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
+    first, second = [i for i, x in enumerate(blk) if x == lo], [i for i, x in enumerate(blk) if x == hi]
+    for j in second:
+        for i in first:
+            if n[i] < n[j] and above_cut(min(len(texts[i]), len(texts[j])), len(texts[i]), len(texts[j])):
+                yield i, j
+
+
+def similarities(texts: DataFrame, group: str, order: str, text: str, block: int = BLOCK) -> DataFrame:
+    """X26 + J14: (group, a_ord, b_ord, ratio) of every pair whose lengths leave the cut within reach."""
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, o = pdf["_text"].tolist(), pdf[order].tolist()
+        rows = [(pdf[group].iloc[0], o[i], o[j], indel_ratio(t[i], t[j])) for i, j in _feasible_pairs(pdf)]
+        return pd.DataFrame(rows, columns=[group, "a_ord", "b_ord", "ratio"])
+
+    types = {f.name: f.dataType for f in texts.schema}
+    schema = StructType([StructField(group, types[group]), StructField("a_ord", types[order]),
+                         StructField("b_ord", types[order]), StructField("ratio", DoubleType())])
+    return _in_blocks(texts, group, [order], text, block).groupBy(group, "_lo", "_hi").applyInPandas(score, schema)
+
+
+def drop_near_duplicates(texts: DataFrame, group: str, order: list[str], text: str, block: int = BLOCK) -> DataFrame:
+    """Rows of ``texts`` minus those with an earlier near-duplicate in their group.
+
+    ``order`` must tell the rows of a group apart (a total order). Null texts count
+    as empty.
+    """
+    def later_ones(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = pdf["_text"].tolist()
+        letters: dict[int, Counter] = {}
+        gone = set()
+        for i, j in _feasible_pairs(pdf):
+            if j in gone:
+                continue
+            for k in (i, j):
+                if k not in letters:
+                    letters[k] = Counter(t[k])
+            # The common letters are at least as many as the common subsequence has.
+            if above_cut((letters[i] & letters[j]).total(), len(t[i]), len(t[j])) \
+                    and above_cut(lcs_length(t[i], t[j]), len(t[i]), len(t[j])):
+                gone.add(j)
+        return pdf.iloc[sorted(gone)][[group, *order]]
+
+    own = drop_exact_duplicates(texts, group, order, text)
+    schema = texts.select(group, *order).schema
+    near = _in_blocks(own, group, order, text, block).groupBy(group, "_lo", "_hi").applyInPandas(later_ones, schema).distinct()
+    return own.join(near, [group, *order], "left_anti")
+
+
+def drop_exact_duplicates(texts: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
+    """Keep the first of identical texts per group."""
+    key = F.coalesce(F.col(text), F.lit(""))
+    first = texts.groupBy(F.col(group).alias("_g"), F.xxhash64(key).alias("_h"), F.md5(key.cast("binary")).alias("_m")) \
+        .agg(F.min(F.struct(*order)).alias("_first"))
+    same = [F.col(group) == F.col("_g"), *[F.col(o) == F.col(f"_first.{o}") for o in order]]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return texts.join(first, cond, "left_semi")
+
+
+def drop_levenshtein_duplicates(texts: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
+    """P9 with edit-distance similarity 1 - lev / max_len > 0.8 in place of the indel ratio (built-in, SQL-checkable).
+
+    Meant for groups of a few texts: pairs inside a group are joined.
+    """
+    own = texts.select(group, F.struct(*order).alias("_o"), F.coalesce(text, F.lit("")).alias("_t"))
+    a = own.select(F.col(group).alias("_ga"), F.col("_o").alias("_oa"), F.col("_t").alias("_a"))
+    longer = F.greatest(F.length("_a"), F.length("_t"))
+    # The distance is at least the difference in length, and is not computed beyond the cut.
+    pairs = own.join(a, (F.col(group) == F.col("_ga")) & (F.col("_oa") < F.col("_o"))
+                     & (5 * F.abs(F.length("_a") - F.length("_t")) < longer))
+    near = pairs.withColumn("_most", ((longer - 1) / 5).cast("int")) \
+        .where(F.expr("levenshtein(_a, _t, _most) >= 0") & (longer > 0)).select(group, "_o").distinct()
+    kept = own.select(group, "_o").join(near, [group, "_o"], "left_anti").select(F.col(group).alias("_g"), "_o")
+    cond = F.col(group) == F.col("_g")
+    for o in order:
+        cond = cond & (F.col(o) == F.col(f"_o.{o}"))
+    return texts.join(kept, cond, "left_semi")

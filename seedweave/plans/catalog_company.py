@@ -10,7 +10,7 @@ from seedweave.operators import mapping as mp
 from seedweave.operators import match
 from seedweave.operators import vote as vt
 from seedweave.operators.common import local_table
-from seedweave.plans.fixtures import (ACQ_DATE, ROLE_PRIORITY, SEEDS, TAG_IDS, TAG_LINKS, TAG_SYNONYMS,
+from seedweave.plans.fixtures import (ACQ_DATE, SEEDS, TAG_IDS, TAG_LINKS, TAG_SYNONYMS,
                                       TEXT_TAG_IDS, TEXT_TAG_LINKS, TEXT_TAGS, WORD_CATEGORY, ids_values_sql,
                                       pairs_values_sql, seeds_values_sql, sql_ngrams_upto, sql_str,
                                       sql_word_tokens, synonyms_values_sql)
@@ -19,9 +19,6 @@ from seedweave.session import table
 from seedweave.sources.dictionaries import seeds_from_dict
 
 LABELS = sorted(SEEDS)
-_PRIO_SQL = "[" + ", ".join(sql_str(r) for r in ROLE_PRIORITY) + "]"
-
-
 
 def _syn_df(spark, syn):
     return local_table(spark, [(t, w) for t, ws in syn.items() for w in ws], ["tag", "word"])
@@ -63,28 +60,56 @@ def p7_tag_matches(spark, sf):
 
 
 # --- company job -------------------------------------------------------------
+# Conversations stand for company texts: a company has descriptions (user and system turns) and
+# pitch lines (assistant turns); the customer table stands for the external source.
 _DESC_CLASS = "[;,.!?()]"
-_CT_SQL = f"""
-lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS rn
-       FROM conversations) WHERE rn = 1),
-ct AS (SELECT conv_id, CAST(coalesce(list_position({_PRIO_SQL}, role), 1000000) AS INT) AS prio,
-              replace(regexp_replace(lower(text), '{_DESC_CLASS}', ' ', 'g'), chr(10), ' ') AS clean FROM lt)
-"""
+DESC_ROLES, PITCH_ROLES = ["user", "system"], ["assistant"]
+# Deliberately lacks "system": sources outside the list come last.
+DESC_PRIORITY = ["user"]
+SEGMENT_LABELS = [("BUILDING", "de"), ("MACHINERY", "en"), ("AUTOMOBILE", "fr"), ("HOUSEHOLD", "xx")]
+SEGMENT_TAGS = [("BUILDING", 1), ("MACHINERY", 3), ("FURNITURE", 4)]
+_CLEAN_TURN = f"replace(regexp_replace(lower(text), '{_DESC_CLASS}', ' ', 'g'), chr(10), ' ')"
+
+
+def _kind_sql(name: str, roles: list[str], priority: list[str]) -> str:
+    prio = "[" + ", ".join(sql_str(r) for r in priority) + "]"
+    return f"""
+{name}_lt AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text) AS rn
+       FROM conversations WHERE role IN ({", ".join(sql_str(r) for r in roles)})),
+{name} AS (SELECT conv_id, role, CAST(coalesce(list_position({prio}, role), 1000000) AS INT) AS prio,
+              {_CLEAN_TURN} AS clean FROM {name}_lt WHERE rn = 1)"""
+
+
+_TEXTS_SQL = f"""{_kind_sql("descr", DESC_ROLES, DESC_PRIORITY)},{_kind_sql("pitch", PITCH_ROLES, PITCH_ROLES)},
+dropped AS (SELECT b.conv_id, b.role FROM descr a JOIN descr b ON a.conv_id = b.conv_id AND (a.prio, a.role) < (b.prio, b.role)
+            AND 5 * levenshtein(a.clean, b.clean) < greatest(length(a.clean), length(b.clean))),
+kept AS (SELECT * FROM descr WHERE (conv_id, role) NOT IN (SELECT (conv_id, role) FROM dropped)),
+clients AS (SELECT conv_id FROM descr UNION SELECT conv_id FROM pitch),
+seeds AS {seeds_values_sql(SEEDS)}"""
+
+
+def _pseudo_sql(src: str, predtype: str) -> str:
+    p = predtype
+    return f"""
+{p}_g AS (SELECT conv_id, role, list_distinct({sql_ngrams_upto(sql_word_tokens('clean'), 4)}) AS grams FROM {src}),
+{p}_cnt AS (SELECT conv_id, role, label, count(*) AS n FROM (SELECT conv_id, role, unnest(grams) AS word FROM {p}_g)
+        JOIN (SELECT DISTINCT label, word FROM seeds) s USING (word) GROUP BY conv_id, role, label),
+{p}_st AS (SELECT *, n / sum(n) OVER (PARTITION BY conv_id, role) AS share,
+              row_number() OVER (PARTITION BY conv_id, role ORDER BY n DESC, label) AS rk FROM {p}_cnt),
+{p}_fin AS (SELECT *, max(CAST(share >= 0.2 AS INT)) OVER (PARTITION BY conv_id, role) AS anyp FROM {p}_st),
+{p} AS (SELECT conv_id, '{p}' AS predtype, label, 1 AS weight FROM {p}_fin WHERE share >= 0.2 OR (anyp = 0 AND rk = 1))"""
+
+
 _VOTES_SQL = f"""
-{_CT_SQL},
-dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, clean ORDER BY prio) AS r FROM ct) WHERE r = 1),
-g AS (SELECT conv_id, prio, list_distinct({sql_ngrams_upto(sql_word_tokens('clean'), 4)}) AS grams FROM dd),
-tok AS (SELECT conv_id, prio, unnest(grams) AS word FROM g),
-seeds AS {seeds_values_sql(SEEDS)},
-cnt AS (SELECT conv_id, prio, label, count(*) AS n FROM tok JOIN (SELECT DISTINCT label, word FROM seeds) s USING (word)
-        GROUP BY conv_id, prio, label),
-st AS (SELECT *, n / sum(n) OVER (PARTITION BY conv_id, prio) AS share,
-              row_number() OVER (PARTITION BY conv_id, prio ORDER BY n DESC, label) AS rk FROM cnt),
-fin AS (SELECT *, max(CAST(share >= 0.2 AS INT)) OVER (PARTITION BY conv_id, prio) AS anyp FROM st),
-pk AS (SELECT conv_id, label FROM fin WHERE share >= 0.2 OR (anyp = 0 AND rk = 1)),
-sums AS (SELECT conv_id, label, count(*) AS votes FROM pk GROUP BY conv_id, label),
-grid AS (SELECT c.conv_id, l.label FROM (SELECT DISTINCT conv_id FROM ct) c,
-         (SELECT unnest([{', '.join(sql_str(l) for l in LABELS)}]) AS label) l),
+{_TEXTS_SQL},{_pseudo_sql("kept", "pseudo_descr")},{_pseudo_sql("pitch", "pseudo_pitch")},
+model_descr AS (SELECT conv_id, 'model_descr' AS predtype, label, 1 AS weight FROM pseudo_descr_st WHERE share > 0.5),
+ext AS (SELECT DISTINCT c_custkey AS conv_id, 'ext' AS predtype, m.label, 5 AS weight FROM customer
+        JOIN {pairs_values_sql(SEGMENT_LABELS, 'c_mktsegment', 'label')} m USING (c_mktsegment)
+        WHERE m.label IN ({", ".join(sql_str(l) for l in LABELS)})),
+votes AS (SELECT * FROM (SELECT * FROM pseudo_descr UNION ALL SELECT * FROM pseudo_pitch UNION ALL SELECT * FROM model_descr
+          UNION ALL SELECT * FROM ext) WHERE conv_id IN (SELECT conv_id FROM clients)),
+sums AS (SELECT conv_id, label, sum(weight) AS votes FROM votes GROUP BY conv_id, label),
+grid AS (SELECT c.conv_id, l.label FROM clients c, (SELECT unnest([{', '.join(sql_str(l) for l in LABELS)}]) AS label) l),
 dense AS (SELECT grid.conv_id, grid.label, CAST(coalesce(sums.votes, 0) AS BIGINT) AS votes
           FROM grid LEFT JOIN sums USING (conv_id, label)),
 picked AS (SELECT conv_id, label, votes FROM (SELECT *, avg(votes) OVER (PARTITION BY conv_id) AS mean FROM dense)
@@ -92,10 +117,47 @@ picked AS (SELECT conv_id, label, votes FROM (SELECT *, avg(votes) OVER (PARTITI
 """
 
 
-def _company(spark, sf, near_duplicates=False):
-    texts = table(spark, sf, "conversations")
-    return vt.classify_companies(texts, seeds_from_dict(spark, SEEDS), LABELS, priority=ROLE_PRIORITY,
-                                 near_duplicates=near_duplicates)
+def _texts(spark, sf):
+    c = table(spark, sf, "conversations")
+    kinds = ((DESC_ROLES, DESC_PRIORITY), (PITCH_ROLES, PITCH_ROLES))
+    return [vt.company_texts(c.where(F.col("role").isin(roles)), "conv_id", "role", "turn", "text", priority)
+            for roles, priority in kinds]
+
+
+def _external(spark, sf, mapping, value, kind):
+    m = local_table(spark, mapping, ["c_mktsegment", value], ["string", kind])
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("conv_id"), "c_mktsegment")
+    return c.join(m, "c_mktsegment").select("conv_id", value)
+
+
+def _model_output(spark, descr):
+    """What an external model returns for each description: label names and confidences (here: shares of the seed hits)."""
+    docs = descr.select(F.struct("conv_id", "role").alias("doc_id"), "clean")
+    from seedweave.functions.text import ngrams_upto, word_tokens
+    grams = match.explode_tokens(docs, ngrams_upto(word_tokens("clean"), 4), distinct=True)
+    counts = match.label_counts(grams, seeds_from_dict(spark, SEEDS))
+    per_text = counts.groupBy("doc_id").agg(F.collect_list(F.struct("label", "n")).alias("x"), F.sum("n").alias("total"))
+    return per_text.select(F.col("doc_id.conv_id").alias("conv_id"),
+                           F.transform("x", lambda s: F.concat(F.lit("__label__"), s["label"])).alias("names"),
+                           F.transform("x", lambda s: s["n"] / F.col("total")).alias("confidences"))
+
+
+def _company(spark, sf, duplicates="levenshtein"):
+    descr, pitch = _texts(spark, sf)
+    kept = vt.without_duplicates(descr, "conv_id", "role", duplicates)
+    model = vt.model_votes(_model_output(spark, kept), "conv_id", "names", "confidences", LABELS, "model_descr")
+    return vt.classify_companies(descr, pitch, seeds_from_dict(spark, SEEDS), LABELS, "conv_id", "role", [model],
+                                 _external(spark, sf, SEGMENT_LABELS, "label", "string"), duplicates)
+
+
+@query("p10_votes_by_predictor", f"""
+WITH {_VOTES_SQL}
+SELECT conv_id, predtype, label, CAST(sum(weight) AS BIGINT) AS votes FROM votes GROUP BY conv_id, predtype, label
+""")
+def p10_votes_by_predictor(spark, sf):
+    """P10: what each predictor votes for each company."""
+    votes, _, _ = _company(spark, sf)
+    return votes.groupBy("conv_id", "predtype", "label").agg(F.sum("weight").cast("long").alias("votes"))
 
 
 @query("a16_vote_sum", f"""
@@ -103,8 +165,7 @@ WITH {_VOTES_SQL}
 SELECT conv_id, label, votes FROM dense
 """)
 def a16_vote_sum(spark, sf):
-    dense, _ = _company(spark, sf)
-    return dense
+    return _company(spark, sf)[1]
 
 
 @query("a17_adaptive_pick", f"""
@@ -112,8 +173,14 @@ WITH {_VOTES_SQL}
 SELECT conv_id, label, votes FROM picked
 """)
 def a17_adaptive_pick(spark, sf):
-    _, picked = _company(spark, sf)
-    return picked
+    return _company(spark, sf)[2]
+
+
+def _vertical_rows(spark, sf, picked):
+    clients = table(spark, sf, "conversations").where(F.col("role").isin(DESC_ROLES + PITCH_ROLES)).select("conv_id")
+    rows = vt.vertical_rows(picked, clients, "conv_id", LABELS, ACQ_DATE)
+    return rows.select("client_id", F.col("vertical_id").cast("string").alias("vertical_id"),
+                       F.date_format("acq_date", "yyyy-MM-dd HH:mm:ss").alias("acq_date"))
 
 
 @query("p10_company_labels", f"""
@@ -121,43 +188,46 @@ WITH {_VOTES_SQL},
 ids AS (SELECT conv_id, CAST(list_position([{', '.join(sql_str(l) for l in LABELS)}], label) - 1 AS INT) AS vertical_id
         FROM picked)
 SELECT c.conv_id AS client_id, CAST(ids.vertical_id AS VARCHAR) AS vertical_id, CAST('{ACQ_DATE}' AS VARCHAR) AS acq_date
-FROM (SELECT DISTINCT conv_id FROM ct) c LEFT JOIN ids USING (conv_id)
+FROM clients c LEFT JOIN ids USING (conv_id)
 """)
 def p10_company_labels(spark, sf):
-    """P10 + S16: vertical rows per company (NULL vertical when none is picked)."""
-    texts = table(spark, sf, "conversations")
-    _, picked = _company(spark, sf)
-    rows = vt.vertical_rows(picked, texts.select("conv_id"), "conv_id", LABELS, ACQ_DATE)
-    return rows.select("client_id", F.col("vertical_id").cast("string").alias("vertical_id"),
-                       F.date_format("acq_date", "yyyy-MM-dd HH:mm:ss").alias("acq_date"))
+    """P10 + S16: vertical rows per company (NULL vertical when none is picked), duplicates by edit distance."""
+    return _vertical_rows(spark, sf, _company(spark, sf)[2])
+
+
+@query("p10_company_labels_indel")
+def p10_company_labels_indel(spark, sf):
+    """P10 with the reference's own duplicate rule (indel ratio over 80.5; brute force in pytest)."""
+    return _vertical_rows(spark, sf, _company(spark, sf, "indel")[2])
 
 
-_COMPANY_DOCS_SQL = f"""(WITH {_CT_SQL}
-  SELECT conv_id AS doc_id, string_agg(clean, ' ' ORDER BY prio) AS text FROM ct GROUP BY conv_id)"""
+_COMPANY_DOCS_SQL = f"""(WITH {_TEXTS_SQL},
+  x AS (SELECT conv_id, 0 AS kind, prio, role, clean FROM descr UNION ALL SELECT conv_id, 1, prio, role, clean FROM pitch)
+  SELECT conv_id AS doc_id, string_agg(clean, ' ' ORDER BY kind, prio, role) AS text FROM x GROUP BY conv_id)"""
 
 
 @query("p10_company_tags", f"""
-WITH {_tag_sql(_COMPANY_DOCS_SQL, TEXT_TAGS, TEXT_TAG_IDS, TEXT_TAG_LINKS)}
-SELECT c.doc_id AS client_id, CAST(tags.tag_id AS VARCHAR) AS tag_id, CAST('{ACQ_DATE}' AS VARCHAR) AS acq_date
-FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) c LEFT JOIN tags USING (doc_id)
+WITH {_tag_sql(_COMPANY_DOCS_SQL, TEXT_TAGS, TEXT_TAG_IDS, TEXT_TAG_LINKS)},
+ext AS (SELECT c_custkey AS doc_id, m.tag_id FROM customer
+        JOIN {pairs_values_sql(SEGMENT_TAGS, 'c_mktsegment', 'tag_id', types=('str', 'int'))} m USING (c_mktsegment)),
+all_tags AS (SELECT doc_id, tag_id FROM tags UNION SELECT doc_id, tag_id FROM ext)
+SELECT d.doc_id AS client_id, CAST(t.tag_id AS VARCHAR) AS tag_id, CAST('{ACQ_DATE}' AS VARCHAR) AS acq_date
+FROM d LEFT JOIN all_tags t USING (doc_id)
 """)
 def p10_company_tags(spark, sf):
-    """P10 + S16: tag rows per company from the whole text in priority order."""
-    texts = table(spark, sf, "conversations")
-    ct = vt.company_texts(texts, "conv_id", "role", "turn", "text", ROLE_PRIORITY)
-    rows = vt.tag_rows(ct, "conv_id", _syn_df(spark, TEXT_TAGS), _ids_df(spark, TEXT_TAG_IDS),
-                       _links_df(spark, TEXT_TAG_LINKS), None, ACQ_DATE)
+    """P10 + U4 + S16: tag rows per company from the whole text in priority order, united with external tags."""
+    rows = vt.tag_rows(_texts(spark, sf), "conv_id", "role", _syn_df(spark, TEXT_TAGS), _ids_df(spark, TEXT_TAG_IDS),
+                       _links_df(spark, TEXT_TAG_LINKS), _external(spark, sf, SEGMENT_TAGS, "tag_id", "int"), ACQ_DATE)
     return rows.select("client_id", F.col("tag_id").cast("string").alias("tag_id"),
                        F.date_format("acq_date", "yyyy-MM-dd HH:mm:ss").alias("acq_date"))
 
 
 @query("p9_exact_duplicates", f"""
-WITH {_CT_SQL}
-SELECT conv_id, prio FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, clean ORDER BY prio) AS r FROM ct) WHERE r = 1
+WITH {_TEXTS_SQL}
+SELECT conv_id, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, clean ORDER BY prio, role) AS r FROM descr) WHERE r = 1
 """)
 def p9_exact_duplicates(spark, sf):
-    ct = vt.company_texts(table(spark, sf, "conversations"), "conv_id", "role", "turn", "text", ROLE_PRIORITY)
-    return dd.drop_exact_duplicates(ct, "conv_id", "prio", "clean").select("conv_id", "prio")
+    return dd.drop_exact_duplicates(_texts(spark, sf)[0], "conv_id", ["prio", "role"], "clean").select("conv_id", "role")
 
 
 def _all_turns(spark, sf):
@@ -169,14 +239,14 @@ def _all_turns(spark, sf):
 @query("p9_near_duplicates")
 def p9_near_duplicates(spark, sf):
     """P9 over all turns of each conversation (order = turn): indel ratio > 80.5 drops the later text (P)."""
-    return dd.drop_near_duplicates(_all_turns(spark, sf), "conv_id", "turn", "clean").select("conv_id", "turn")
+    return dd.drop_near_duplicates(_all_turns(spark, sf), "conv_id", ["turn"], "clean").select("conv_id", "turn")
 
 
 @query("x26_similarity")
 def x26_similarity(spark, sf):
     """X26 + J14: indel similarity of every length-feasible pair of turns in a conversation (P)."""
-    pairs = dd.candidate_pairs(_all_turns(spark, sf), "conv_id", "turn", "clean")
-    return pairs.select("conv_id", "a_ord", "b_ord", F.round(dd.indel_ratio_udf("a_text", "b_text"), 6).alias("ratio"))
+    pairs = dd.similarities(_all_turns(spark, sf), "conv_id", "turn", "clean")
+    return pairs.select("conv_id", "a_ord", "b_ord", F.round("ratio", 6).alias("ratio"))
 
 
 @query("p9_levenshtein_variant", """
@@ -189,16 +259,7 @@ SELECT conv_id, turn FROM t WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn)
 """)
 def p9_levenshtein_variant(spark, sf):
     """P9 with edit-distance similarity 1 - lev/max_len > 0.8 (built-in levenshtein)."""
-    t = _all_turns(spark, sf)
-    a = t.select("conv_id", F.col("turn").alias("a_turn"), F.col("clean").alias("a"))
-    b = t.select(F.col("conv_id").alias("g"), F.col("turn").alias("b_turn"), F.col("clean").alias("b"))
-    mx = F.greatest(F.length("a"), F.length("b"))
-    # |len_a - len_b| <= lev: the length bound is checked before the quadratic distance.
-    cond = ((F.col("conv_id") == F.col("g")) & (F.col("a_turn") < F.col("b_turn"))
-            & (5 * F.abs(F.length("a") - F.length("b")) < mx))
-    pairs = a.join(b, cond).where(5 * F.levenshtein("a", "b") < mx)
-    dropped = pairs.select("conv_id", F.col("b_turn").alias("turn")).distinct()
-    return t.select("conv_id", "turn").join(dropped, ["conv_id", "turn"], "left_anti")
+    return dd.drop_levenshtein_duplicates(_all_turns(spark, sf), "conv_id", ["turn"], "clean").select("conv_id", "turn")
 
 
 _EXT_SQL = f"""

@@ -39,13 +39,62 @@ def test_near_duplicates_match_brute_force(spark):
                 t[rnd.randrange(len(t))] = rnd.choice("abcdefgh ")
             rows.append((g, i, "".join(t)))
     df = spark.createDataFrame(rows, "g int, o int, t string")
-    got = {(r.g, r.o) for r in drop_near_duplicates(df, "g", "o", "t").collect()}
+    got = {(r.g, r.o) for r in drop_near_duplicates(df, "g", ["o"], "t").collect()}
+    small_blocks = {(r.g, r.o) for r in drop_near_duplicates(df, "g", ["o"], "t", block=2).collect()}
     want = set()
     for g, o, t in rows:
         earlier = [u for g2, o2, u in rows if g2 == g and o2 < o]
         if not any(indel_ratio(u, t) > 80.5 for u in earlier):
             want.add((g, o))
-    assert got == want
+    assert got == small_blocks == want
+
+
+def test_two_unlisted_sources_are_two_texts(spark):
+    """Sources outside the priority list keep their own votes, and near-equal texts among them are found."""
+    from seedweave.operators import vote as vt
+    from seedweave.plans.fixtures import SEEDS
+    from seedweave.sources.dictionaries import seeds_from_dict
+    rows = [(1, "web", 0, "der alpha beta gamma"), (1, "mail", 0, "the delta epsilon zeta")]
+    ct = vt.company_texts(spark.createDataFrame(rows, "conv_id long, role string, turn int, text string"),
+                          "conv_id", "role", "turn", "text", ["user"])
+    _, dense, _ = vt.classify_companies(ct, ct.limit(0), seeds_from_dict(spark, SEEDS), sorted(SEEDS), "conv_id", "role")
+    assert {r.label: r.votes for r in dense.collect()} == {"de": 1, "en": 1, "es": 0, "fr": 0}
+    same = [(1, "web", 0, "one text about the same thing"), (1, "mail", 0, "one text about the same things")]
+    ct = vt.company_texts(spark.createDataFrame(same, "conv_id long, role string, turn int, text string"),
+                          "conv_id", "role", "turn", "text", ["user"])
+    for rule in ("indel", "levenshtein"):
+        assert [r.role for r in vt.without_duplicates(ct, "conv_id", "role", rule).collect()] == ["mail"]
+
+
+def test_large_document_ids_and_long_texts_order_the_vocabulary(spark):
+    from seedweave.functions.text import filter_tokens
+    from seedweave.operators import vocab as vc
+    df = spark.createDataFrame([(10**13, "b a"), (1, "c d")], "doc_id long, text string")
+    got = [(r.word, r.idx) for r in vc.first_seen_index(df, filter_tokens("text")).orderBy("idx").collect()]
+    assert got == [("c", 0), ("d", 1), ("b", 2), ("a", 3)]
+
+
+def test_refinement_with_large_and_empty_dictionaries(spark):
+    """A dictionary too large for a row expression gives the same rounds; a round without words ends the loop."""
+    from seedweave.plans.catalog_rank import corpus
+    from seedweave.plans.fixtures import SEEDS
+    from seedweave.plans.refine import refine_dictionary
+    c = corpus(spark, SF).limit(300)
+    many = {k: v + [f"{k}unseen{i}" for i in range(1500)] for k, v in SEEDS.items()}      # 6,016 words
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    a = rows(refine_dictionary(spark, c, many, rounds=2).where("iteration = 1"))
+    b = rows(refine_dictionary(spark, c, many, rounds=2, max_inrow=10_000).where("iteration = 1"))
+    assert a == b and a
+    none = refine_dictionary(spark, c, {"x": ["nosuchword$0"], "y": ["nosuchword$1"], "z": ["nor$0"]}, rounds=3)
+    assert none.columns == ["iteration", "label", "word"] and none.count() == 0
+
+
+def test_append_is_idempotent(spark, tmp_path):
+    from seedweave.operators.vote import append_rows
+    df = spark.createDataFrame([(1, 2)], "client_id int, tag_id int")
+    for batch in ("a", "b", "a"):
+        append_rows(df, str(tmp_path / "rows"), batch)
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 2
 
 
 def test_share_rule_labels_are_hit_labels_and_partition_invariant(spark):
