@@ -151,13 +151,14 @@ class Outbox:
             return
         chunk, name, side = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
-        order = np.lexsort((chunk, side, name))
-        chunk, name, side = chunk[order], name[order], side[order]
+        # Low bits decide the bucket: names sampled as minima crowd at small values.
+        bucket = ((name & np.uint64(0xFFFFFFFF)) * np.uint64(self.buckets)) >> np.uint64(32)
+        order = np.lexsort((chunk, side, name, bucket))
+        chunk, name, side, bucket = chunk[order], name[order], side[order], bucket[order]
         new = np.concatenate(([True], (name[1:] != name[:-1]) | (side[1:] != side[:-1]) | (chunk[1:] != chunk[:-1])))
         at = np.flatnonzero(new)
         more = (np.diff(np.concatenate((at, [len(new)]))) > 1).astype(np.uint8)
-        chunk, name, side = chunk[at], name[at], side[at]
-        bucket = ((name >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
+        chunk, name, side, bucket = chunk[at], name[at], side[at], bucket[at]
         edge = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
         cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int64)), cut(chunk), cut(more), cut(name),
