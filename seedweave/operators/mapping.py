@@ -29,11 +29,13 @@ def not_yet_done(todo: DataFrame, done: DataFrame, key: str, null_aware: bool =
     SQL ``NOT IN`` meaning (nothing survives if ``done`` holds a NULL, Q20).
     """
     d = done.select(key).where(F.col(key).isNotNull())
+    left = todo.join(d, key, "left_anti")
     if not null_aware:
-        return todo.join(d, key, "left_anti")
-    todo.createOrReplaceTempView("_sw_todo")
-    done.select(key).createOrReplaceTempView("_sw_done")
-    return todo.sparkSession.sql(f"SELECT * FROM _sw_todo WHERE {key} NOT IN (SELECT {key} FROM _sw_done)")
+        return left
+    # NOT IN an empty set holds for every row; a NULL on either side of a non-empty set is never "not in".
+    nulls = done.agg(F.count(F.when(F.col(key).isNull(), 1))).scalar()
+    rows = done.agg(F.count(F.lit(1))).scalar()
+    return left.where((rows == 0) | ((nulls == 0) & F.col(key).isNotNull()))
 
 
 def min_id_per_key(df: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -50,16 +52,27 @@ def explode_list_map(df: DataFrame, id_col: str, list_col: str, mapping: DataFra
     return items.join(m, key).select(id_col, value)
 
 
-def left_join_checked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join that fails on fan-out (duplicate keys on the right).
+def left_join_checked(left: DataFrame, right: DataFrame, key: str, columns: list[str] | None = None,
+                      every_key: bool = False) -> DataFrame:
+    """Left join that fails, when it runs, on fan-out (duplicate keys on the right).
 
-    The uniqueness test is one aggregate over the right side; the join itself
-    stays lazy.
+    ``columns`` states the columns the right side must have (checked at once);
+    ``every_key`` makes a left row without a partner fail too. Nothing runs while
+    the plan is built.
     """
-    dup = right.groupBy(key).count().where("count > 1").limit(1).count()
-    if dup:
-        raise ValueError(f"left join on {key!r} would fan out: duplicate keys on the right")
-    return left.join(right, key, "left")
+    if columns is not None and sorted(right.columns) != sorted(columns):
+        raise ValueError(f"right side has columns {right.columns}, not {columns}")
+    others = [c for c in right.columns if c != key]
+    one = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in others])
+    wrong = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"left join on {key} would fan out at "), F.col(key).cast("string"))))
+    if every_key:
+        wrong = F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit(f"no row on the right for {key} "), F.col(key).cast("string")))) \
+            .otherwise(wrong)
+    # The check is part of the first added column (or of the key), so it can't be pruned away.
+    out = left.join(one, key, "left")
+    checked = others[0] if others else key
+    kind = out.schema[checked].dataType
+    return out.withColumn(checked, F.coalesce(wrong.cast(kind), F.col(checked))).drop("_n")
 
 
 def distinct_mapped_list(df: DataFrame, id_col: str, list_col: str, mapping: DataFrame,
@@ -89,14 +102,29 @@ def external_votes(clients: DataFrame, external: DataFrame, key: str, label: str
     return clients.join(ext, [key, label], "left").select(key, label, F.coalesce("w", F.lit(0)).alias("weight"))
 
 
-def keyword_containment(texts: DataFrame, text_col: str, keywords: DataFrame, kw_col: str = "kw") -> DataFrame:
+def keyword_containment(texts: DataFrame, text_col: str, keywords: DataFrame, kw_col: str = "kw", q: int = 3,
+                        min_len: int = 1) -> DataFrame:
     """(text row, keyword) for every keyword that is a substring of the text.
 
-    A theta join; the keyword side is a size-checked broadcast, so each task
-    scans its text rows against the keyword list without a shuffle.
+    Equi-joins on grams: a keyword is looked up by its first ``q`` letters among the
+    distinct grams of a text, then tested whole; a shorter one is a gram itself.
+    ``min_len`` states the length of the shortest keyword (at least 1), which saves
+    the joins for shorter ones.
     """
-    k = size_checked_broadcast(keywords)
-    return texts.join(k, F.col(text_col).contains(F.col(kw_col)))
+    rows = texts.withColumn("_chars", F.split(F.col(text_col), ""))
+    kw = keywords.withColumn("_len", F.length(kw_col))
+    out = None
+    for n in range(1, q + 1):
+        if n < min_len and n < q:
+            continue
+        size = F.size("_chars") - n
+        gram = F.transform(F.sequence(F.lit(0), size), lambda i: F.concat(*[F.get(F.col("_chars"), i + k) for k in range(n)]))  # noqa: B023
+        grams = rows.withColumn("_gram", F.explode_outer(F.when(size >= 0, F.array_distinct(gram)))).drop("_chars") \
+            .where(F.col("_gram").isNotNull())
+        mine = kw.where(F.col("_len") >= q if n == q else F.col("_len") == n).withColumn("_gram", F.substring(kw_col, 1, n))
+        hits = grams.join(mine, "_gram").where(F.col(text_col).contains(F.col(kw_col))).drop("_gram", "_len")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def tag_frequency(df: DataFrame, list_col: str, sep: str = ",") -> DataFrame:
@@ -123,5 +151,10 @@ def tag_category_pairs(df: DataFrame, id_col: str, tags_col: str, categories: Da
 
 
 def concat_distinct_lists(df: DataFrame, key: str, list_col: str) -> DataFrame:
-    """Per key, the sorted distinct union of all lists."""
-    return df.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(list_col)))).alias(list_col))
+    """Per key, the sorted distinct union of all lists.
+
+    Doubles go before anything is collected: a key's list holds each value once,
+    however many rows the key has. Nulls in a list are left out.
+    """
+    values = df.select(key, F.explode_outer(list_col).alias("_v")).distinct()
+    return values.groupBy(key).agg(F.sort_array(F.collect_set("_v")).alias(list_col))

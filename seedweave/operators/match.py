@@ -153,12 +153,12 @@ def tag_matches(docs: DataFrame, text_col: str, synonyms: DataFrame, tag_ids: Da
     grams = explode_nonempty(toks, F.array_distinct(ngrams_upto("tok", max_n)), "word", "doc_id")
     counts = label_counts(grams, synonyms.withColumnRenamed("tag", "label"))
     hit = (counts.where(F.col("n") >= min_hits)
-           .join(F.broadcast(tag_ids.withColumnRenamed("tag", "label")), "label")
+           .join(tag_ids.withColumnRenamed("tag", "label"), "label")
            .select("doc_id", "tag_id"))
     from seedweave.operators.mapping import expand_links
     expanded = expand_links(hit, links, key="doc_id", node="tag_id", hops=hops)
     known = tag_ids.select("tag_id").distinct()
-    return expanded.join(F.broadcast(known), "tag_id", "left_semi").select("doc_id", "tag_id").distinct()
+    return expanded.join(known, "tag_id", "left_semi").select("doc_id", "tag_id").distinct()
 
 
 # ---------------------------------------------------------------------------

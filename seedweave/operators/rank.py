@@ -81,7 +81,7 @@ def rank_table(corpus: DataFrame, labelled: DataFrame, tokens: str = "tokens", l
     if vocabulary is not None:
         ls = ls.join(vocabulary.select("word").distinct(), "word", "left_semi")
     nl = docs_per_label(labelled, labels)
-    j = ls.join(dfw, "word").join(F.broadcast(nl), "label")  # one row per label: bounded
+    j = ls.join(dfw, "word").join(nl, "label")  # one row per label: bounded
     out = j.select(
         "label", "word",
         (F.col("df_l") / F.col("df")).alias("reldocfreq"),

@@ -140,7 +140,7 @@ SELECT n.n_nationkey, n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regi
 def j10_code_lookup(spark, sf):
     n = table(spark, sf, "nation")
     r = table(spark, sf, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
 @query("j11_keyword_containment", """
@@ -151,7 +151,7 @@ def j11_keyword_containment(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("lt"))
     k = table(spark, sf, "benchmark").select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{10,}"), 0)).alias("kw")).distinct()
-    return mp.keyword_containment(d, "lt", k, "kw").select("doc_id", "kw")
+    return mp.keyword_containment(d, "lt", k, "kw", q=8, min_len=10).select("doc_id", "kw")
 
 
 @query("j15_canonical_word", f"""

@@ -112,8 +112,8 @@ def p5_argmax_rule(spark, sf):
 _GRAMS_SQL = sql_ngrams_upto(sql_word_tokens("text"), 4)
 
 
-@query("p6_production_rule", f"""
-WITH g AS (SELECT doc_id, list_distinct({_GRAMS_SQL}) AS grams FROM conversations_docs),
+P6_SQL = f"""
+WITH g AS (SELECT doc_id, list_distinct({_GRAMS_SQL}) AS grams FROM docs_here),
 g2 AS (SELECT * FROM g WHERE len(grams) > 0),
 tok AS (SELECT doc_id, unnest(grams) AS word FROM g2),
 seeds AS {seeds_values_sql(SEEDS)},
@@ -125,7 +125,10 @@ st AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id) AS share,
 fin AS (SELECT *, max(CAST(share >= 0.2 AS INT)) OVER (PARTITION BY doc_id) AS anyp FROM st),
 pk AS (SELECT doc_id, label FROM fin WHERE share >= 0.2 OR (anyp = 0 AND rk = 1))
 SELECT g2.doc_id, pk.label FROM g2 LEFT JOIN pk USING (doc_id)
-""".replace("conversations_docs", "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"))
+"""
+
+
+@query("p6_production_rule", P6_SQL.replace("docs_here", "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"))
 def p6_production_rule(spark, sf):
     conv = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seedweave.functions.text import PUNCTUATION, char_class, explode_nonempty, punctuation_to_space, word_tokens
 from seedweave.operators import ml
 from seedweave.operators.match import inrow_share_labels
-from seedweave.plans.catalog_rank import corpus
+from seedweave.plans.catalog_rank import _corpus_sql, corpus
 from seedweave.plans.fixtures import SEEDS
 from seedweave.plans.registry import query
 from seedweave.session import table
@@ -27,17 +27,29 @@ def k1_word_vectors(spark, sf):
     return vecs.select("word", F.size("vec").alias("dims"), F.round(norm("vec"), 6).alias("norm"))
 
 
-@query("k2_random_vectors")
+_MD5_28 = "CAST('0x' || substr(md5({}), 1, 7) AS BIGINT)"
+
+
+@query("k2_random_vectors", f"""
+WITH {_corpus_sql()},
+w AS (SELECT DISTINCT unnest(tokens) AS word FROM ct),
+x AS (SELECT word, -0.25::DOUBLE + 0.5::DOUBLE * ({_MD5_28.format("word || ':' || i || ':42'")} / 268435455.0::DOUBLE) AS v
+      FROM w, range(0, 100) r(i))
+SELECT word, round(min(v), 6) AS lo, round(max(v), 6) AS hi FROM x GROUP BY word
+""")
 def k2_random_vectors(spark, sf):
-    """K2: hash-seeded uniform(-0.25, 0.25) vectors for words without one (P)."""
+    """K2: hash-seeded uniform(-0.25, 0.25) vectors for words without one."""
     words = explode_nonempty(_sent_tokens(spark, sf), F.col("tokens"), "word").select("word").distinct()
     v = ml.random_vectors(words)
-    return v.select("word", F.array_min("vec").alias("lo"), F.array_max("vec").alias("hi"))
+    return v.select("word", F.round(F.array_min("vec"), 6).alias("lo"), F.round(F.array_max("vec"), 6).alias("hi"))
 
 
-@query("k3_train_dev_split")
+@query("k3_train_dev_split", f"""
+SELECT doc_id, CASE WHEN {_MD5_28.format("CAST(doc_id AS VARCHAR) || ':42'")} % 10 < 1 THEN 'dev' ELSE 'train' END AS split
+FROM documents
+""")
 def k3_train_dev_split(spark, sf):
-    """K3: 90/10 split by hash of the document id (P: DuckDB has no xxhash64)."""
+    """K3: 90/10 split by hash of the document id."""
     d = table(spark, sf, "documents").select("doc_id")
     return ml.train_dev_split(d, "doc_id")
 

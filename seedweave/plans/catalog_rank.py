@@ -111,7 +111,7 @@ def a5_relative_frequency(spark, sf):
     lab = labelled(corpus(spark, sf))
     ls = rk.label_stats(lab)
     nl = rk.docs_per_label(lab)
-    out = ls.join(F.broadcast(nl), "label").select("label", "word", (F.col("tf_l") / F.col("n_l")).alias("rel_freq_raw"))
+    out = ls.join(nl, "label").select("label", "word", (F.col("tf_l") / F.col("n_l")).alias("rel_freq_raw"))
     return _r6(out, {"rel_freq_raw"})
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seedweave.functions import labels as lb
 from seedweave.operators import sampling as sp
 from seedweave.operators.windows import first_per_key
+from seedweave.plans.catalog_match import P6_SQL
 from seedweave.plans.registry import query
 from seedweave.session import table
 
@@ -14,25 +17,29 @@ LANGS = ["de", "en", "es", "fr"]
 _LANGS_SQL = "['de', 'en', 'es', 'fr']"
 
 
-@query("d1_one_vs_all", f"""
+def _one_vs_all_sql(order: str) -> str:
+    return f"""
 WITH d AS (SELECT doc_id, lang FROM documents),
 n AS (SELECT lang AS target, CAST(ceil(count(*) / 3.0) AS BIGINT) AS quota FROM d GROUP BY lang),
 t AS (SELECT d.doc_id, d.lang, x.target FROM d, (SELECT unnest({_LANGS_SQL}) AS target) x),
 pos AS (SELECT target, doc_id, lang AS label FROM t WHERE lang = target),
 neg AS (SELECT target, doc_id, 'Other' AS label FROM (
-          SELECT t.*, n.quota, row_number() OVER (PARTITION BY t.target, t.lang ORDER BY t.doc_id) AS rn
+          SELECT t.*, n.quota, row_number() OVER (PARTITION BY t.target, t.lang ORDER BY {order}) AS rn
           FROM t JOIN n USING (target) WHERE t.lang <> t.target) WHERE rn <= quota)
 SELECT * FROM pos UNION ALL SELECT * FROM neg
-""")
+"""
+
+
+@query("d1_one_vs_all", _one_vs_all_sql("t.doc_id"))
 def d1_one_vs_all(spark, sf):
     """D1 with id order inside each class (the hash-ordered form is the default API)."""
     d = table(spark, sf, "documents").select("doc_id", "lang")
     return sp.one_vs_all(d, "doc_id", "lang", LANGS, seed=None).select("target", "doc_id", "label")
 
 
-@query("d1_one_vs_all_hashed")
+@query("d1_one_vs_all_hashed", _one_vs_all_sql("md5(CAST(t.doc_id AS VARCHAR) || ':42'), t.doc_id"))
 def d1_one_vs_all_hashed(spark, sf):
-    """D1 with xxhash64(id, 42) order inside each class (P)."""
+    """D1 with the order of the MD5 of id and seed inside each class."""
     d = table(spark, sf, "documents").select("doc_id", "lang")
     return sp.one_vs_all(d, "doc_id", "lang", LANGS, seed=42).select("target", "doc_id", "label")
 
@@ -49,7 +56,7 @@ def d2_per_class_sample(spark, sf):
 @query("d3_corpus_preparation", """
 WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1),
 f AS (SELECT w.doc_id, w.text, w.lang, l.quality, l.toxic FROM w JOIN labels l USING (doc_id)
-      WHERE w.text <> '—' AND (l.quality = 1 OR l.toxic = 1) AND NOT (l.toxic = 1 AND l.quality = 0 AND false)
+      WHERE w.text <> '—' AND (l.quality = 1 OR l.toxic = 1)
         AND w.lang = 'en' AND length(w.text) > 20)
 SELECT doc_id, lower(text) AS sentence, CAST(quality AS VARCHAR) || ',' || CAST(toxic AS VARCHAR) AS label FROM f
 WHERE NOT (toxic = 1 AND quality = 0)
@@ -71,9 +78,11 @@ def d3_corpus_preparation(spark, sf):
     return j.select("doc_id", F.lower("text").alias("sentence"), F.array_join(hot, ",").alias("label"))  # F1
 
 
-@query("g1_incremental_labels")
+@query("g1_incremental_labels", P6_SQL.replace("docs_here", "(SELECT doc_id, text FROM documents)"))
 def g1_incremental_labels(spark, sf):
-    """G1: documents arrive as a file stream; each micro-batch is labelled (P6) and
-    appended once (anti join on the sink keys); returns the sink contents (P)."""
+    """G1: documents arrive as a file stream; each micro-batch is labelled (P6) and written as one
+    epoch of the sink; returns the sink's rows."""
+    from seedweave.operators.common import checkpoint_dir
     from seedweave.streaming.incremental import run_incremental_labels
-    return run_incremental_labels(spark, sf)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/g1-{uuid.uuid4().hex}"
+    return run_incremental_labels(spark, sf, f"{base}/sink", f"{base}/progress")

@@ -103,7 +103,8 @@ WITH t AS (SELECT doc_id, unnest({sql_word_tokens('text')}) AS word FROM documen
 SELECT word, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY word
 """)
 def x8_word_tokens(spark, sf):
-    t = _docs(spark, sf).select("doc_id", F.explode(tx.word_tokens("text")).alias("word"))
+    t = _docs(spark, sf).select("doc_id", tx.word_tokens("text").alias("_t"))
+    t = tx.explode_nonempty(t, F.col("_t"), "word", "doc_id")
     return t.groupBy("word").agg(F.countDistinct("doc_id").alias("df"), F.count(F.lit(1)).alias("tf"))
 
 
@@ -135,9 +136,21 @@ def x10_tokens_to_indices(spark, sf):
         "doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-@query("x11_doc_tensor")
+@query("x11_doc_tensor", f"""
+WITH t AS (SELECT doc_id, unnest({sql_filter_tokens('text')}) AS word,
+                  unnest(range(len({sql_filter_tokens('text')}))) AS pos FROM documents),
+v AS (SELECT word, count(*) AS tf, min({{'d': doc_id, 'p': pos}}) AS first_seen FROM t GROUP BY word),
+vi AS (SELECT word, row_number() OVER (ORDER BY tf DESC, first_seen) AS idx FROM v),
+s AS (SELECT doc_id, unnest(sents) AS sentence, unnest(range(len(sents))) AS s
+      FROM (SELECT doc_id, {_SENT_SQL.replace("text", "lower(text)")} AS sents FROM documents)),
+st AS (SELECT doc_id, s, unnest(tok) AS word, unnest(range(len(tok))) AS pos
+       FROM (SELECT doc_id, s, {sql_filter_tokens('sentence')} AS tok FROM s WHERE s < 15)),
+ids AS (SELECT doc_id, s, idx, row_number() OVER (PARTITION BY doc_id, s ORDER BY pos DESC) AS r FROM st JOIN vi USING (word))
+SELECT d.doc_id, 15 AS n_rows, 1500 AS n_cells, CAST(coalesce(sum(ids.idx), 0) AS BIGINT) AS id_sum
+FROM documents d LEFT JOIN (SELECT * FROM ids WHERE r <= 100) ids USING (doc_id) GROUP BY d.doc_id
+""")
 def x11_doc_tensor(spark, sf):
-    """X11: 15 x 100 id tensor per document; checked by shape properties (P)."""
+    """X11: 15 x 100 id tensor per document."""
     docs = _docs(spark, sf)
     vocab = vc.vocabulary(docs, tx.filter_tokens("text"))
     t = vc.doc_tensor(docs, vocab, max_sentences=15, max_len=100)

@@ -2,51 +2,49 @@
 
 New documents are read with the file source (``trigger(availableNow=True)``
 processes whatever is there and stops). Each micro-batch is labelled with the
-production rule (P6, a stream-static broadcast join to the seed table) and
-appended to a parquet sink. Documents already in the sink are skipped by a
-left anti join, so a replayed batch after a failure writes nothing twice; the
-stream's own checkpoint lives under the session's shared checkpoint folder.
+production rule (P6, a stream-static join to the seed table) and written to the
+sink's folder ``epoch=<id>``, replacing what an earlier attempt at the same epoch
+left: a replayed batch writes nothing twice. Documents that an earlier epoch has
+labelled are skipped by an anti join with the part of the sink in the batch's range
+of ids. Sink and progress folder are the caller's and are kept between runs, so a
+later call only sees new files.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedweave.operators import match
-from seedweave.operators.common import checkpoint_dir
 from seedweave.plans.fixtures import SEEDS
 from seedweave.sources.dictionaries import seeds_from_dict
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+SINK_SCHEMA = "doc_id bigint, label string, epoch bigint"
 
 
 def label_batch(batch: DataFrame, seeds: DataFrame, n_labels: int) -> DataFrame:
     return match.production_labels(batch.select("doc_id", "text"), "text", seeds, n_labels)
 
 
-def run_incremental_labels(spark: SparkSession, sf_dir: str, out_dir: str | None = None,
-                           seeds: dict | None = None, table_name: str = "documents") -> DataFrame:
+def run_incremental_labels(spark: SparkSession, in_dir: str, sink: str, progress: str, seeds: dict | None = None,
+                           table_name: str = "documents") -> DataFrame:
+    """Label the new files of ``in_dir``; return all rows (doc_id, label) of the sink."""
     seeds = seeds or SEEDS
-    base = f"{checkpoint_dir(spark).rstrip('/')}/g1-{uuid.uuid4().hex}"
-    out_dir = out_dir or f"{base}/sink"
     seeds_df = seeds_from_dict(spark, seeds)
-    stream = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", f"{table_name}.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    stream = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", f"{table_name}*.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(in_dir))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = label_batch(batch, seeds_df, len(seeds)).withColumn("epoch", F.lit(epoch_id))
-        try:
-            done = batch.sparkSession.read.parquet(out_dir).select("doc_id").distinct()
-            out = out.join(done, "doc_id", "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: the sink does not exist yet
-            pass
-        out.write.mode("append").parquet(out_dir)
-
-    q = (stream.writeStream.foreachBatch(write_batch)
-         .option("checkpointLocation", f"{base}/checkpoint")
+        out = label_batch(batch, seeds_df, len(seeds)).select("doc_id", "label")
+        if epoch_id > 0:                       # epoch 0 has made the folder
+            span = batch.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+            done = batch.sparkSession.read.schema(SINK_SCHEMA).parquet(sink) \
+                .where((F.col("epoch") < epoch_id) & F.col("doc_id").between(span["lo"], span["hi"]))
+            out = out.join(done.select("doc_id").distinct(), "doc_id", "left_anti")
+        out.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch_id}")
+
+    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", progress)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir).select("doc_id", "label")
+    return spark.read.schema(SINK_SCHEMA).parquet(sink).select("doc_id", "label")
