@@ -58,8 +58,11 @@ def confusion(pred: DataFrame, truth: DataFrame, docs: DataFrame, labels: DataFr
                                        F.coalesce(f1, F.lit(0.0))))
 
 
-def report(conf: DataFrame, n_docs_exact_match: DataFrame | None = None) -> DataFrame:
-    """Per-label rows plus macro and weighted averages (grouping sets)."""
+AVERAGES = ("accuracy", "macro avg", "weighted avg")
+
+
+def report(conf: DataFrame, accuracy: DataFrame | None = None) -> DataFrame:
+    """Per-label rows plus macro and weighted averages, and with ``subset_accuracy`` rows an accuracy row."""
     per_label = conf.select("label", "precision", "recall", "f1", "support")
     filled = per_label.select("label", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")],
                               "support")
@@ -72,7 +75,69 @@ def report(conf: DataFrame, n_docs_exact_match: DataFrame | None = None) -> Data
                           F.try_divide(F.sum(F.col("recall") * F.col("support")), tot).alias("recall"),
                           F.try_divide(F.sum(F.col("f1") * F.col("support")), tot).alias("f1"),
                           tot.alias("support"))
-    return per_label.unionByName(macro).unionByName(weighted)
+    out = per_label.unionByName(macro).unionByName(weighted)
+    if accuracy is None:
+        return out
+    a = F.col("subset_accuracy")
+    return out.unionByName(accuracy.select(F.lit("accuracy").alias("label"), a.alias("precision"), a.alias("recall"),
+                                           a.alias("f1"), F.col("n_docs").alias("support")))
+
+
+def averages_per_round(history: DataFrame) -> DataFrame:
+    """Accuracy, macro F1 and weighted F1 of every (run, iteration) of a report history."""
+    value = lambda label: F.max(F.when(F.col("label") == label, F.col("f1")))
+    return history.groupBy("run", "iteration").agg(value("accuracy").alias("accuracy"), value("macro avg").alias("macro_f1"),
+                                                   value("weighted avg").alias("weighted_f1"))
+
+
+def _labels_only(history: DataFrame, metric: str) -> DataFrame:
+    rows = history.where(~F.col("label").isin(*AVERAGES))
+    return rows.select("run", "iteration", "label", F.coalesce(metric, F.lit(0.0)).alias("value"))
+
+
+def compare_runs(history: DataFrame, runs: list[str], metric: str = "f1") -> DataFrame:
+    """(iteration, label, one column per run)."""
+    rows = _labels_only(history, metric).where(F.col("run").isin(*runs))
+    return rows.groupBy("iteration", "label").pivot("run", runs).agg(F.max("value"))
+
+
+def metric_per_round(history: DataFrame, metric: str, rounds: int) -> DataFrame:
+    """(label, round_0 .. , change_1 ..) of one run's history."""
+    cols = [F.max(F.when(F.col("iteration") == i, F.col("value"))).alias(f"round_{i}") for i in range(rounds)]
+    wide = _labels_only(history, metric).groupBy("label").agg(*cols)
+    return wide.select("*", *[(F.col(f"round_{i}") - F.col(f"round_{i - 1}")).alias(f"change_{i}") for i in range(1, rounds)])
+
+
+def threshold_sweep(scores: DataFrame, truth: DataFrame, true_col: str, labels: list[str], steps: int = 100) -> DataFrame:
+    """(i, accuracy) of the share rule at thresholds i / steps, for documents with one true label.
+
+    ``scores`` is (doc_id, label, score); missing pairs are 0. A document is right at
+    a threshold if its true label reaches it and no other does, or if none does and
+    the best (on ties the first) label is the true one. The sums over documents
+    are taken per threshold in one aggregate: one row leaves each task.
+    """
+    m = scores.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("m"))
+    j = m.join(truth.select("doc_id", F.col(true_col).alias("t")), "doc_id")
+    s = {l: F.coalesce(F.col("m")[l], F.lit(0.0)) for l in labels}
+    best = F.lit(labels[-1])
+    own, other = F.lit(None).cast("double"), F.lit(-1.0)
+    for l in reversed(labels):
+        own = F.when(F.col("t") == l, s[l]).otherwise(own)
+        other = F.greatest(other, F.when(F.col("t") != l, s[l]).otherwise(F.lit(-1.0)))
+    top = F.greatest(*s.values()) if len(labels) > 1 else s[labels[0]]
+    for l in reversed(labels):
+        best = F.when(s[l] == top, F.lit(l)).otherwise(best)
+    j = j.select(own.alias("own"), other.alias("other"), (best == F.col("t")).alias("best"))
+
+    def right(i):
+        th = F.lit(i / float(steps))
+        over = (F.col("own") >= th) & (F.col("other") < th)
+        none = (F.coalesce("own", F.lit(-1.0)) < th) & (F.col("other") < th)
+        return F.avg((F.coalesce(over, F.lit(False)) | (none & F.col("best"))).cast("int")).alias(f"a{i}")
+
+    wide = j.agg(*[right(i) for i in range(steps)])
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"a{i}").alias("accuracy")) for i in range(steps)])
+    return wide.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def subset_accuracy(pred: DataFrame, truth: DataFrame, docs: DataFrame) -> DataFrame:

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seedweave.functions.text import filter_tokens
 from seedweave.operators import match
 from seedweave.operators import metrics as mt
 from seedweave.operators import rank as rk
-from seedweave.operators.common import local_table
+from seedweave.operators.common import cut_lineage, local_table
 from seedweave.plans.catalog_labels import _P2_SQL, _SHARES_SQL, _p2, _shares
 from seedweave.plans.catalog_rank import SEEDS_U6, _P15_SQL, _corpus_sql, _round1, corpus, labelled
 from seedweave.plans.fixtures import SEEDS, seeds_values_sql, sql_filter_tokens, sql_str
 from seedweave.plans.registry import query
 from seedweave.session import table
 from seedweave.sources.dictionaries import seeds_from_dict
+from seedweave.sources.runs import new_history, read_runs, write_round
 
 LABELS = sorted(SEEDS)
 _LBL_SQL = "(SELECT unnest([" + ", ".join(sql_str(l) for l in LABELS) + "]) AS label)"
@@ -55,8 +55,12 @@ def a21_confusion(spark, sf):
 
 @query("a22_report", f"""
 WITH {_CONF_SQL},
+ps AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS p FROM p2 GROUP BY doc_id),
+exact AS (SELECT avg(CASE WHEN coalesce(ps.p, '') = d.lang THEN 1 ELSE 0 END) AS acc, count(*) AS n
+          FROM documents d LEFT JOIN ps USING (doc_id)),
 f AS (SELECT label, coalesce(precision, 0) AS p, coalesce(recall, 0) AS r, coalesce(f1, 0) AS f, support FROM conf),
 rep AS (SELECT label, precision, recall, f1, support FROM conf
+        UNION ALL SELECT 'accuracy', acc, acc, acc, n FROM exact
         UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(support) FROM f
         UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support),
                          sum(f * support) / sum(support), sum(support) FROM f)
@@ -64,7 +68,8 @@ SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
        CAST(support AS BIGINT) AS support FROM rep
 """)
 def a22_report(spark, sf):
-    r = mt.report(_confusion(spark, sf))
+    truth = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"))
+    r = mt.report(_confusion(spark, sf), mt.subset_accuracy(_p2(spark, sf), truth, truth))
     return _r(r.withColumn("support", F.col("support").cast("long")), {"precision", "recall", "f1"})
 
 
@@ -110,19 +115,9 @@ FROM sel JOIN documents d USING (doc_id) GROUP BY sel.i
 def a25_threshold_sweep(spark, sf):
     """Subset accuracy of the share rule for thresholds 0.00..0.99 on the dense
     (document, label) grid (at 0.00 every label qualifies, Q22)."""
-    sh = _shares(spark, sf)
-    m = sh.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "share"))).alias("m"))
-    lab = F.lit(LABELS)
-    dense = m.select("doc_id", F.transform(lab, lambda l: F.coalesce(F.col("m")[l], F.lit(0.0))).alias("s"))
-    th = dense.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i"))
-    pairs = F.arrays_zip(lab.alias("l"), F.col("s").alias("v"))
-    picked = F.transform(F.filter(pairs, lambda p: p["v"] >= F.col("i") / 100.0), lambda p: p["l"])
-    best = F.array(F.element_at(lab, F.array_position("s", F.array_max("s")).cast("int")))
-    th = th.withColumn("p", F.when(F.size(picked) > 0, picked).otherwise(best))
     truth = table(spark, sf, "documents").select("doc_id", "lang")
-    j = th.join(truth, "doc_id")
-    return j.groupBy("i").agg(F.round(F.avg((F.array_join("p", ",") == F.col("lang")).cast("int")), 6).alias("accuracy")) \
-        .select(F.col("i").cast("int").alias("i"), "accuracy")
+    sweep = mt.threshold_sweep(_shares(spark, sf).withColumnRenamed("share", "score"), truth, "lang", LABELS)
+    return sweep.select("i", F.round("accuracy", 6).alias("accuracy"))
 
 
 _LBL_U6_SQL = "(SELECT unnest([" + ", ".join(sql_str(l) for l in sorted(SEEDS_U6)) + "]) AS label)"
@@ -187,16 +182,117 @@ def n3_best_dictionary_coverage(spark, sf):
 
 
 @query("n6_unmatched_seeds", f"""
-WITH v AS (SELECT DISTINCT unnest({sql_filter_tokens('text')}) AS word FROM documents),
-s AS {seeds_values_sql(SEEDS_U6)}
-SELECT label, word, 'not in corpus' AS reason FROM s WHERE word NOT IN (SELECT word FROM v)
+WITH {_corpus_sql(SEEDS_U6)},
+v AS (SELECT DISTINCT unnest({sql_filter_tokens('text')}) AS word FROM documents)
+SELECT s.label, s.word, CASE WHEN s.word NOT IN (SELECT word FROM v) THEN 'not in corpus'
+         WHEN s.label NOT IN (SELECT label FROM nl) THEN 'label without documents' ELSE 'below the document frequency' END AS reason
+FROM seeds s LEFT JOIN rt USING (label, word) WHERE rt.rank IS NULL
 """)
 def n6_unmatched_seeds(spark, sf):
-    """Seeds that never occur in the corpus, with the reason."""
+    """Seeds without a rank, with the reason."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    v = match.explode_tokens(d, filter_tokens("text")).select("word").distinct()
+    v = match.explode_tokens(d, filter_tokens("text")).select("word").distinct().withColumn("seen", F.lit(True))
+    ranks, sizes = rk.rank_labelled(labelled(corpus(spark, sf), SEEDS_U6), min_df=5)
     s = seeds_from_dict(spark, SEEDS_U6).select("label", "word")
-    return s.join(v, "word", "left_anti").select("label", "word", F.lit("not in corpus").alias("reason"))
+    j = s.join(ranks.select("label", "word"), ["label", "word"], "left_anti").join(v, "word", "left").join(sizes, "label", "left")
+    reason = F.when(F.col("seen").isNull(), "not in corpus").when(F.col("n_l").isNull(), "label without documents") \
+        .otherwise("below the document frequency")
+    return j.select("label", "word", reason.alias("reason"))
+
+
+@query("n6_dropped_rows", """
+SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'no text' WHEN length(text) <= 20 THEN 'too short'
+            WHEN lang <> 'en' THEN 'other language' END AS reason, count(*) AS n
+FROM documents GROUP BY 1 HAVING reason IS NOT NULL
+""")
+def n6_dropped_rows(spark, sf):
+    """Rows that corpus preparation drops, counted by reason."""
+    reason = F.when(F.col("text").isNull() | (F.trim("text") == ""), "no text").when(F.length("text") <= 20, "too short") \
+        .when(F.col("lang") != "en", "other language")
+    d = table(spark, sf, "documents").select(reason.alias("reason")).where("reason IS NOT NULL")
+    return d.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
 
+# --- runs and rounds -----------------------------------------------------------
+# Two runs (thresholds) of two rounds (the seeds, then the round-1 dictionary).
+RUNS = {"share20": 0.2, "share40": 0.4}
 
-_ = Window
+
+def _history_sql() -> str:
+    out = f"""WITH {_P15_SQL},
+base_tok AS (SELECT doc_id, unnest({sql_filter_tokens('text')}) AS word FROM documents),
+dicts AS (SELECT 0 AS iteration, label, word FROM (SELECT DISTINCT label, word FROM seeds)
+          UNION ALL SELECT 1, label, word FROM newd),
+h_cnt AS (SELECT iteration, doc_id, label, count(*) AS n FROM base_tok JOIN dicts USING (word) GROUP BY ALL),
+h_st AS (SELECT *, n / sum(n) OVER (PARTITION BY iteration, doc_id) AS share,
+                row_number() OVER (PARTITION BY iteration, doc_id ORDER BY n DESC, label) AS rk FROM h_cnt),
+runs AS (SELECT * FROM (VALUES {", ".join(f"('{r}', {t})" for r, t in RUNS.items())}) AS r(run, th)),
+h_fin AS (SELECT run, h_st.*, share >= th AS pk, max(CAST(share >= th AS INT)) OVER (PARTITION BY run, iteration, doc_id) AS anyp
+          FROM h_st, runs),
+pred AS (SELECT run, iteration, doc_id, label FROM h_fin WHERE pk OR (anyp = 0 AND rk = 1)),
+keys AS (SELECT run, iteration FROM runs, (SELECT unnest([0, 1]) AS iteration)),
+truth AS (SELECT run, iteration, doc_id, lang AS label FROM documents, keys),
+pt AS (SELECT coalesce(p.run, t.run) AS run, coalesce(p.iteration, t.iteration) AS iteration, coalesce(p.label, t.label) AS label,
+              p.doc_id IS NOT NULL AS ip, t.doc_id IS NOT NULL AS it
+       FROM pred p FULL OUTER JOIN truth t ON p.run = t.run AND p.iteration = t.iteration AND p.doc_id = t.doc_id AND p.label = t.label),
+agg AS (SELECT run, iteration, label, sum(CAST(ip AND it AS INT)) AS tp, sum(CAST(ip AND NOT it AS INT)) AS fp,
+               sum(CAST(it AND NOT ip AS INT)) AS fn FROM pt GROUP BY ALL),
+per_label AS (SELECT run, iteration, label, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision,
+               CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall, tp + fn AS support FROM agg
+               WHERE label IN ({", ".join(sql_str(l) for l in LABELS)})),
+hist AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM per_label),
+sets AS (SELECT run, iteration, doc_id, string_agg(label, ',' ORDER BY label) AS p FROM pred GROUP BY ALL),
+acc AS (SELECT k.run, k.iteration, avg(CASE WHEN coalesce(s.p, '') = d.lang THEN 1 ELSE 0 END) AS accuracy
+        FROM documents d CROSS JOIN keys k LEFT JOIN sets s ON s.run = k.run AND s.iteration = k.iteration AND s.doc_id = d.doc_id
+        GROUP BY ALL)"""
+    return out
+
+
+def _history(spark, sf):
+    """The runs' reports, written by run and round and read back."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    truth = docs.select("doc_id", F.col("lang").alias("label"))
+    labels = local_table(spark, [(l,) for l in LABELS], ["label"])
+    path = new_history(spark)
+    seeds = seeds_from_dict(spark, SEEDS_U6).select("label", "word")
+    for it, d in enumerate((seeds, cut_lineage(_round1(spark, sf)))):
+        counts = cut_lineage(match.label_counts(match.explode_tokens(docs, filter_tokens("text")), d))
+        for run, threshold in RUNS.items():
+            pred = match.share_rule(counts, len(SEEDS_U6), threshold)
+            conf = mt.confusion(pred, truth, truth, labels)
+            write_round(mt.report(conf, mt.subset_accuracy(pred, truth, truth)), path, run, it)
+    return read_runs(spark, path)
+
+
+@query("n4_averages_per_round", f"""
+{_history_sql()}
+SELECT run, iteration, round(any_value(accuracy), 6) AS accuracy, round(avg(f1), 6) AS macro_f1,
+       round(sum(f1 * support) / sum(support), 6) AS weighted_f1
+FROM hist JOIN acc USING (run, iteration) GROUP BY run, iteration
+""")
+def n4_averages_per_round(spark, sf):
+    """N4 + S9: accuracy, macro and weighted F1 of every round of every run."""
+    return _r(mt.averages_per_round(_history(spark, sf)), {"accuracy", "macro_f1", "weighted_f1"})
+
+
+@query("n5_compare_runs", f"""
+{_history_sql()}
+SELECT iteration, label, round(max(CASE WHEN run = 'share20' THEN f1 END), 6) AS share20,
+       round(max(CASE WHEN run = 'share40' THEN f1 END), 6) AS share40 FROM hist GROUP BY iteration, label
+""")
+def n5_compare_runs(spark, sf):
+    """A label's F1 in the runs named, side by side."""
+    return _r(mt.compare_runs(_history(spark, sf), list(RUNS), "f1"), set(RUNS))
+
+
+@query("w11_metric_per_round", f"""
+{_history_sql()}
+SELECT label, round(max(CASE WHEN iteration = 0 THEN recall END), 6) AS round_0,
+       round(max(CASE WHEN iteration = 1 THEN recall END), 6) AS round_1,
+       round(max(CASE WHEN iteration = 1 THEN recall END) - max(CASE WHEN iteration = 0 THEN recall END), 6) AS change_1
+FROM hist WHERE run = 'share20' GROUP BY label
+""")
+def w11_metric_per_round(spark, sf):
+    """A metric per label across the rounds of a run, pivoted, with the change from round to round."""
+    hist = _history(spark, sf).where("run = 'share20'")
+    return _r(mt.metric_per_round(hist, "recall", 2), {"round_0", "round_1", "change_1"})

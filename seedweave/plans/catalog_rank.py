@@ -212,15 +212,3 @@ def p16_refine_loop(spark, sf):
     from seedweave.plans.refine import refine_dictionary
     hist = refine_dictionary(spark, corpus(spark, sf), SEEDS)
     return hist.select("iteration", "label", "word")
-
-
-@query("w11_words_per_round")
-def w11_words_per_round(spark, sf):
-    """Dictionary size per label across rounds, pivoted by iteration, with the change (P)."""
-    from pyspark.sql import Window
-
-    from seedweave.plans.refine import refine_dictionary
-    hist = refine_dictionary(spark, corpus(spark, sf), SEEDS, rounds=3)
-    sizes = hist.groupBy("label", "iteration").agg(F.count(F.lit(1)).alias("n_words"))
-    w = Window.partitionBy("label").orderBy("iteration")
-    return sizes.withColumn("change", F.col("n_words") - F.lag("n_words").over(w))
