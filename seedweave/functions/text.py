@@ -173,29 +173,58 @@ def ngrams_upto(tokens, n_max: int, n_min: int = 1) -> Column:
 
 
 # X13 -------------------------------------------------------------------------
-def merge_bigrams(tokens, bigrams: Column) -> Column:
-    """Join listed bigrams into one word, greedy from the left.
+def merge_bigrams(text, bigrams: list[str]) -> Column:
+    """Join listed word pairs into one word: "Buy Real estate, now" -> "Buy Realestate, now".
 
-    ``bigrams`` is an array<string> column of "a b" strings (small list; for a
-    large list explode the tokens and join instead). A token that starts a
-    listed pair absorbs the next token, which is then dropped.
+    Pairs are runs of word characters with white space between, compared in lower
+    case; matches are taken from the left and don't overlap. One pattern, so a text
+    is passed once. For a small list.
     """
-    t = _c(tokens)
-    n = F.size(t)
-    # state: struct(out array, skip bool)
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
+    if not bigrams:
+        return _c(text)
+    # No entry is a prefix of another's match: both words must end at word boundaries.
+    pairs = sorted({tuple(b.lower().split(" ")) for b in bigrams if len(b.split(" ")) == 2}, reverse=True)
+    out = "|".join(rf"(?<=(?<![\p{{L}}\p{{N}}_]){_escape(a)})\s+(?={_escape(b)}(?![\p{{L}}\p{{N}}_]))" for a, b in pairs)
+    return F.regexp_replace(_c(text), f"(?iu)(?:{out})", "") if not _chained(pairs) else _merge_in_order(_c(text), pairs)
+
+
+def _escape(word: str) -> str:
+    return "".join(ch if ch.isalnum() or ch == "_" else "\\" + ch for ch in word)
+
+
+def _chained(pairs) -> bool:
+    """Whether a pair may begin with the word that another ends with, so that matches can overlap."""
+    return bool({a for a, _ in pairs} & {b for _, b in pairs})
+
 
-    def step(acc, i):
-        cur = F.element_at(t, i)
-        nxt = F.when(i < n, F.element_at(t, i + 1))
-        pair = F.concat_ws(" ", cur, nxt)
-        hit = (~acc["skip"]) & nxt.isNotNull() & F.array_contains(bigrams, pair)
-        return F.when(acc["skip"], F.struct(acc["out"].alias("out"), F.lit(False).alias("skip"))) \
-            .when(hit, F.struct(F.array_append(acc["out"], F.concat(cur, nxt)).alias("out"), F.lit(True).alias("skip"))) \
-            .otherwise(F.struct(F.array_append(acc["out"], cur).alias("out"), F.lit(False).alias("skip")))
+def _merge_in_order(text: Column, pairs) -> Column:
+    """Non-overlapping matches from the left: the second word is consumed with its pair."""
+    edge, word = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    any_ = "|".join(rf"{_escape(a)}\s+{_escape(b)}" for a, b in pairs)
+    hits = F.regexp_extract_all(text, F.lit(f"(?iu){edge}(?:{any_}){word}"), F.lit(0))
+    rest = F.split(text, f"(?iu){edge}(?:{any_}){word}", -1)
+    joined = F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.regexp_replace(F.get(hits, i), r"\s+", ""), F.lit(""))))
+    return F.array_join(joined, "")
 
-    return F.when(n == 0, t).otherwise(
-        F.aggregate(F.sequence(F.lit(1), n), init, step)["out"])
+
+# X14 -------------------------------------------------------------------------
+def merge_seed_bigrams(seeds, label: str = "label", word: str = "word", pos: str = "pos"):
+    """Dictionary side of X13: (seeds with two-word entries as one word ``jj<pos>``, the map bigram -> word).
+
+    Both are DataFrames; of a bigram under several labels or places the map keeps the
+    smallest place.
+    """
+    two = F.size(F.split(F.col(word), " ")) == 2
+    mono = F.concat(F.lit("jj"), F.col(pos).cast("string"))
+    new = seeds.withColumn(word, F.when(two, mono).otherwise(F.col(word)))
+    pairs = seeds.where(two).groupBy(F.col(word).alias("bigram")).agg(F.min(pos).alias(pos))
+    return new, pairs.select("bigram", mono.alias("word"))
+
+
+# X16 -------------------------------------------------------------------------
+def join_sentences(sentences) -> Column:
+    """An array of sentences as one text, " . " between them."""
+    return F.array_join(_c(sentences), " . ")
 
 
 # X15 -------------------------------------------------------------------------
@@ -210,9 +239,6 @@ def sense_index(c) -> Column:
     return F.when(_c(c).contains("$"), F.regexp_extract(_c(c), r"\$([^$]*)$", 1).try_cast("int"))
 
 
-def sense_token(word, sense) -> Column:
-    return F.concat(_c(word), F.lit("$"), _c(sense).cast("string"))
-
 
 # X16 / X29 -------------------------------------------------------------------
 def join_ordered(items, sep: str = " ") -> Column:

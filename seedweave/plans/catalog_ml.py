@@ -114,25 +114,38 @@ def a26_cluster_sizes(spark, sf):
     return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a26_cluster_words")
+def a26_cluster_words(spark, sf):
+    """The words that mark each k-means cluster (P)."""
+    c, feats = _features(spark, sf)
+    _, clustered = ml.kmeans_clusters(feats.select("doc_id", "features", "tokens"), 4)
+    return ml.cluster_words(clustered).select("cluster", "word", F.round("rank", 6).alias("rank"), "pos")
+
+
 @query("k11_pca")
 def k11_pca(spark, sf):
-    """2-d PCA of the document vectors (P)."""
+    """2-d PCA of the document vectors, and of the centers of four clusters of them (P)."""
     c = _sent_tokens(spark, sf)
     model, _ = ml.word_vectors(c, "tokens", size=20)
     v = model.transform(c.select("doc_id", "tokens")).withColumnRenamed("docvec", "features")
-    _, proj = ml.pca_projection(v, 2)
-    return proj.select("doc_id", F.round(proj["pca"][0], 6).alias("pc1"), F.round(proj["pca"][1], 6).alias("pc2"))
+    pca, proj = ml.pca_projection(v, 2)
+    km, _ = ml.kmeans_clusters(v, 4)
+    from pyspark.ml.linalg import Vectors
+    centers = spark.createDataFrame([(-1 - i, Vectors.dense(x)) for i, x in enumerate(km.clusterCenters())], ["doc_id", "features"])
+    from pyspark.ml.functions import vector_to_array
+    cproj = pca.transform(centers).select("doc_id", vector_to_array("pca_v").alias("pca"))
+    both = proj.select("doc_id", "pca").unionByName(cproj)       # centers have negative ids
+    return both.select("doc_id", F.round(F.col("pca")[0], 6).alias("pc1"), F.round(F.col("pca")[1], 6).alias("pc2"))
 
 
 @query("k12_svd")
 def k12_svd(spark, sf):
-    """Top 3 singular values of the benchmark tf-idf matrix (distributed RowMatrix; P)."""
+    """Rows of the benchmark tf-idf matrix on its 3 leading directions, with the singular values (P)."""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), word_tokens("text").alias("tokens"))
     _, feats = ml.tfidf_features(b, "tokens")
-    s = ml.svd_values(feats, 3)
-    from seedweave.operators.common import local_table
-    return local_table(spark, [(i, v) for i, v in enumerate(s)], ["i", "sigma"], ["int", "double"]).join(
-        b.agg(F.count(F.lit(1)).alias("n_rows")))
+    s, proj = ml.truncated_svd(feats.select("doc_id", "features"), 3)
+    return proj.select("doc_id", F.posexplode("svd").alias("i", "x"), F.array(*[F.lit(v) for v in s]).alias("s")) \
+        .select("doc_id", "i", F.round("x", 6).alias("x"), F.round(F.col("s")[F.col("i")], 6).alias("sigma"))
 
 
 @query("k15_similar_words")

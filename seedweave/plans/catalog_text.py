@@ -118,7 +118,8 @@ u AS (SELECT doc_id, unnest(sents) AS sentence, unnest(range(len(sents))) AS pos
 SELECT doc_id, CAST(pos AS INT) AS pos, sentence FROM u
 """)
 def x9_sentences(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.posexplode(tx.sentences("text")).alias("pos", "sentence"))
+    d = _docs(spark, sf)
+    return tx.explode_nonempty(d, tx.sentences("text"), "sentence", "doc_id", with_pos="pos").select("doc_id", "pos", "sentence")
 
 
 @query("x10_tokens_to_indices", f"""
@@ -176,22 +177,53 @@ def x12_ngrams(spark, sf):
 _BIGRAMS_SQL = "[" + ", ".join(sql_str(b) for b in BIGRAMS) + "]"
 
 
+_WB = r"[\p{L}\p{N}_]"
+
+
 @query("x13_merge_bigrams", f"""
-WITH t AS (SELECT p_partkey, list_filter(regexp_split_to_array(p_name || ' ' || lower(p_type) || ' ' || p_name, '\\s+'),
-                  lambda x: x <> '') AS tok FROM part),
-u AS (SELECT p_partkey, unnest(tok) AS w, unnest(range(1, len(tok) + 1)) AS i, tok FROM t),
-m AS (SELECT p_partkey, i,
-        CASE WHEN i < len(tok) AND list_contains({_BIGRAMS_SQL}, w || ' ' || tok[i + 1]) THEN w || tok[i + 1]
-             WHEN i > 1 AND list_contains({_BIGRAMS_SQL}, tok[i - 1] || ' ' || w) THEN NULL
-             ELSE w END AS out FROM u)
-SELECT p_partkey, string_agg(out, ' ' ORDER BY i) AS merged FROM m WHERE out IS NOT NULL GROUP BY p_partkey
+WITH t AS (SELECT p_partkey, upper(p_name[1]) || p_name[2:] || ', ' || lower(p_type) || '  ' || upper(p_name) || '.' AS s FROM part)
+SELECT p_partkey, {"regexp_replace(" * len(BIGRAMS)}s{"".join(
+    rf", '\b({b.split()[0]})\s+({b.split()[1]})\b', '\1\2', 'gi')" for b in BIGRAMS)} AS merged FROM t
 """)
 def x13_merge_bigrams(spark, sf):
-    """X13 on part names (the bigram list has no overlapping pairs, so any merge order agrees)."""
-    p = table(spark, sf, "part").select(
-        "p_partkey", tx.whitespace_tokens(F.concat_ws(" ", "p_name", F.lower("p_type"), "p_name")).alias("tok"))
-    bigrams = F.array(*[F.lit(b) for b in BIGRAMS])
-    return p.select("p_partkey", F.array_join(tx.merge_bigrams("tok", bigrams), " ").alias("merged"))
+    """X13 on part names with capitals, punctuation and double spaces (the list has no overlapping pairs)."""
+    p = table(spark, sf, "part")
+    s = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"), F.lit(", "), F.lower("p_type"), F.lit("  "),
+                 F.upper("p_name"), F.lit("."))
+    return p.select("p_partkey", tx.merge_bigrams(s, BIGRAMS).alias("merged"))
+
+
+_SEED_BIGRAMS = {"a": ["red", "red widget", "small ring"], "b": ["hot gear", "small ring", "cold plate now"]}
+
+
+@query("x14_seed_bigrams", f"""
+WITH s AS (SELECT *, len(string_split(word, ' ')) = 2 AS two FROM {seeds_values_sql(_SEED_BIGRAMS)} s),
+m AS (SELECT word AS bigram, 'jj' || min(pos) AS mono FROM s WHERE two GROUP BY word),
+d AS (SELECT label, CASE WHEN two THEN 'jj' || pos ELSE word END AS word, word AS old FROM s)
+SELECT d.label, d.word, CAST(count(p.p_partkey) AS BIGINT) AS n_parts, any_value(m.mono) AS mono
+FROM d LEFT JOIN part p ON contains(p.p_name, d.old) LEFT JOIN m ON m.bigram = d.old GROUP BY d.label, d.word, d.old
+""")
+def x14_seed_bigrams(spark, sf):
+    """Two-word seeds become one made-up word; with the number of part names that hold the seed and the word the map gives."""
+    from seedweave.operators.mapping import keyword_containment
+    from seedweave.sources.dictionaries import seeds_from_dict
+    seeds = seeds_from_dict(spark, _SEED_BIGRAMS)
+    new, pairs = tx.merge_seed_bigrams(seeds)
+    both = seeds.withColumnRenamed("word", "old").join(new, ["label", "pos"])
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    hits = keyword_containment(parts, "p_name", seeds.select(F.col("word").alias("kw")).distinct(), "kw", min_len=3) \
+        .groupBy("kw").agg(F.count(F.lit(1)).alias("n"))
+    j = both.join(hits, F.col("old") == F.col("kw"), "left").join(pairs.withColumnRenamed("word", "mono"), F.col("old") == F.col("bigram"), "left")
+    return j.select("label", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n_parts"), "mono")
+
+
+@query("x16_join_sentences", f"""
+WITH s AS (SELECT doc_id, {_SENT_SQL} AS sents FROM documents)
+SELECT doc_id, array_to_string(sents, ' . ') AS text FROM s
+""")
+def x16_join_sentences(spark, sf):
+    """A text's sentences joined again."""
+    return _docs(spark, sf).select("doc_id", tx.join_sentences(tx.sentences("text")).alias("text"))
 
 
 @query("x16_rebuild_text", f"""
@@ -201,7 +233,7 @@ SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS sentence FROM t GROUP BY do
 """)
 def x16_rebuild_text(spark, sf):
     """Token rows back to one string per document, in position order (shuffle by doc)."""
-    t = _docs(spark, sf).select("doc_id", F.posexplode(tx.filter_tokens("text")).alias("pos", "word"))
+    t = tx.explode_nonempty(_docs(spark, sf), tx.filter_tokens("text"), "word", "doc_id", with_pos="pos")
     agg = t.groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.col("word").alias("text"))).alias("items"))
     return agg.select("doc_id", tx.join_ordered("items").alias("sentence"))
 
@@ -302,3 +334,20 @@ SELECT doc_id, CAST(len(tok) AS INT) AS n_tokens, array_to_string(tok, ' ') AS k
 def f15_stop_words(spark, sf):
     t = _docs(spark, sf).select("doc_id", tx.remove_stop_words(tx.filter_tokens("text")).alias("tok"))
     return t.select("doc_id", F.size("tok").alias("n_tokens"), F.array_join("tok", " ").alias("kept"))
+
+
+@query("x15_sense_parts", f"""
+WITH t AS (SELECT item_id, unnest({sql_filter_tokens('text')}) AS w, unnest(range(len({sql_filter_tokens('text')}))) AS pos FROM benchmark),
+u AS (SELECT item_id, pos, CASE pos % 4 WHEN 0 THEN w WHEN 1 THEN w || '$' || (pos % 7) WHEN 2 THEN w || '$x' ELSE w || '$a$' || (pos % 5) END AS tok
+      FROM t)
+SELECT item_id, CAST(pos AS INT) AS pos, CASE pos % 4 WHEN 1 THEN string_split(tok, '$')[1] WHEN 3 THEN string_split(tok, '$')[1] || '$a'
+         ELSE tok END AS word, CAST(CASE pos % 4 WHEN 1 THEN pos % 7 WHEN 3 THEN pos % 5 END AS VARCHAR) AS sense FROM u
+""")
+def x15_sense_parts(spark, sf):
+    """Word and sense of tokens with a sense, without one, and with several marks."""
+    b = table(spark, sf, "benchmark")
+    t = tx.explode_nonempty(b, tx.filter_tokens("text"), "w", "item_id", with_pos="pos")
+    k = F.col("pos") % 4
+    tok = F.when(k == 0, F.col("w")).when(k == 1, F.concat("w", F.lit("$"), F.col("pos") % 7)).when(k == 2, F.concat("w", F.lit("$x"))) \
+        .otherwise(F.concat("w", F.lit("$a$"), F.col("pos") % 5))
+    return t.select("item_id", "pos", tx.sense_word(tok).alias("word"), tx.sense_index(tok).cast("string").alias("sense"))

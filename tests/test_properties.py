@@ -141,13 +141,16 @@ def test_textrank_sum_rule_and_weights(spark):
     assert abs(sum(x.weight for x in r) - 4.0) < 1e-9
 
 
-def test_merge_bigrams_greedy():
-    from pyspark.sql import SparkSession
+def test_merge_bigrams_in_text(spark):
+    """Case-blind, across any white space, at word boundaries, from the left without overlaps."""
     from seedweave.functions.text import merge_bigrams
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame([(["a", "b", "c", "b", "c", "x"],)], "t array<string>")
-    out = df.select(merge_bigrams("t", F.array(F.lit("a b"), F.lit("b c")))).first()[0]
-    assert out == ["ab", "c", "bc", "x"]
+    rows = [("Buy Real estate, now",), ("real  estates real\testate",), ("a b c b c x",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r[0] for r in df.select(merge_bigrams("t", ["real estate"])).collect()]
+    assert got == ["Buy Realestate, now", "real  estates realestate", "a b c b c x", None, ""]
+    got = [r[0] for r in df.select(merge_bigrams("t", ["a b", "b c"])).collect()]
+    assert got[2] == "ab c bc x" and got[0] == rows[0][0]
+
 
 
 def test_senses_bounded_by_vectors(spark):
