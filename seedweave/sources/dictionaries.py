@@ -1,4 +1,4 @@
-"""Seed dictionaries, tag maps and other JSON / CSV side inputs.
+"""Seed dictionaries, tag maps and other JSON / CSV side inputs.
 
 Dictionaries are read with Spark (``wholetext`` + ``from_json``) so that the
 same code reads one file or a folder of per-round files on shared storage.

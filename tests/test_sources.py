@@ -47,3 +47,43 @@ def test_mapping_sheet_flag(spark):
     with open(d + "/map.csv", "w") as f:
         f.write("source,target,flag\nweb,Software,1\nsteel,Mining,0\n")
     assert [(r.source, r.target) for r in read_mapping_sheet(spark, d + "/map.csv").collect()] == [("web", "Software")]
+
+
+def test_job_tables_read_back(spark, tmp_path):
+    """What a job leaves is what the next one reads."""
+    from pyspark.sql import functions as F
+
+    from seedweave.functions.text import merge_seed_bigrams, strip_punctuation
+    from seedweave.sources import runs, tables
+    from seedweave.sources.dictionaries import seeds_from_dict
+    at = lambda name: str(tmp_path / name)
+
+    v = spark.createDataFrame([("cat", 1, [1.0, 0.0]), ("cat", 2, [0.5, 0.5]), ("it's", 3, [0.0, 1.0])],
+                              "word string, vec_id int, vec array<double>")
+    tables.write_vectors(v, at("vec"), buckets=4)
+    asked = spark.createDataFrame([("cat!",), ("it's",), ("dog",)], "word string")
+    got = {(r.asked, r.word, r.vec_id) for r in tables.read_vectors(spark, at("vec"), asked, strip_punctuation).collect()}
+    assert got == {("cat!", "cat", 1), ("cat!", "cat", 2), ("it's", "it's", 3)}
+
+    c = spark.createDataFrame([("cat", 0, [1.0, 0.0])], "word string, sense int, center array<double>")
+    tables.write_senses(c, at("senses"))
+    assert tables.read_senses(spark, at("senses")).collect() == c.collect()
+
+    voc = spark.createDataFrame([("cat", 1), ("dog", 2)], "word string, idx int")
+    tables.write_vocabulary(voc, v.where("vec_id <> 2").select("word", "vec"), at("voc"))
+    assert {(r.word, r.idx, r.vec is None) for r in tables.read_vocabulary(spark, at("voc")).collect()} == \
+        {("cat", 1, False), ("dog", 2, True)}
+
+    _, pairs = merge_seed_bigrams(seeds_from_dict(spark, {"x": ["a", "new york"], "y": ["new york"]}))
+    tables.write_bigrams(pairs, at("big"))
+    assert [tuple(r) for r in tables.read_bigrams(spark, at("big")).collect()] == [("new york", "jj0")]
+
+    tables.write_corpus(voc, at("corpus"))
+    assert sorted(spark.read.parquet(at("corpus")).collect()) == sorted(voc.collect())
+
+    rep = spark.createDataFrame([("de", 1.0, 0.5, 0.6, 4)], "label string, precision double, recall double, f1 double, support long")
+    for run, it in (("a", 0), ("a", 1), ("b", 0), ("a", 1)):
+        runs.write_round(rep, at("hist"), run, it)
+    assert runs.read_runs(spark, at("hist"), ["a"]).select("run", "iteration").orderBy("iteration").collect() == [("a", 0), ("a", 1)]
+    runs.write_dictionary(seeds_from_dict(spark, {"x": ["w"]}).withColumn("extra", F.lit(1)), at("dict"), "a", 0)
+    assert [tuple(r) for r in runs.read_runs(spark, at("dict"), schema=runs.DICTIONARY_SCHEMA).collect()] == [("x", "w", "a", 0)]
