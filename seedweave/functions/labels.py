@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedweave.operators.common import local_table
-
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -29,9 +27,11 @@ def labels_array(labels: list[str]) -> Column:
     return F.array(*[F.lit(l) for l in labels])
 
 
-def label_index_table(spark, labels: list[str]) -> DataFrame:
-    """(label, idx) in alphabetical order, 0-based."""
-    return local_table(spark, [(l, i) for i, l in enumerate(sorted(labels))], ["label", "idx"], ["string", "int"])
+def label_index(df: DataFrame, col: str) -> DataFrame:
+    """(label, idx) of the distinct labels in alphabetical order, 0-based; any number of labels."""
+    from seedweave.operators.windows import global_index
+    labels = df.select(F.col(col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    return global_index(labels, [F.col("label")], "idx", start=0).select("label", F.col("idx").cast("int").alias("idx"))
 
 
 def one_hot(label, labels: list[str]) -> Column:

@@ -5,20 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a lookup table we are willing to broadcast; beyond it the join is
-# left to a shuffle join (sort-merge), which scales with the cluster.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def size_checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    The bound is checked with a LIMIT-ed count, so a huge table costs at most
-    ``max_rows + 1`` rows of work before we decide not to broadcast it.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
     from seedweave.session import ensure_checkpoint_dir
@@ -31,10 +17,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def round_cols(df: DataFrame, cols, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(c), places).alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
 def _sql_lit(v) -> str:
     if v is None:
         return "NULL"

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedweave.functions.text import split_trim
-from seedweave.operators.common import size_checked_broadcast
 
 
 def lookup_map_column(spark, pairs):
@@ -48,7 +47,7 @@ def explode_list_map(df: DataFrame, id_col: str, list_col: str, mapping: DataFra
                      sep: str = ",", key: str = "key", value: str = "value") -> DataFrame:
     """One row per (id, mapped value); duplicates kept."""
     items = df.select(id_col, F.explode(split_trim(list_col, sep)).alias(key))
-    m = size_checked_broadcast(mapping.select(key, value))
+    m = mapping.select(key, value)
     return items.join(m, key).select(id_col, value)
 
 
@@ -86,7 +85,7 @@ def distinct_mapped_list(df: DataFrame, id_col: str, list_col: str, mapping: Dat
 
 def expand_links(pairs: DataFrame, links: DataFrame, key: str, node: str, hops: int = 1) -> DataFrame:
     """Add nodes linked from the given ones, ``hops`` times (one hop by default)."""
-    e = size_checked_broadcast(links.select(F.col("src").alias(node), "dst"))
+    e = links.select(F.col("src").alias(node), "dst")
     cur = pairs.select(key, node).distinct()
     frontier = cur
     for _ in range(hops):
@@ -141,7 +140,7 @@ def tag_category_pairs(df: DataFrame, id_col: str, tags_col: str, categories: Da
     we join each tag to the categories present in the same row: the row's
     category set is computed in the row, so nothing is shuffled before the count.
     """
-    cats = size_checked_broadcast(categories.select(F.col("category")))
+    cats = categories.select(F.col("category"))
     cat_arr = F.array_distinct(split_trim(tags_col, sep))
     rows = df.select(id_col, split_trim(tags_col, sep).alias("tags"), cat_arr.alias("present"))
     exploded = rows.select(id_col, "present", F.explode("tags").alias("tag"))

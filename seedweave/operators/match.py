@@ -3,7 +3,7 @@
 Plan shape for every rule (checked with ``explain``):
 
     scan(text) -> tokenize -> explode            (narrow, no shuffle)
-      -> broadcast hash join to the seed table  (narrow; the table is size-checked)
+      -> join to the seed table                  (broadcast by Spark while it is small)
       -> count per (doc, label)                  (one shuffle, map-side partial agg)
       -> window / aggregate per doc              (one shuffle of (doc, label) counts)
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedweave.operators.common import size_checked_broadcast
 
 OCCURRENCES = "occurrences"
 DISTINCT = "distinct"
@@ -30,18 +29,16 @@ def explode_tokens(docs: DataFrame, tokens, id_col: str = "doc_id", distinct: bo
     return explode_nonempty(docs, arr, "word", F.col(id_col).alias("doc_id"))
 
 
-def seed_hits(tokens: DataFrame, seeds: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def seed_hits(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     """J7 + P1: hits per (doc, label, word). ``seeds`` has (label, word)."""
     s = seeds.select("label", "word").distinct()
-    s = size_checked_broadcast(s, max_broadcast_rows)
     return (tokens.join(s, "word")
             .groupBy("doc_id", "label", "word").agg(F.count(F.lit(1)).alias("n")))
 
 
-def label_counts(tokens: DataFrame, seeds: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def label_counts(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     """Hits per (doc, label)."""
     s = seeds.select("label", "word").distinct()
-    s = size_checked_broadcast(s, max_broadcast_rows)
     return (tokens.join(s, "word")
             .groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n")))
 

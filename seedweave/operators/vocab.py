@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedweave.functions.text import explode_nonempty, filter_tokens, sentences
-from seedweave.operators.common import size_checked_broadcast
 from seedweave.operators.windows import global_index
 
 
@@ -36,7 +35,7 @@ def first_seen_index(docs: DataFrame, tokens, id_col: str = "doc_id", start: int
 def to_indices(docs: DataFrame, tokens, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids array<long>) in token order; unknown words are skipped."""
     t = token_rows(docs, tokens, id_col)
-    v = size_checked_broadcast(vocab.select("word", "idx"))
+    v = vocab.select("word", "idx")
     j = t.join(v, "word")
     agg = j.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "idx")).alias("items"))
     return agg.select("doc_id", F.transform(F.array_sort("items"), lambda s: s["idx"]).alias("ids"))
@@ -51,7 +50,7 @@ def doc_tensor(docs: DataFrame, vocab: DataFrame, text_col: str = "text", id_col
     d = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"))
     sents = d.select("doc_id", F.posexplode(sentences("text")).alias("s", "sentence")).where(F.col("s") < max_sentences)
     toks = sents.select("doc_id", "s", F.posexplode(filter_tokens("sentence", lower=False)).alias("pos", "word"))
-    v = size_checked_broadcast(vocab.select("word", "idx"))
+    v = vocab.select("word", "idx")
     ids = (toks.join(v, "word").groupBy("doc_id", "s")
            .agg(F.collect_list(F.struct("pos", "idx")).alias("items"))
            .select("doc_id", "s", F.transform(F.array_sort("items"), lambda x: x["idx"]).alias("ids")))

@@ -53,8 +53,7 @@ def _fmt(arr):
 SELECT lang AS label, CAST(row_number() OVER (ORDER BY lang) - 1 AS INT) AS idx FROM (SELECT DISTINCT lang FROM documents)
 """)
 def x17_label_index(spark, sf):
-    labels = lb.label_list(table(spark, sf, "documents"), "lang")
-    return lb.label_index_table(spark, labels)
+    return lb.label_index(table(spark, sf, "documents"), "lang")
 
 
 @query("x18_one_hot", f"""

@@ -6,8 +6,6 @@ same code reads one file or a folder of per-round files on shared storage.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +72,3 @@ def write_seed_dictionary(seeds: DataFrame, path: str, iteration_col: str | None
     if iteration_col:
         writer = writer.partitionBy(iteration_col)
     writer.text(path)
-
-
-def dict_to_json(seeds: dict) -> str:
-    return json.dumps(seeds, sort_keys=True)
