@@ -149,11 +149,17 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2) -> Data
 def one_per_group(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     """One document of each group, with the columns of ``docs``: the one with the smallest id.
 
-    Of rows that are equal in id and fingerprint one stays.
+    Of rows that are equal in id and text one stays, of rows that are equal in id and
+    fingerprint that with the smallest hash of id and text. Texts are fingerprinted
+    where they are read and move once, to meet the keys of those that stay; copies
+    have ids, and so keys, of their own.
     """
-    name = "_simhash_fp"
-    rows = written(with_fingerprints(docs, name, shingle=shingle), "simhash-docs")
-    groups = near_duplicate_groups(rows, "doc_id", name, bits).where("fp = first_fp")
-    keep = groups.select(F.col("fp").alias("_keep_fp"), F.col("component_id").alias("_keep_id"))
-    first = rows.join(keep, (F.col(name) == F.col("_keep_fp")) & F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return first.dropDuplicates(["doc_id", name]).select(*docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    key = ["_simhash_k1", "_simhash_k2"]               # 128 bits of id and text, never null
+    keyed = docs.withColumns({key[0]: F.xxhash64("doc_id", text), key[1]: F.xxhash64(text, "doc_id")})
+    rows = written(with_fingerprints(keyed.select("doc_id", "text", *key), "fp", shingle=shingle).drop("text"), "simhash")
+    first = near_duplicate_groups(rows, "doc_id", "fp", bits).where("fp = first_fp") \
+        .select(F.col("fp").alias("_fp"), F.col("component_id").alias("_id"))
+    keep = rows.join(first, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_id"))) \
+        .groupBy("_fp").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    return keyed.join(written(keep, "simhash-keep"), key, "left_semi").dropDuplicates(key).select(*docs.columns)
