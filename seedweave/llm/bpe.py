@@ -58,6 +58,7 @@ class ByteBpe:
         for w, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes_of[i] = w
         self.names = [str(i) for i in range(len(self.bytes_of))]
+        self.longest_special = max((len(w.encode()) for w in self.special), default=0)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text that is short enough for one go."""
@@ -73,7 +74,7 @@ class ByteBpe:
         if not left or not right:
             return left + right
         inside = lambda i: 0x80 <= self.bytes_of[i][0] < 0xC0  # noqa: E731  token starts within a character
-        width = FIRST_WINDOW
+        width = max(FIRST_WINDOW, self.longest_special)     # a special token cut in two is whole in the window
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
             while a > 0 and inside(left[a]):

@@ -54,6 +54,23 @@ def test_unsplit_text(reference, text):
     assert bpe.join_all([bpe.encode(t) for t in halves(text, 100)]) == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_special_token_cut_in_two_with_a_narrow_window(reference, monkeypatch):
+    from seedweave.llm import bpe as module
+    monkeypatch.setattr(module, "FIRST_WINDOW", 1)
+    bpe = byte_bpe(tokenizer_file())
+    text = "x ftext|> <|endo<|endoftext|>1''s<|endoftext|><|endoftext|> y" * 3
+    for most in range(1, 40):
+        assert bpe.join_all([bpe.encode(t) for t in halves(text, most)]) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_every_kind_of_character(reference):
+    """Both libraries split text alike around every character of the basic plane, and samples beyond."""
+    bpe = byte_bpe(tokenizer_file())
+    points = [c for c in [*range(0x10000), *range(0x10000, 0x110000, 37)] if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} x{chr(c)} \n{chr(c)}'s!{chr(c)}" for c in points]
+    assert [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)] == [bpe.encode(t) for t in texts]
+
+
 def test_documents_equal_the_library(spark, reference):
     docs = table(spark, SF, "documents")
     pairs = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
