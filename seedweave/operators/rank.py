@@ -95,10 +95,11 @@ DOCUMENT = ""
 
 
 def word_counts(labelled: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
-    """(label, word, df, tf) in one pass: per label, and with a null label over all documents.
+    """(label, word, df, tf, marker) in one pass: per label, and with a null label over all documents.
 
-    A document's tokens are sorted inside its row, so the first of equal tokens
-    counts for the document frequency and each for the term frequency.
+    ``marker`` tells the row that counts documents from those of words. A document's
+    tokens are sorted inside its row, so the first of equal tokens counts for the
+    document frequency and each for the term frequency.
     """
     words = labelled.select(labels, F.sort_array(tokens).alias("_s"))
     first = F.transform("_s", lambda w, i: F.struct(w.alias("word"), (
@@ -108,7 +109,8 @@ def word_counts(labelled: DataFrame, tokens: str = "tokens", labels: str = "labe
     words = words.select(F.concat(F.coalesce(labels, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
                          .alias("_l"), F.coalesce(F.concat(first, marker), marker).alias("_w"))
     rows = words.select("_l", F.explode_outer("_w").alias("x")).select(F.explode_outer("_l").alias("label"), "x.*")
-    return rows.groupBy("label", "word").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("tf"))
+    return rows.groupBy("label", "word").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("tf"),
+                                                F.max(F.col("word") == DOCUMENT).alias("marker"))
 
 
 def rank_labelled(labelled: DataFrame, tokens: str = "tokens", labels: str = "labels", min_df: int = 5,
@@ -116,14 +118,15 @@ def rank_labelled(labelled: DataFrame, tokens: str = "tokens", labels: str = "la
     """A6 where the labelled documents are the whole corpus: (``rank_table``, (label, n_l)).
 
     One scan and one shuffle of the corpus: both results read the same counts,
-    which Spark exchanges once.
+    which Spark exchanges once. (A filter on ``word`` itself would be pushed below
+    the counts of one of them, and they would be made twice; hence ``marker``.)
     """
     stats = word_counts(labelled, tokens, labels)
-    n = F.max(F.when(F.col("word") == DOCUMENT, F.greatest("df", "tf")))
+    n = F.max(F.when(F.col("marker"), F.greatest("df", "tf")))
     sizes = stats.groupBy("label").agg(n.alias("n_l"))            # one row per label
     sizes = sizes.withColumn("n", F.max(F.when(F.col("label").isNull(), F.col("n_l"))).over(Window.partitionBy()))
     whole = F.max(F.when(F.col("label").isNull(), F.col("df"))).over(Window.partitionBy("word"))
-    ls = stats.withColumn("_df", whole).where(F.col("label").isNotNull() & (F.col("word") != DOCUMENT) & (F.col("df") >= min_df))
+    ls = stats.withColumn("_df", whole).where(F.col("label").isNotNull() & ~F.col("marker") & (F.col("df") >= min_df))
     if vocabulary is not None:
         ls = ls.join(vocabulary.select("word").distinct(), "word", "left_semi")
     j = ls.join(sizes.withColumnRenamed("label", "_l"), F.col("label") == F.col("_l"))

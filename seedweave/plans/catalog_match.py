@@ -9,7 +9,7 @@ from seedweave.operators import match
 from seedweave.plans.fixtures import (SEEDS, SEEDS_SMALL, seeds_values_sql, sql_filter_tokens,
                                       sql_ngrams_upto, sql_word_tokens)
 from seedweave.plans.registry import query
-from seedweave.session import table
+from seedweave.session import spread_table, table
 from seedweave.sources.dictionaries import seeds_from_dict
 
 TOK_SQL = sql_filter_tokens("text")
@@ -30,7 +30,7 @@ st AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS total,
 
 
 def _docs_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread_table(spark, sf, "documents", "doc_id", "text")
 
 
 def _counts(spark, sf, seeds=SEEDS):

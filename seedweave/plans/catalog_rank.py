@@ -11,7 +11,7 @@ from seedweave.operators import rank as rk
 from seedweave.operators.match import inrow_share_labels
 from seedweave.plans.fixtures import SEEDS, seeds_values_sql, sql_filter_tokens, sql_ngrams
 from seedweave.plans.registry import query
-from seedweave.session import table
+from seedweave.session import spread_table
 from seedweave.sources.dictionaries import seeds_from_dict
 
 # A dictionary with one label that never matches (its old seeds are kept, U6).
@@ -48,7 +48,7 @@ rt AS (SELECT label, word, df_l / df AS reldocfreq, ln((SELECT n FROM nd) / df)
 
 
 def corpus(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", small_clean("text").alias("s"))
+    d = spread_table(spark, sf, "documents", "doc_id", "lang", "text").select("doc_id", "lang", small_clean("text").alias("s"))
     return d.select("doc_id", "lang", filter_tokens("s").alias("ftok"), whitespace_tokens("s").alias("tokens"))
 
 

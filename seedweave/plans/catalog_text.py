@@ -10,7 +10,7 @@ from seedweave.plans.fixtures import (BIGRAMS, ROLE_PRIORITY, SEEDS, WORD_CATEGO
                                       seeds_values_sql, sql_filter_tokens, sql_ngrams, sql_str,
                                       sql_word_tokens)
 from seedweave.plans.registry import query
-from seedweave.session import table
+from seedweave.session import spread_table, table
 from seedweave.sources.dictionaries import seeds_from_dict
 
 PUNCT_CLASS = tx.char_class(tx.PUNCTUATION)
@@ -18,7 +18,7 @@ DESC_CLASS = tx.char_class(tx.DESCRIPTION_CHARS)
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread_table(spark, sf, "documents", "doc_id", "text")
 
 
 @query("x1_small_clean", r"""

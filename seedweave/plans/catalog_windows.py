@@ -10,7 +10,7 @@ from seedweave.operators import vocab as vc
 from seedweave.operators import windows as wn
 from seedweave.plans.fixtures import ROLE_PRIORITY, sql_filter_tokens, sql_str
 from seedweave.plans.registry import query
-from seedweave.session import table
+from seedweave.session import spread_table, table
 
 _VOCAB_SQL = f"""
 t AS (SELECT doc_id, unnest({sql_filter_tokens('text')}) AS word,
@@ -21,7 +21,7 @@ vi AS (SELECT word, tf, row_number() OVER (ORDER BY tf DESC, first_seen, word) A
 
 
 def _vocab(spark, sf, max_words=None):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     return vc.vocabulary(docs, filter_tokens("text"), max_words=max_words)
 
 
@@ -79,7 +79,7 @@ v AS (SELECT word, min({{'d': doc_id, 'p': pos}}) AS first_seen FROM t GROUP BY
 SELECT word, row_number() OVER (ORDER BY first_seen, word) - 1 AS idx FROM v
 """)
 def w9_first_seen_index(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     return vc.first_seen_index(docs, filter_tokens("text"), start=0).select("word", "idx")
 
 

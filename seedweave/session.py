@@ -62,3 +62,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one driver table; column pruning and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str):
+    """``columns`` of a table whose rows need much work each, spread over all cores.
+
+    Files with fewer splits than there are cores would leave most cores idle, so
+    their rows are dealt out first; a table with enough splits is read as it is.
+    Only file sizes are looked at, no job runs.
+    """
+    df = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
