@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.conftest import SF
+from tests.conftest import SF, SMALL
 
 
 def _lcs_dp(a, b):
@@ -161,6 +161,92 @@ def test_senses_bounded_by_vectors(spark):
     assert set(k) == set(n) and all(1 <= k[w] <= min(n[w], 4) for w in k)
 
 
+def test_senses_in_one_task_equal_distributed_senses(spark):
+    from seedweave.operators import senses as sn
+    from seedweave.plans.catalog_senses import vectors
+    v = vectors(spark, SF).where("word IN ('0', '1')")
+    rows = lambda df: {(r.word, r.sense): [round(x, 9) for x in r.center] for r in df.collect()}
+    a = rows(sn.discover_senses(v, 0.0))
+    assert a == rows(sn.discover_senses(v, 0.0, local=0)) == rows(sn.discover_senses(v, 0.0, local=47))
+    assert max(s for _, s in a) > 0
+
+
+def test_contextualized_corpus_equals_brute_force(spark):
+    """Occurrence vectors, threshold, senses of every word and rewritten texts, step by step."""
+    import hashlib
+
+    import numpy as np
+    from seedweave.operators.ml import random_vectors
+    from seedweave.plans.catalog_senses import contextualize
+    rnd = random.Random(3)
+    topics = ["river water boat fish shore".split(), "money loan credit cash debt".split()]
+    docs = []
+    for i in range(30):
+        words = [rnd.choice(topics[i % 2]) for _ in range(14)]
+        words[6] = "bank"
+        docs.append((i, words))
+    docs += [(30, ["alone"]), (31, []), (32, ["bank", "once"])]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    # A word without a vector is no neighbour.
+    words = sorted({w for _, ws in docs for w in ws} - {"once"})
+    wv_df = random_vectors(spark.createDataFrame([(w,) for w in words], "word string"), size=6)
+    wv = {r.word: np.array(r.vec) for r in wv_df.collect()}
+    got = {r.doc_id: r.sentence for r in contextualize(df, ["bank", "river", "money", "nosuchword"], wv_df).collect()}
+
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    occ = {}
+    for i, ws in docs:
+        for p, w in enumerate(ws):
+            near = [wv[x] for x in ws[max(p - 5, 0):p] + ws[p + 1:p + 6] if x in wv]
+            if near:
+                occ.setdefault(w, {})[f"{i}:{p}"] = np.mean(near, axis=0)
+    pairs = lambda vs: [cos(a, b) for n, a in enumerate(vs) for b in vs[n + 1:]]
+    tau = np.median([np.median(pairs(list(occ[w].values()))) for w in ("bank", "river", "money")])
+    senses = {}
+    for w, vs in occ.items():
+        order = sorted(vs, key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))
+        x, k = np.stack([vs[i] for i in order]), 2
+        senses[w] = [x.mean(axis=0)]
+        while k <= len(x):
+            c = x[:k]
+            while True:
+                near = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+                new = np.stack([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
+                if np.allclose(new, c, atol=1e-14):
+                    break
+                c = new
+            if max(pairs(list(c))) >= tau:
+                break
+            senses[w], k = list(c), k + 1
+        if 1 < len(senses[w]) == len(x):
+            senses[w] = [vs[i] for i in sorted(vs)]
+    want = {}
+    for i, ws in docs:
+        out = []
+        for p, w in enumerate(ws):
+            v = occ.get(w, {}).get(f"{i}:{p}")
+            many = v is not None and len(senses[w]) > 1
+            out.append(f"{w}${np.argmax([cos(v, c) for c in senses[w]])}" if many else w)
+        if out:
+            want[i] = " ".join(out)
+    assert got == want
+    assert {t for s in want.values() for t in s.split() if t.startswith("bank$")} >= {"bank$0", "bank$1"}
+
+
+def test_contextual_documents_cover_the_corpus(spark):
+    """The registered job reads ``documents``: every text with words, each token as it is or with a sense."""
+    import re
+
+    import __spark_entry__ as entry
+    from seedweave.functions.text import filter_tokens
+    from seedweave.session import table
+    got = {r.doc_id: r.sentence.split(" ") for r in entry.queries()["p12_contextual_documents"](spark, SMALL).collect()}
+    words = {r.doc_id: r.t for r in table(spark, SMALL, "documents").select("doc_id", filter_tokens("text").alias("t")).collect() if r.t}
+    plain = lambda t, w: t == w or re.fullmatch(re.escape(w) + r"\$\d+", t)
+    assert set(got) == set(words) and all(len(got[d]) == len(words[d]) and all(map(plain, got[d], words[d])) for d in words)
+    assert any(t != w for d in words for t, w in zip(got[d], words[d]))
+
+
 def test_incremental_stream_equals_batch(spark):
     from seedweave.operators import match
     from seedweave.plans.fixtures import SEEDS
