@@ -212,3 +212,11 @@ def p16_refine_loop(spark, sf):
     from seedweave.plans.refine import refine_dictionary
     hist = refine_dictionary(spark, corpus(spark, sf), SEEDS)
     return hist.select("iteration", "label", "word")
+
+
+@query("p16_refine_loop_trained")
+def p16_refine_loop_trained(spark, sf):
+    """P16 as in the reference: six rounds of label -> train -> predict -> rank -> rewrite dictionary (P)."""
+    from seedweave.plans.refine import refine_dictionary, trained_predictor
+    corp = corpus(spark, sf)
+    return refine_dictionary(spark, corp, SEEDS, predictor=trained_predictor(corp)).select("iteration", "label", "word")

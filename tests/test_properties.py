@@ -89,6 +89,37 @@ def test_refinement_with_large_and_empty_dictionaries(spark):
     assert none.columns == ["iteration", "label", "word"] and none.count() == 0
 
 
+def test_refinement_with_a_trained_predictor(spark):
+    """Documents without a seed word are labelled by the classifier, and their words are ranked."""
+    import __spark_entry__ as entry
+    from seedweave.plans.refine import label_corpus, refine_dictionary, trained_predictor
+    from seedweave.sources.dictionaries import seeds_from_dict
+    seeds = {"a": ["apple"], "b": ["boat"], "c": ["cloud"]}
+    mates = {"a": ["pear", "plum"], "b": ["ship", "raft"], "c": ["rain", "wind"]}
+    rows = []
+    for label in seeds:
+        for i in range(12):
+            # Of the last six only the mates are seen, with a word the seed word never stands beside.
+            words = mates[label] * 2 + (seeds[label] if i < 6 else [f"new{label}"])
+            rows.append((len(rows), words, words))
+    corp = spark.createDataFrame(rows, "doc_id long, ftok array<string>, tokens array<string>")
+    predict, rounds = trained_predictor(corp), []
+
+    def watched(labelled, seeds_df):
+        out = predict(labelled, seeds_df)
+        rounds.append({r.doc_id: list(r.labels) for r in out.collect()})
+        return out
+
+    rule = {r.doc_id: r.labels for r in label_corpus(corp, "ftok", seeds_from_dict(spark, seeds)).collect()}
+    assert sum(not x for x in rule.values()) == 18
+    got = refine_dictionary(spark, corp, seeds, rounds=2, predictor=watched)
+    assert len(rounds) == 2 and rounds[0] == {i: ["abc"[i // 12]] for i in range(36)}
+    words = lambda df: {(r.label, r.word) for r in df.where("iteration = 1").collect()}
+    assert {(x, f"new{x}") for x in seeds} <= words(got)
+    assert not {w for _, w in words(refine_dictionary(spark, corp, seeds, rounds=2))} & {f"new{x}" for x in seeds}
+    assert "p16_refine_loop_trained" in entry.queries()
+
+
 def test_append_is_idempotent(spark, tmp_path):
     from seedweave.operators.vote import append_rows
     df = spark.createDataFrame([(1, 2)], "client_id int, tag_id int")
