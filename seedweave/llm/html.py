@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -39,6 +40,7 @@ SIDE_WORDS = frozenset((
     "recommended recommendations share sharing social comment comments commentlist disqus reply replies respond footer "
     "header masthead topbar toolbar pagination pager copyright disclaimer hidden search form").split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 ENDS_P = BLOCK - {"body"}
 SCOPE = frozenset("body table td th caption button object article main section div blockquote ul ol dl".split())
 # Opening one of these closes an open element of the set, up to the given containers.
@@ -75,14 +77,16 @@ class Tree:
     def __init__(self, html: str):
         self.tag, self.parent, self.text = ["#root"], [-1], []
         self.block = 0                         # grows whenever a block element begins or ends
-        self.open = [0]
-        skipped: list[str] = []                # open elements from one that is left out downwards
+        self.open: list[tuple[str, int | None]] = [("#root", 0)]     # no node: left out, or below such an element
+        self.n_open: Counter[str] = Counter()
         at, end_of_tags = 0, html.rfind(">") + 1
         while at < len(html):
             m = TOKEN.search(html, at, end_of_tags) if at < end_of_tags else None
             piece = html[at:m.start()] if m else html[at:]
-            if piece and not skipped:
-                self.text.append((self.open[-1], self.block, unescape(piece)))
+            if piece:
+                if self.open[-1][0] == "head" and not piece.isspace():
+                    self.close({"head"}, ())
+                self.say(unescape(piece))
             if not m:
                 break
             at = m.end()
@@ -93,32 +97,32 @@ class Tree:
             if tag in RAW and not m[1]:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
-            elif skipped:
-                if not m[1] and tag not in VOID:
-                    skipped.append(tag)
-                elif m[1] and tag in skipped:
-                    while skipped.pop() != tag:
-                        pass
-                elif m[1] and tag in ("article", "main", "body", "html"):
-                    skipped.clear()            # an element left open ends with what contains it
-                    self.close({tag}, ())
             elif not m[1]:
-                self.begin(tag, m[3], skipped)
+                self.begin(tag, m[3])
             elif tag not in VOID:
-                self.close({tag}, () if tag in BLOCK else BLOCK)
+                self.close({tag}, () if tag in BLOCK or tag in NEVER else BLOCK)
+
+    def say(self, piece: str) -> None:
+        if self.open[-1][1] is not None:
+            self.text.append((self.open[-1][1], self.block, piece))
 
     def close(self, names, barriers) -> None:
         """Close the innermost open element of ``names`` unless a barrier is nearer."""
+        if not any(self.n_open[t] for t in names):
+            return
         for k in range(len(self.open) - 1, 0, -1):
-            t = self.tag[self.open[k]]
+            t = self.open[k][0]
             if t in names:
-                self.block += any(self.tag[i] in BLOCK for i in self.open[k:])
+                self.block += any(x in BLOCK for x, _ in self.open[k:])
+                self.n_open.subtract(x for x, _ in self.open[k:])
                 del self.open[k:]
                 return
             if t in barriers:
                 return
 
-    def begin(self, tag: str, attributes: str, skipped: list[str]) -> None:
+    def begin(self, tag: str, attributes: str) -> None:
+        if tag == "body" or self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self.close({"head"}, ())           # its end tag may be omitted
         if tag in ENDS_P:
             self.close({"p"}, SCOPE)
             if tag in HEADINGS:
@@ -126,15 +130,15 @@ class Tree:
         if tag in CLOSES:
             self.close(*CLOSES[tag])
         if tag in VOID or tag in ("td", "th"):
-            self.text.append((self.open[-1], self.block, " "))
-        if is_side(tag, attributes):
-            if tag not in VOID:
-                skipped.append(tag)
-            return
-        self.tag.append(tag)
-        self.parent.append(self.open[-1])
+            self.say(" ")
+        parent, node = self.open[-1][1], None
+        if parent is not None and not is_side(tag, attributes):
+            node = len(self.tag)
+            self.tag.append(tag)
+            self.parent.append(parent)
         if tag not in VOID:
-            self.open.append(len(self.tag) - 1)
+            self.open.append((tag, node))
+            self.n_open[tag] += 1
 
 
 def densities(tree: Tree) -> tuple[list[float], list[int], list[int]]:

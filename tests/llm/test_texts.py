@@ -56,6 +56,19 @@ def test_small_pages(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<html><head><title>t</title><meta x><body><article><p>yes</article>", "yes"),
+    ("<head><link x><article><p>yes</article>", "yes"), ("<head><title>t</title>yes", "yes"),
+    ("<body><p class=notice>x<p>yes one<p>yes two</body>", "yes one\n\nyes two"),
+    ("<div><ul><li class=share>x<li>yes one</ul><p>yes two</div>", "yes one\n\nyes two"),
+    ("<article><ul><li class=share>x</ul><p>yes</article>", "yes"), ("<div><nav>n</div><p>yes</p>", "yes"),
+    ("<article><table><tr><td class=ad>x<td>yes</table><p>and</article>", "yes\n\nand"),
+    ("<article><button><div>x</button><p>yes</article>", "yes"), ("<nav>" * 30_000 + "x", ""),
+])
+def test_omitted_end_tags_of_left_out_elements(html, text):
+    assert main_text(html) == text
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, "u", "<p>x", 2), (None, "u", "<p>x", 3), (2, "", "", 4),
                                 (3, "v", f"<article><p>{'word ' * 100_000}</p></article>", 5)],
