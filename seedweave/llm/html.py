@@ -8,8 +8,9 @@ density on the path from the core up to the body is the threshold: on the way up
 siblings that reach it, headings beside the text and the rest of an enclosing
 ``article`` or ``main`` element belong to the article.
 
-Elements that are never article text (scripts, menus, forms, and blocks whose class
-or id says advert, comments and so on) are left out of the tree and of the counts.
+Elements that are never article text (scripts, menus, forms, hidden ones) are left out
+of the tree and of the counts. Blocks whose class or id says advert, comments and so on
+are taken out after a first look at the densities, unless they hold the article.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ BLOCK = frozenset(("address article aside blockquote body center dd details dial
                    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table "
                    "tbody tfoot thead tr ul").split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | {"p", "pre"}
 NEVER = frozenset(("script style textarea title iframe noembed noframes xmp noscript template head nav header footer aside "
                    "form button select option input label svg math canvas object embed audio video dialog menu").split())
-# Class and id words, and roles, of blocks that are not article text.
+# Class and id words of blocks that may not be article text, and roles of those that are not.
 SIDE_WORDS = frozenset((
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
@@ -54,7 +56,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"']+)|([^\s
 
 
 def is_side(tag: str, attributes: str) -> bool:
-    """Whether an element is left out with all it contains."""
+    """Whether an element is left out with all it contains: by its tag, or because it is hidden or has such a role."""
     if tag in NEVER:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -66,16 +68,20 @@ def is_side(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and not SIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
     return False
 
 
+def is_doubtful(attributes: str) -> bool:
+    """Whether a word of the class or id says that an element may be no article text."""
+    return any((name or bare).lower() in ("class", "id") and not SIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value.lower()))
+               for name, value, bare in ATTRIBUTE.findall(attributes or ""))
+
+
 class Tree:
-    """Elements in page order (``tag``, ``parent``) and text pieces (``text``: node, number of its block, piece)."""
+    """Elements in page order (``tag``, ``parent``, ``doubt``: a side word in class or id) and text pieces (``text``: node, number of its block, piece)."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.text = ["#root"], [-1], []
+        self.tag, self.parent, self.doubt, self.text = ["#root"], [-1], [False], []
         self.block = 0                         # grows whenever a block element begins or ends
         self.open: list[tuple[str, int | None]] = [("#root", 0)]     # no node: left out, or below such an element
         self.n_open: Counter[str] = Counter()
@@ -136,6 +142,7 @@ class Tree:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(parent)
+            self.doubt.append(tag not in ("html", "body") and is_doubtful(attributes))
         if tag not in VOID:
             self.open.append((tag, node))
             self.n_open[tag] += 1
@@ -171,16 +178,55 @@ def densities(tree: Tree) -> tuple[list[float], list[int], list[int]]:
     return out, chars, link_chars
 
 
+def scores(tree: Tree, density: list[float]) -> list[float]:
+    """The density sum of every node; half of a leaf's own, which is not better than its parent."""
+    score = [0.0] * len(tree.tag)
+    for i in range(1, len(score)):
+        score[tree.parent[i]] += density[i]
+    return [x or d / 2 for x, d in zip(score, density)]
+
+
+def without_side_blocks(tree: Tree) -> None:
+    """Take out the text and tags of doubtful elements, once the densities of the whole page are known.
+
+    An element stays that holds the core (a doubtful one competes with half its score), a
+    ``main``, ``h1`` or an ``article`` free of doubt, or most of the text outside links.
+    So does a doubtful paragraph or heading if half its density reaches the middle one
+    of those without doubt.
+    """
+    n = len(tree.tag)
+    if not any(tree.doubt):
+        return
+    density, chars, link_chars = densities(tree)
+    score, in_doubt = scores(tree, density), [False] * n
+    for i in range(1, n):
+        in_doubt[i] = tree.doubt[i] or in_doubt[tree.parent[i]]
+    core = max(range(n), key=lambda i: (score[i] / (1 + in_doubt[i]), -i))
+    keep = [False] * n                          # holds something that no side block holds
+    for i in range(n - 1, 0, -1):
+        t = tree.tag[i]
+        most = 2 * (chars[i] - link_chars[i]) > chars[0] - link_chars[0]
+        keep[i] = keep[i] or i == core or t in ("main", "h1") or t == "article" and not tree.doubt[i] or most
+        keep[tree.parent[i]] |= keep[i]
+    texts = sorted(density[i] for i in range(1, n) if chars[i] and not in_doubt[i] and tree.tag[i] in TEXT_BLOCKS)
+    middle = texts[len(texts) // 2] if texts else 0.0
+    gone, new = [False] * n, [0] * n
+    for i in range(1, n):
+        stays = keep[i] or tree.tag[i] == "article" or tree.tag[i] in TEXT_BLOCKS and density[i] / 2 >= middle
+        gone[i] = gone[tree.parent[i]] or tree.doubt[i] and not stays
+    left = [i for i in range(n) if not gone[i]]
+    for k, i in enumerate(left):
+        new[i] = k
+    tree.text = [(new[i], block, piece) for i, block, piece in tree.text if not gone[i]]
+    tree.parent = [-1, *(new[tree.parent[i]] for i in left[1:])]
+    tree.tag = [tree.tag[i] for i in left]
+
+
 def article_nodes(tree: Tree) -> list[bool]:
     """Which nodes belong to the article."""
     n = len(tree.tag)
     density, chars, link_chars = densities(tree)
-    score = [0.0] * n
-    for i in range(1, n):
-        score[tree.parent[i]] += density[i]
-    for i in range(n):
-        if not score[i]:
-            score[i] = density[i] / 2           # a leaf with text is not better than its parent
+    score = scores(tree, density)
     core = max(range(n), key=lambda i: (score[i], -i))
     path = [core]
     while path[-1]:
@@ -211,6 +257,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree(html)
+    without_side_blocks(tree)
     if not tree.text:
         return ""
     mark = article_nodes(tree)

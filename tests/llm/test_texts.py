@@ -69,6 +69,20 @@ def test_omitted_end_tags_of_left_out_elements(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    (f"<div class='layout has-sidebar'><article><p>{LONG}</article><div class=sidebar>{LONG}</div></div>", LONG),
+    (f"<div id=page class=header-fixed><div><h1>T</h1><p>{LONG}</div></div>", "T\n\n" + LONG),
+    (f"<div class='post comments-open'><p>{LONG}<p>{LONG}</div>", LONG + "\n\n" + LONG),
+    (f"<div class=search-result-article><p>{LONG}</div><div class=ad>{LONG[:90]}</div>", LONG),
+    (f"<article><h1 class=article-header>T</h1><p>{LONG}<p class=form-letter>{LONG * 3}</article>",
+     f"T\n\n{LONG}\n\n{LONG * 3}"),
+    (f"<div class=post><p>{LONG}<p>{LONG}</div><div id=comments><p>{LONG}</div>", LONG + "\n\n" + LONG),
+])
+def test_side_words_do_not_drop_the_article(html, text):
+    tidy = lambda x: [" ".join(b.split()) for b in x.split("\n\n")]
+    assert tidy(main_text(html)) == tidy(text)
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, "u", "<p>x", 2), (None, "u", "<p>x", 3), (2, "", "", 4),
                                 (3, "v", f"<article><p>{'word ' * 100_000}</p></article>", 5)],
