@@ -32,6 +32,7 @@ BLOCK = frozenset(("address article aside blockquote body center dd details dial
                    "tbody tfoot thead tr ul").split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_BLOCKS = HEADINGS | {"p", "pre"}
+LINK_BLOCKS = frozenset("article div section ul ol dl table".split())
 NEVER = frozenset(("script style textarea title iframe noembed noframes xmp noscript template head nav header footer aside "
                    "form button select option input label svg math canvas object embed audio video dialog menu").split())
 # Class and id words of blocks that may not be article text, and roles of those that are not.
@@ -235,17 +236,26 @@ def article_nodes(tree: Tree) -> list[bool]:
     threshold = min(density[i] for i in below_body)
     whole = next((i for i in reversed(below_body) if tree.tag[i] in ("article", "main")), None)
     article = next((i for i in below_body if tree.tag[i] == "article"), whole)
-    mark = [False] * n
+    mark, links = [False] * n, [2 * lc >= c > 0 for c, lc in zip(chars, link_chars)]
     mark[core if article is None else article] = True
+    on_path = set(path)
     if article is None:
-        on_path = set(path)
         # Climb: text beside the core belongs to it if it is dense enough or a heading, and is not mostly links.
         for i in range(1, n):
-            if tree.parent[i] in on_path and i not in on_path and chars[i] and 2 * link_chars[i] < chars[i] \
+            if tree.parent[i] in on_path and i not in on_path and chars[i] and not links[i] \
                     and (density[i] >= threshold or tree.tag[i] in HEADINGS or tree.parent[i] in below_body):
                 mark[i] = True
+    else:
+        # Further parts of the text: article elements beside this one, as dense and not mostly links.
+        for i in range(1, n):
+            if tree.tag[i] == tree.tag[article] and tree.parent[i] == tree.parent[article] \
+                    and not links[i] and density[i] >= threshold:
+                mark[i] = True
+    top = core if article is None else article
     for i in range(1, n):
-        mark[i] = mark[i] or mark[tree.parent[i]]
+        # Blocks that are mostly links, lists of further texts, are no part of a text that is not.
+        listed = links[i] and not links[top] and i not in on_path and tree.tag[i] in LINK_BLOCKS
+        mark[i] = mark[i] or mark[tree.parent[i]] and not listed
     if article is None:                          # text that stands directly in an element of the path
         for i in below_body:
             mark[i] = True

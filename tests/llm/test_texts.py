@@ -83,6 +83,19 @@ def test_side_words_do_not_drop_the_article(html, text):
     assert tidy(main_text(html)) == tidy(text)
 
 
+def test_links_inside_an_article_and_several_articles():
+    long = " ".join(LONG.split())
+    links = "".join(f"<li><a href=/{i}>Another story {i}</a>" for i in range(5))
+    assert main_text(f"<article><p>{LONG}<p>{LONG}<ul>{links}</ul><ul><li>one<li>two</ul><p><a href=x>source</a></article>") \
+        == f"{long}\n\n{long}\n\none\n\ntwo\n\nsource"
+    two = f"<main><article><p>{LONG}<p>a {LONG}</article><article><p>b {LONG}<p>c {LONG}</article>" \
+          f"<article><ul>{links}</ul></article></main>"
+    for page in (two, two.replace("main>", "div>")):
+        assert main_text(page) == f"{long}\n\na {long}\n\nb {long}\n\nc {long}"
+    # Comments are told apart by a side word only.
+    assert main_text(f"<article><p>{LONG}<p>{LONG}<div class=comments><p>{LONG}</div></article>") == f"{long}\n\n{long}"
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, "u", "<p>x", 2), (None, "u", "<p>x", 3), (2, "", "", 4),
                                 (3, "v", f"<article><p>{'word ' * 100_000}</p></article>", 5)],
