@@ -61,10 +61,28 @@ def op10_sum_of_squares_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_checkpoint_and_recompute(spark, sf_dir):
+    from seedweave.llm.merkle import one_more_char, verified_documents
+    return verified_documents(table(spark, sf_dir, "documents"), one_more_char())
+
+
+def op12_lockstep_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from seedweave.llm.alignment import align_documents
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer_file(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_arrow_sequences(spark, sf_dir):
+    from seedweave.llm.sequences import round_trip
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def queries() -> dict:
     import corpus_pipeline
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_language_model": oracles.URLS, "op9_risk_controlled_rules": oracles.QUALITY}
+    return {"op6_url_language_model": oracles.URLS, "op9_risk_controlled_rules": oracles.QUALITY,
+            "op11_checkpoint_and_recompute": oracles.MERKLE}

@@ -110,3 +110,60 @@ FROM base CROSS JOIN cut LEFT JOIN s ON s.host = base.host AND s.path = base.pat
 
 QUALITY = _quality()
 URLS = _urls()
+
+
+# A row's leaf, as found and as tampered with; CRC-32 by its table, made from the polynomial.
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+
+MERKLE = f"""
+WITH RECURSIVE crc_steps AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM crc_steps WHERE k = 8),
+digits AS (
+  SELECT doc_id, d, 4294967295::BIGINT AS c, 0 AS k FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS d FROM documents)
+  UNION ALL
+  SELECT doc_id, d, xor(c >> 8, tab[(xor(c, ord(d[k + 1])) & 255) + 1]), k + 1 FROM digits, crc WHERE k < length(d)
+), chosen AS (SELECT doc_id FROM digits WHERE k = length(d) AND xor(c, 4294967295) % 7 = 0),
+rows_ AS (
+  SELECT d.doc_id, coalesce('=' || lang, '-') AS tree, {_LEAF.format("n_chars")} AS leaf,
+         CASE WHEN c.doc_id IS NULL THEN {_LEAF.format("n_chars")} ELSE {_LEAF.format("(n_chars + 1)")} END AS found
+  FROM (SELECT * FROM documents) d LEFT JOIN chosen c USING (doc_id)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM rows_
+), nodes AS (
+  SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 2, n
+), subroots AS (
+  SELECT tree, lvl AS height, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS trees
+  FROM nodes WHERE n = 1
+), crown AS (
+  SELECT 0 AS lvl, place AS pos, trees AS n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY lvl, pos // 2, n
+), top AS (SELECT h AS root, lvl AS height FROM crown WHERE n = 1),
+way AS (
+  SELECT l.tree, l.pos AS leaf_pos, k AS step, l.pos >> k AS pos, s.h AS sibling
+  FROM leaves l JOIN subroots USING (tree) CROSS JOIN range(40) t(k)
+  LEFT JOIN nodes s ON s.tree = l.tree AND s.lvl = k AND s.pos = xor(l.pos >> k, 1) WHERE k < height
+  UNION ALL
+  SELECT l.tree, l.pos, r.height + k, place >> k, s.h
+  FROM leaves l JOIN subroots r USING (tree) CROSS JOIN top CROSS JOIN range(40) t(k)
+  LEFT JOIN crown s ON s.lvl = k AND s.pos = xor(place >> k, 1) WHERE k < top.height
+), folded AS (
+  SELECT tree, pos AS leaf_pos, 0 AS step, found AS h FROM leaves
+  UNION ALL
+  SELECT f.tree, f.leaf_pos, f.step + 1,
+         sha256(CASE WHEN w.sibling IS NULL THEN f.h WHEN w.pos % 2 = 1 THEN w.sibling || f.h ELSE f.h || w.sibling END)
+  FROM folded f JOIN way w ON w.tree = f.tree AND w.leaf_pos = f.leaf_pos AND w.step = f.step
+), ends AS (SELECT tree, leaf_pos, arg_max(h, step) AS folded_root FROM folded GROUP BY ALL),
+proofs AS (SELECT tree, leaf_pos, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256 FROM way GROUP BY ALL)
+SELECT l.doc_id, l.leaf, r.subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots r USING (tree) JOIN ends e ON e.tree = l.tree AND e.leaf_pos = l.pos
+LEFT JOIN proofs p ON p.tree = l.tree AND p.leaf_pos = l.pos CROSS JOIN top
+"""
