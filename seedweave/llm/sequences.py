@@ -8,7 +8,7 @@ Every batch holds ``BATCH`` sequences (the last one the rest) and isn't compress
 mapped file gives sequence ``i`` and its mask as views of the file's own bytes.
 
 Columns of a file: ``ids`` (fixed-size list of uint16, or uint32 for larger vocabularies),
-``mask`` (fixed-size list of uint8, 1 for an id, 0 for filling), ``ends`` (list of the
+``mask`` (fixed-size list of bits, set for an id, not for filling), ``ends`` (list of the
 documents that end in the sequence: their id and the place after their last token).
 
 A file belongs to the data set only if the table of shards names it. That table has
@@ -41,7 +41,7 @@ SHARD_BYTES = 128 << 20        # text per shard
 def file_schema(id_type: pa.DataType, most: int, length: int) -> pa.Schema:
     token = pa.uint16() if most < 1 << 16 else pa.uint32()
     ends = pa.list_(pa.struct([("doc_id", id_type), ("end", pa.int32())]))
-    return pa.schema([("ids", pa.list_(token, length)), ("mask", pa.list_(pa.uint8(), length)), ("ends", ends)])
+    return pa.schema([("ids", pa.list_(token, length)), ("mask", pa.list_(pa.bool_(), length)), ("ends", ends)])
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -76,8 +76,8 @@ class ShardWriter:
         n = -(-self.filled // self.length)
         if not n:
             return
-        ids, mask = self.ids[:n * self.length].copy(), np.zeros(n * self.length, np.uint8)
-        ids[self.filled:], mask[:self.filled] = 0, 1
+        ids, mask = self.ids[:n * self.length].copy(), np.zeros(n * self.length, bool)
+        ids[self.filled:], mask[:self.filled] = 0, True
         places = np.array([p for p, _ in self.ended], np.int64)
         row = (places - 1) // self.length                   # the sequence that holds the last id
         offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
@@ -109,17 +109,17 @@ class Shard:
     def __len__(self) -> int:
         return self.count
 
-    def _list(self, column: str, i: int) -> np.ndarray:
+    def _list(self, column: str, i: int) -> pa.Array:
         if not 0 <= i < self.count:
             raise IndexError(i)
         lists = self.reader.get_batch(i // self.batch).column(column)
         size, row = lists.type.list_size, i % self.batch
-        return lists.values.slice((lists.offset + row) * size, size).to_numpy(zero_copy_only=True)
+        return lists.values.slice((lists.offset + row) * size, size)
 
     def ids(self, i: int) -> np.ndarray:
-        return self._list("ids", i)
+        return self._list("ids", i).to_numpy(zero_copy_only=True)
 
-    def mask(self, i: int) -> np.ndarray:
+    def mask(self, i: int) -> pa.BooleanArray:
         return self._list("mask", i)
 
     def documents(self):
@@ -129,14 +129,14 @@ class Shard:
             batch = self.reader.get_batch(k)
             lists, ends = batch.column("ids"), batch.column("ends")
             size = lists.type.list_size
-            ids, mask = lists.flatten().to_numpy(), batch.column("mask").flatten().to_numpy()
+            ids, filled = lists.flatten().to_numpy(), batch.column("mask").flatten().true_count
             docs = ends.flatten()
             rows = np.repeat(np.arange(len(ends)), np.diff(ends.offsets.to_numpy()))
             at = 0
             for doc, stop in zip(docs.field("doc_id").to_pylist(), (rows * size + docs.field("end").to_numpy()).tolist()):
                 yield doc, np.concatenate([*begun, ids[at:stop]]) if begun else ids[at:stop]
                 begun, at = [], stop
-            rest = ids[at:int(mask.sum(dtype=np.int64))]      # filling stands only at the file's end
+            rest = ids[at:filled]                             # filling stands only at the file's end
             if len(rest):
                 begun.append(rest)
 
