@@ -187,34 +187,62 @@ def scores(tree: Tree, density: list[float]) -> list[float]:
     return [x or d / 2 for x, d in zip(score, density)]
 
 
-def without_side_blocks(tree: Tree) -> None:
-    """Take out the text and tags of doubtful elements, once the densities of the whole page are known.
-
-    An element stays that holds the core (a doubtful one competes with half its score), a
-    ``main``, ``h1`` or an ``article`` free of doubt, or most of the text outside links.
-    So does a doubtful paragraph or heading if half its density reaches the middle one
-    of those without doubt.
+def doubts_upheld(tree: Tree, density: list[float], chars: list[int], link_chars: list[int]) -> list[bool]:
+    """Which nodes are taken out: doubtful elements, with all below them, that nothing speaks for.
+
+    Where the page has an ``article`` free of doubt or a ``main``, only holding one speaks for a doubtful
+    element. Elsewhere holding an ``h1`` does, or holding the core or most of the text outside
+    links; but these two only if the text free of doubt is no fiftieth of the element's, and if
+    the element has a text block or no text block is free of doubt. So an advert longer than the article
+    doesn't pass for it. A doubtful ``article`` or ``h1`` stays, and so does a doubtful paragraph or heading if half
+    its density reaches the middle one of those without doubt.
     """
     n = len(tree.tag)
-    if not any(tree.doubt):
-        return
-    density, chars, link_chars = densities(tree)
-    score, in_doubt = scores(tree, density), [False] * n
+    score, nearest = scores(tree, density), [0] * n          # nearest: the innermost doubtful element, 0 if none
     for i in range(1, n):
-        in_doubt[i] = tree.doubt[i] or in_doubt[tree.parent[i]]
-    core = max(range(n), key=lambda i: (score[i] / (1 + in_doubt[i]), -i))
-    keep = [False] * n                          # holds something that no side block holds
+        nearest[i] = i if tree.doubt[i] else nearest[tree.parent[i]]
+    core = max(range(n), key=lambda i: (score[i] / (1 + (nearest[i] > 0)), -i))
+    plain = [c - lc for c, lc in zip(chars, link_chars)]
+    whole, title, blocks, has_core, own = [False] * n, [False] * n, [False] * n, [False] * n, [0] * n
     for i in range(n - 1, 0, -1):
-        t = tree.tag[i]
-        most = 2 * (chars[i] - link_chars[i]) > chars[0] - link_chars[0]
-        keep[i] = keep[i] or i == core or t in ("main", "h1") or t == "article" and not tree.doubt[i] or most
-        keep[tree.parent[i]] |= keep[i]
-    texts = sorted(density[i] for i in range(1, n) if chars[i] and not in_doubt[i] and tree.tag[i] in TEXT_BLOCKS)
+        t, p = tree.tag[i], tree.parent[i]
+        whole[i] |= t == "main" or t == "article" and not tree.doubt[i]
+        title[i] |= t == "h1"
+        blocks[i] |= t in ("p", "pre") and chars[i] > 0
+        has_core[i] |= i == core
+        for held in (whole, title, blocks, has_core):
+            held[p] |= held[i]
+    inner = [0] * n                                           # text of the children, to tell a node's own
+    for i in range(1, n):
+        inner[tree.parent[i]] += plain[i]
+    for i in range(n):
+        if tree.tag[i] not in HEADINGS:
+            own[nearest[i]] += plain[i] - inner[i]
+    free_blocks = any(tree.tag[i] in ("p", "pre") and chars[i] and not nearest[i] for i in range(1, n))
+    texts = sorted(density[i] for i in range(1, n) if chars[i] and not nearest[i] and tree.tag[i] in TEXT_BLOCKS)
     middle = texts[len(texts) // 2] if texts else 0.0
-    gone, new = [False] * n, [0] * n
+
+    def stands_out(i: int) -> bool:
+        return tree.tag[i] in ("article", "h1") or tree.tag[i] in TEXT_BLOCKS and density[i] / 2 >= middle
+
+    spoken_for = [tree.doubt[i] and (stands_out(i) or (whole[i] if whole[0] else title[i])) for i in range(n)]
+    free = own[0] + sum(own[i] for i in range(1, n) if spoken_for[i])
+    gone = [False] * n
     for i in range(1, n):
-        stays = keep[i] or tree.tag[i] == "article" or tree.tag[i] in TEXT_BLOCKS and density[i] / 2 >= middle
-        gone[i] = gone[tree.parent[i]] or tree.doubt[i] and not stays
+        gone[i] = gone[tree.parent[i]]
+        if tree.doubt[i] and not gone[i] and not spoken_for[i]:
+            large = not whole[0] and (has_core[i] or 2 * plain[i] > plain[0]) and 50 * free < plain[i]
+            gone[i] = not (large and (blocks[i] or not free_blocks))
+            free += 0 if gone[i] else own[i]
+    return gone
+
+
+def without_side_blocks(tree: Tree) -> None:
+    """Take out the text and tags of doubtful elements, once the densities of the whole page are known."""
+    n = len(tree.tag)
+    if not any(tree.doubt):
+        return
+    gone, new = doubts_upheld(tree, *densities(tree)), [0] * n
     left = [i for i in range(n) if not gone[i]]
     for k, i in enumerate(left):
         new[i] = k
@@ -282,7 +310,9 @@ def main_text(html: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row; a null, empty or text-free page has an empty text.
 
-    Rows are independent: each is parsed whole in the task that reads it.
+    Rows are independent: each page, however long, is parsed whole in the task that reads it,
+    so repeated rows and null ids or urls stay as they are. More columns are not read, whatever
+    their names. An empty table gives no rows.
     """
     schema = StructType([pages.schema["page_id"], pages.schema["url"], StructField("text", StringType()),
                          StructField("n_chars", LongType())])

@@ -11,12 +11,13 @@ from seedweave.llm import fingerprint as fp
 from seedweave.llm.html import extract_pages, main_text
 from seedweave.session import table
 from tests.llm import brute
-from tests.llm.conftest import ODD, SF
+from tests.llm.conftest import ODD, SF, SMALL
 
 
-def test_articles_of_pages(spark):
+@pytest.mark.parametrize("sf", [SMALL, SF, SF.replace("0.01", "0.1")])
+def test_articles_of_pages(spark, sf):
     """The pages' own article elements, cut out by pattern."""
-    pages = table(spark, SF, "pages")
+    pages = table(spark, sf, "pages")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
     rows = extract_pages(pages).collect()
     assert len(rows) == len(html)
@@ -83,6 +84,82 @@ def test_side_words_do_not_drop_the_article(html, text):
     assert tidy(main_text(html)) == tidy(text)
 
 
+ADVERT = "Buy three of our wonderful things today and get a fourth one free, while stocks last. "
+
+
+@pytest.mark.parametrize("advert", [f"<div class=ad>{ADVERT * 3}</div>", f"<div class=ad><p>{ADVERT * 3}</p><p>{ADVERT}</div>",
+                                    f"<div class='ad-box'><div><span>{ADVERT * 2}</span></div></div>"])
+@pytest.mark.parametrize("page", [
+    "<body>{ad}<article><h1>T</h1><p>A short text of one line.</article></body>",
+    "<body><div id=top><div>{ad}<article><h1>T</h1><p>A short text of one line.</p>{ad}</article></div></div></body>",
+    "<body><div class='layout has-sidebar'>{ad}<main><h1>T</h1><p>A short text of one line.</main></div></body>",
+    "<body><h1>T</h1>{ad}<p>A short text of one line.</p></body>",
+    "<body>{ad}<div><h1>T</h1><div>A short text of one line.</div></div></body>",
+    "<body><div class='post comments-open'><h1>T</h1><p>A short text of one line.</p>{ad}</div></body>",
+])
+def test_adverts_longer_than_the_article(page, advert):
+    assert main_text(page.format(ad=advert)) == "T\n\nA short text of one line."
+
+
+def plain_density(node, body_links):
+    """Density and density sum of nested (tag, children) lists, straight from the formula."""
+    import math
+
+    def count(x, link=False):
+        if isinstance(x, str):
+            k = len("".join(x.split()))
+            return k, k if link else 0, 0, 0
+        total = [0, 0, 0, 0]
+        for child in x[1]:
+            inside = link or not isinstance(child, str) and child[0] == "a"
+            total = [a + b for a, b in zip(total, count(child, inside))]
+            if not isinstance(child, str):
+                total[2] += 1
+                total[3] += child[0] == "a"
+        return total
+
+    def density(x, link):
+        c, lc, t, lt = count(x, link)
+        if not c:
+            return 0.0
+        t, lt, links = max(t, 1), max(lt, 1), max(lc, 1)
+        base = math.log(c * links / max(c - lc, 1) + body_links * c + math.e)
+        return c / t * math.log(max(c * t / (links * lt), 1.0)) / math.log(base)
+
+    out = []
+
+    def walk(x, link):
+        link = link or x[0] == "a"
+        inner = [child for child in x[1] if not isinstance(child, str)]
+        out.append((density(x, link), sum(density(child, link or child[0] == "a") for child in inner)))
+        for child in inner:
+            walk(child, link)
+    walk(node, False)
+    return out, count
+
+
+def test_densities_equal_the_formula():
+    from seedweave.llm.html import Tree, densities, scores
+    rnd = random.Random(9)
+
+    def made(depth, link):
+        if depth == 0 or rnd.random() < 0.2:
+            return "word " * rnd.randint(0, 12)
+        tag = rnd.choice(["div", "div", "section", "span", "b"] + ([] if link else ["a"]))
+        return tag, [made(depth - 1, link or tag == "a") for _ in range(rnd.randint(0, 4))]
+
+    def shown(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(shown, x[1]))}</{x[0]}>"
+    for _ in range(60):
+        page = ("#root", [made(5, False) for _ in range(3)])
+        tree = Tree("".join(map(shown, page[1])))
+        density, chars, link_chars = densities(tree)
+        plain, count = plain_density(page, link_chars[0] / max(chars[0], 1))
+        assert [chars[0], link_chars[0]] == list(count(page)[:2])
+        assert density == pytest.approx([d for d, _ in plain])
+        assert scores(tree, density) == pytest.approx([s or d / 2 for d, s in plain])
+
+
 def test_links_inside_an_article_and_several_articles():
     long = " ".join(LONG.split())
     links = "".join(f"<li><a href=/{i}>Another story {i}</a>" for i in range(5))
