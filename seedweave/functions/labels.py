@@ -1,8 +1,7 @@
 """Label encodings and decoders (X17-X23): per-row array expressions.
 
-A label set is the (small, bounded) list of classes. It is read once from the
-data with a bounded distinct (``label_list``) and then used as an array
-literal, so encoding and decoding stay row-local: no join, no shuffle.
+A label set is the list of classes, given as an array literal, so encoding and
+decoding stay row-local: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -15,14 +14,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def label_list(df: DataFrame, col: str, max_labels: int = 100_000) -> list[str]:
-    """Sorted distinct labels of a column; refuses unbounded label sets."""
-    vals = df.select(F.col(col).alias("l")).where(F.col("l").isNotNull()).distinct().limit(max_labels + 1).collect()
-    if len(vals) > max_labels:
-        raise ValueError(f"more than {max_labels} labels in {col}; not a label column")
-    return sorted(r["l"] for r in vals)
-
-
 def labels_array(labels: list[str]) -> Column:
     return F.array(*[F.lit(l) for l in labels])
 

@@ -127,9 +127,8 @@ FROM g LEFT JOIN e USING (conv_id, role)
 def j9_external_votes(spark, sf):
     """Dense (client, label) grid with the external weight 5, else 0."""
     c = table(spark, sf, "conversations")
-    from seedweave.functions.labels import label_list, labels_array
-    roles = label_list(c, "role")  # bounded label set
-    grid = c.select("conv_id").distinct().select("conv_id", F.explode(labels_array(roles)).alias("role"))
+    roles = c.agg(F.array_sort(F.collect_set("role"))).scalar()      # as many as the grid has per client
+    grid = c.select("conv_id").distinct().select("conv_id", F.explode(roles).alias("role"))
     ext = c.where(F.col("turn") == 0).select("conv_id", "role")
     return mp.external_votes(grid, ext, "conv_id", "role", 5).withColumn("weight", F.col("weight").cast("int"))
 

@@ -109,17 +109,17 @@ def p5_argmax_rule(spark, sf):
     return match.argmax_rule(_counts(spark, sf))
 
 
-_GRAMS_SQL = sql_ngrams_upto(sql_word_tokens("text"), 4)
-
-
 P6_SQL = f"""
-WITH g AS (SELECT doc_id, list_distinct({_GRAMS_SQL}) AS grams FROM docs_here),
-g2 AS (SELECT * FROM g WHERE len(grams) > 0),
-tok AS (SELECT doc_id, unnest(grams) AS word FROM g2),
-seeds AS {seeds_values_sql(SEEDS)},
-cnt AS (SELECT doc_id, label, count(*) AS n
-        FROM tok JOIN (SELECT DISTINCT label, word FROM seeds) s USING (word)
-        GROUP BY doc_id, label),
+WITH w AS (SELECT doc_id, {sql_word_tokens("text")} AS ws FROM docs_here),
+g2 AS (SELECT doc_id, ws FROM w WHERE len(ws) > 0),
+u AS (SELECT doc_id, unnest(ws) AS w1, unnest(ws[2:] || [NULL]) AS w2, unnest(ws[3:] || [NULL, NULL]) AS w3,
+             unnest(ws[4:] || [NULL, NULL, NULL]) AS w4 FROM g2),
+seeds AS (SELECT DISTINCT label, word, split_part(word, ' ', 1) AS w1, len(string_split(word, ' ')) AS k
+          FROM {seeds_values_sql(SEEDS)}),
+hit AS (SELECT DISTINCT doc_id, label, word FROM u JOIN seeds USING (w1)
+        WHERE word = CASE k WHEN 1 THEN w1 WHEN 2 THEN w1 || ' ' || w2 WHEN 3 THEN w1 || ' ' || w2 || ' ' || w3
+                     WHEN 4 THEN w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 END),
+cnt AS (SELECT doc_id, label, count(*) AS n FROM hit GROUP BY doc_id, label),
 st AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id) AS share,
               row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, label) AS rk FROM cnt),
 fin AS (SELECT *, max(CAST(share >= 0.2 AS INT)) OVER (PARTITION BY doc_id) AS anyp FROM st),
@@ -128,11 +128,14 @@ SELECT g2.doc_id, pk.label FROM g2 LEFT JOIN pk USING (doc_id)
 """
 
 
-@query("p6_production_rule", P6_SQL.replace("docs_here", "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"))
+_TURNS = "(SELECT {'conv_id': conv_id, 'turn': turn} AS doc_id, text FROM conversations)"
+
+
+@query("p6_production_rule", f"SELECT doc_id.conv_id AS conv_id, doc_id.turn AS turn, label FROM ({P6_SQL.replace('docs_here', _TURNS)})")
 def p6_production_rule(spark, sf):
-    conv = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return match.production_labels(conv, "text", seeds_from_dict(spark, SEEDS), len(SEEDS))
+    conv = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    labels = match.production_labels(conv, "text", seeds_from_dict(spark, SEEDS), len(SEEDS))
+    return labels.select("doc_id.conv_id", "doc_id.turn", "label")
 
 
 @query("p17_rule_comparison", f"""
