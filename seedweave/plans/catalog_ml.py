@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seedweave.functions.text import PUNCTUATION, char_class, explode_nonempty, punctuation_to_space, word_tokens
-from seedweave.operators import ml
+from seedweave.functions.text import (PUNCTUATION, char_class, explode_nonempty, filter_tokens, punctuation_to_space,
+                                      word_tokens)
+from seedweave.operators import corpus_senses as cs
+from seedweave.operators import factor, ml
+from seedweave.operators.common import cut_lineage, local_table
 from seedweave.operators.match import inrow_share_labels
 from seedweave.plans.catalog_rank import _corpus_sql, corpus
-from seedweave.plans.fixtures import SEEDS
+from seedweave.plans.fixtures import SEEDS, sql_filter_tokens
 from seedweave.plans.registry import query
-from seedweave.session import table
+from seedweave.session import spread_table, table
 
 LABELS = sorted(SEEDS)
 
@@ -96,14 +99,55 @@ def k6_prediction_distribution(spark, sf):
     return s.where(F.col("prob") > 0.5).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _pmi(spark, sf, size=20):
+    """The corpus (doc_id, tokens) and its word vectors from the PMI table."""
+    c = cut_lineage(_sent_tokens(spark, sf).select("doc_id", "tokens"))
+    return c, cut_lineage(factor.pmi_vectors(cs.token_ids(c), size))
+
+
+def _document_block(spark, sf, size=20):
+    c, vecs = _pmi(spark, sf, size)
+    words = explode_nonempty(c, F.col("tokens"), "word", "doc_id")
+    return factor.document_vectors(words, vecs, size)
+
+
 @query("k9_doc_vectors")
 def k9_doc_vectors(spark, sf):
     """K9: mean word vector per document (P)."""
-    c = _sent_tokens(spark, sf)
-    model, _ = ml.word_vectors(c, "tokens")
-    from pyspark.ml.functions import vector_to_array
-    v = model.transform(c.select("doc_id", "tokens"))
-    return v.select("doc_id", F.size(vector_to_array("docvec")).alias("dims"))
+    block = _document_block(spark, sf)
+    return block.select(F.col("key").alias("doc_id"), F.posexplode(F.array(*[f"q{i}" for i in range(20)])).alias("dim", "x")) \
+        .withColumn("x", F.round("x", 6))
+
+
+_PMI_LEAST = 200
+
+
+@query("k1_pmi_entries", f"""
+WITH t AS (SELECT doc_id, unnest({sql_filter_tokens('text')}) AS word,
+                  unnest(range(len({sql_filter_tokens('text')}))) AS pos FROM documents),
+v AS (SELECT word FROM t GROUP BY word HAVING count(*) >= {_PMI_LEAST}),
+k AS (SELECT t.* FROM t SEMI JOIN v USING (word)),
+p AS (SELECT a.word AS a, b.word AS b, count(*) AS n FROM k a CROSS JOIN range(-5, 6) r(d)
+      JOIN k b ON b.doc_id = a.doc_id AND b.pos = a.pos + r.d AND r.d <> 0 GROUP BY a.word, b.word),
+s AS (SELECT a, sum(n) AS n FROM p GROUP BY a), z AS (SELECT sum(n) AS n FROM p),
+x AS (SELECT p.a, p.b, ln(p.n * z.n / (s.n * o.n::DOUBLE)) - ln(2.0::DOUBLE) AS x
+      FROM p JOIN s ON s.a = p.a JOIN s o ON o.a = p.b CROSS JOIN z)
+SELECT a AS word, b AS near, round(x, 6) AS x FROM x WHERE x > 0
+""")
+def k1_pmi_entries(spark, sf):
+    """K1: the shifted positive PMI table of the corpus' frequent words, which the word vectors factorise."""
+    d = spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", filter_tokens("text").alias("tokens"))
+    corpus_ = cs.token_ids(d)
+    x = factor.shifted_pmi(factor.cooccurrences(corpus_, least=_PMI_LEAST), shift=2.0)
+    name = lambda side, to: corpus_.vocabulary.select(F.col("wid").alias(side), F.col("word").alias(to))
+    return x.join(name("a", "word"), "a").join(name("b", "near"), "b").select("word", "near", F.round("x", 6).alias("x"))
+
+
+@query("k1_pmi_vectors")
+def k1_pmi_vectors(spark, sf):
+    """K1: word vectors of length 1 from the PMI table, by block power iteration (P)."""
+    _, vecs = _pmi(spark, sf)
+    return vecs.select("word", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("a26_cluster_sizes")
@@ -125,42 +169,57 @@ def a26_cluster_words(spark, sf):
 @query("k11_pca")
 def k11_pca(spark, sf):
     """2-d PCA of the document vectors, and of the centers of four clusters of them (P)."""
-    c = _sent_tokens(spark, sf)
-    model, _ = ml.word_vectors(c, "tokens", size=20)
-    v = model.transform(c.select("doc_id", "tokens")).withColumnRenamed("docvec", "features")
-    pca, proj = ml.pca_projection(v, 2)
-    km, _ = ml.kmeans_clusters(v, 4)
-    from pyspark.ml.linalg import Vectors
-    centers = spark.createDataFrame([(-1 - i, Vectors.dense(x)) for i, x in enumerate(km.clusterCenters())], ["doc_id", "features"])
-    from pyspark.ml.functions import vector_to_array
-    cproj = pca.transform(centers).select("doc_id", vector_to_array("pca_v").alias("pca"))
-    both = proj.select("doc_id", "pca").unionByName(cproj)       # centers have negative ids
-    return both.select("doc_id", F.round(F.col("pca")[0], 6).alias("pc1"), F.round(F.col("pca")[1], 6).alias("pc2"))
+    block = cut_lineage(_document_block(spark, sf))
+    mean, directions, proj = factor.pca(block, 20, 2)
+    from pyspark.ml.functions import array_to_vector
+    feats = block.select("key", array_to_vector(F.array(*[f"q{i}" for i in range(20)])).alias("features"))
+    km, _ = ml.kmeans_clusters(feats, 4)
+    centers = [(-1 - i, *((c - mean) @ directions).tolist()) for i, c in enumerate(km.clusterCenters())]
+    both = proj.unionByName(local_table(spark, centers, ["key", "q0", "q1"], ["long", "double", "double"]))
+    return both.select(F.col("key").alias("doc_id"), F.round("q0", 6).alias("pc1"), F.round("q1", 6).alias("pc2"))
 
 
 @query("k12_svd")
 def k12_svd(spark, sf):
-    """Rows of the benchmark tf-idf matrix on its 3 leading directions, with the singular values (P)."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), word_tokens("text").alias("tokens"))
-    _, feats = ml.tfidf_features(b, "tokens")
-    s, proj = ml.truncated_svd(feats.select("doc_id", "features"), 3)
-    return proj.select("doc_id", F.posexplode("svd").alias("i", "x"), F.array(*[F.lit(v) for v in s]).alias("s")) \
-        .select("doc_id", "i", F.round("x", 6).alias("x"), F.round(F.col("s")[F.col("i")], 6).alias("sigma"))
+    """Rows of the tf-idf matrix of ``benchmark`` on its 3 leading directions, with the singular values (P)."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("row"), word_tokens("text").alias("tokens"))
+    tf = explode_nonempty(b, F.col("tokens"), "column", "row").groupBy("row", "column").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("column").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((b.agg(F.count(F.lit(1))).scalar() + 1) / (F.col("df") + 1))
+    entries = cut_lineage(tf.join(df, "column").select("row", "column", (F.col("tf") * idf).alias("x")))
+    sigma, proj = factor.truncated_svd(entries, 3, more=24)
+    return proj.select(F.col("key").alias("doc_id"), F.posexplode(F.array("q0", "q1", "q2")).alias("i", "x")) \
+        .select("doc_id", "i", F.round("x", 6).alias("x"), F.round(F.array(*[F.lit(float(v)) for v in sigma])[F.col("i")], 6).alias("sigma"))
+
+
+_SEED_WORDS = sorted({w for ws in SEEDS.values() for w in ws})
 
 
 @query("k15_similar_words")
 def k15_similar_words(spark, sf):
-    """The 5 nearest words of each seed word (Word2VecModel.findSynonyms; P)."""
-    c = _sent_tokens(spark, sf)
-    model, vecs = ml.word_vectors(c, "tokens")
-    present = {r["word"] for r in vecs.where(F.col("word").isin(sorted({w for ws in SEEDS.values() for w in ws})))
-               .select("word").collect()}  # at most the seed list
-    out = None
-    for seed in sorted(present):
-        syn = model.findSynonyms(seed, 5).select(F.lit(seed).alias("seed"), "word",
-                                                 F.round("similarity", 6).alias("similarity"))
-        out = syn if out is None else out.unionByName(syn)
-    return out
+    """The 5 nearest words of each seed word (P)."""
+    _, vecs = _pmi(spark, sf)
+    return factor.nearest_words(vecs, local_table(spark, [(w,) for w in _SEED_WORDS], ["word"])) \
+        .withColumn("similarity", F.round("similarity", 6))
+
+
+@query("k15_nearest_given_vectors", f"""
+WITH {_corpus_sql()},
+w AS (SELECT DISTINCT unnest(tokens) AS word FROM ct),
+x AS (SELECT word, i, -0.25::DOUBLE + 0.5::DOUBLE * ({_MD5_28.format("word || ':' || i || ':42'")} / 268435455.0::DOUBLE) AS v
+      FROM w, range(0, 8) r(i)),
+v AS (SELECT word, list(v ORDER BY i) AS vec FROM x GROUP BY word),
+p AS (SELECT a.word AS seed, b.word, round(list_cosine_similarity(a.vec, b.vec), 9) AS c FROM v a JOIN v b ON a.word <> b.word
+      WHERE a.word IN ({", ".join(f"'{w}'" for w in _SEED_WORDS)}))
+SELECT seed, word, round(c, 6) AS similarity FROM p
+QUALIFY row_number() OVER (PARTITION BY seed ORDER BY c DESC, word) <= 5
+""")
+def k15_nearest_given_vectors(spark, sf):
+    """K15 with the hash vectors (K2) of all words of the corpus."""
+    words = explode_nonempty(_sent_tokens(spark, sf), F.col("tokens"), "word").select("word").distinct()
+    vecs = cut_lineage(ml.random_vectors(words, size=8))
+    return factor.nearest_words(vecs, local_table(spark, [(w,) for w in _SEED_WORDS], ["word"])) \
+        .withColumn("similarity", F.round("similarity", 6))
 
 
 def _trigram_model():
