@@ -4,23 +4,32 @@ A text is dropped when an *earlier* text of the same group (by a total order) ha
 similarity ratio > 80 after rounding (i.e. > 80.5, Q11/Q12). The ratio is the indel
 similarity ``100 * 2 * LCS / (len_a + len_b)``.
 
-Identical texts go first, by an aggregate on the text. The remaining texts of a
-group are cut into blocks of ``BLOCK`` texts in their order, and every two blocks
-meet in a task of their own, so that neither a task nor a row ever holds a whole
-group. A pair is only scored if its lengths, and then its letters, leave the cut
-within reach; both bounds are exact.
+Identical texts go first, by an aggregate on the text. The ratio bounds the lengths of
+a pair: the longer text has less than 1.485 times the characters of the shorter one. So
+a group's texts are dealt to classes of length, each 1.5 times the last, and only texts of one
+class or of two neighbouring ones meet. A class is dealt to blocks of about ``BLOCK`` texts by a
+hash of the order, and every two blocks meet in a place of their own, so that no window,
+task, row or shuffle ever holds a group. There, letter counts bound the common
+subsequence of all pairs from above before any is computed. All bounds are exact.
+
+Nothing exact spares the rest: as a fifth of all characters may differ, one in five
+places, pairs need not share even three characters in a row.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-BLOCK = 256
+BLOCK = 2048
+LENGTH_STEP = 1.5      # over 239 / 161, the largest ratio of two lengths within reach of the cut
+LETTERS = 64           # letter counts are kept for so many classes of letters
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -53,37 +62,91 @@ def above_cut(lcs: int, len_a: int, len_b: int) -> bool:
     return 400 * lcs > 161 * (len_a + len_b)
 
 
-def _in_blocks(texts: DataFrame, group: str, order: list[str], text: str, block: int) -> DataFrame:
-    """Every text once per block of its group, keyed by the two blocks that meet (``_lo`` <= ``_hi``)."""
-    w = Window.partitionBy(group).orderBy(*order)
-    t = texts.select(group, *order, F.coalesce(text, F.lit("")).alias("_text"), (F.row_number().over(w) - 1).alias("_n"))
-    t = t.withColumn("_blk", F.floor(F.col("_n") / block)).withColumn("_last", F.max("_blk").over(Window.partitionBy(group)))
-    t = t.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
-    return t.withColumns({"_lo": F.least("_blk", "_other"), "_hi": F.greatest("_blk", "_other")}).drop("_last", "_other")
+_PLACE = ["_lo_class", "_lo_block", "_hi_class", "_hi_block"]
 
 
-def _feasible_pairs(pdf: pd.DataFrame):
-    """(place of a, place of b) with a before b, one from each block, and lengths within reach of the cut."""
-    texts, n, blk = pdf["_text"].tolist(), pdf["_n"].tolist(), pdf["_blk"].tolist()
-    lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-    first, second = [i for i, x in enumerate(blk) if x == lo], [i for i, x in enumerate(blk) if x == hi]
-    for j in second:
-        for i in first:
-            if n[i] < n[j] and above_cut(min(len(texts[i]), len(texts[j])), len(texts[i]), len(texts[j])):
-                yield i, j
+def _meeting(texts: DataFrame, group: str, order: list[str], text: str, block: int) -> DataFrame:
+    """Every text once per block that it meets: its columns, ``_text``, the two blocks and whether it belongs to the second.
+
+    Rows are sorted by group and blocks within partitions, so each place's rows follow each other.
+    """
+    t = F.coalesce(text, F.lit(""))
+    length = F.floor(F.log(F.length("_text")) / F.log(F.lit(LENGTH_STEP)))
+    own = texts.select(group, *order, t.alias("_text")).withColumn(
+        "_class", F.when(F.length("_text") > 0, length).otherwise(-2).cast("long"))
+    sizes = own.groupBy(group, "_class").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    # A row per group; as many entries as a group has classes of length.
+    sizes = sizes.groupBy(F.col(group).alias("_g")).agg(F.map_from_entries(F.collect_list(F.struct("_class", "_blocks"))).alias("_sizes"))
+    rows = own.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(*order), F.col("_sizes")[F.col("_class")]))
+    me = {"class": F.col("_class"), "block": F.col("_block")}
+
+    def places(step: int):
+        other = F.col("_class") + step
+        n = F.coalesce(F.try_element_at("_sizes", other), F.lit(0).cast("long"))
+        blocks = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+
+        def place(b):
+            mine_first = F.lit(step > 0) if step else me["block"] <= b
+            pick = lambda x, y: F.when(mine_first, x).otherwise(y)
+            return F.struct(pick(me["class"], other).alias("_lo_class"), pick(me["block"], b).alias("_lo_block"),
+                            pick(other, me["class"]).alias("_hi_class"), pick(b, me["block"]).alias("_hi_block"),
+                            (~mine_first).alias("_second"))
+        return F.transform(blocks, place)
+
+    out = rows.withColumn("_p", F.explode(F.concat(places(-1), places(0), places(1)))).select(group, *order, "_text", "_p.*")
+    # A fixed number: a place's work grows with its pairs, not with the bytes by which Spark would merge partitions.
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, group, *_PLACE).sortWithinPartitions(group, *_PLACE)
+
+
+def _places(batches, group: str):
+    """The rows of each place, as lists of dicts; holds one place at a time."""
+    rows = (r for batch in batches for r in batch.to_pylist())
+    for _, found in groupby(rows, key=lambda r: (r[group], *(r[c] for c in _PLACE))):
+        yield list(found)
+
+
+def _feasible_pairs(rows: list[dict], order: list[str], letters: bool = True):
+    """(earlier, later) rows of a place, one of each block, whose lengths, then letters, leave the cut within reach."""
+    same = all(rows[0][f"_lo_{x}"] == rows[0][f"_hi_{x}"] for x in ("class", "block"))
+    first = rows if same else [r for r in rows if not r["_second"]]
+    second = rows if same else [r for r in rows if r["_second"]]
+    if not first or len(rows) < 2:
+        return
+    sizes = np.array([len(r["_text"]) for r in first])
+    counts = np.stack([_letters(r["_text"]) for r in first]) if letters else None
+    rank = lambda r: tuple((r[o] is not None, r[o]) for o in order)
+    ranks = [rank(r) for r in first]
+    for j, r in enumerate(second):
+        n = len(r["_text"])
+        common = np.minimum(counts, _letters(r["_text"])).sum(axis=1) if letters else np.minimum(sizes, n)
+        mine = rank(r)
+        for i in np.flatnonzero(400 * common > 161 * (sizes + n)).tolist():
+            if not (same and i >= j):
+                yield (first[i], r) if ranks[i] < mine else (r, first[i])
+
+
+def _letters(text: str) -> np.ndarray:
+    """How often each class of letters (code points by remainder) occurs."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), "<u4") % LETTERS, minlength=LETTERS)
 
 
 def similarities(texts: DataFrame, group: str, order: str, text: str, block: int = BLOCK) -> DataFrame:
     """X26 + J14: (group, a_ord, b_ord, ratio) of every pair whose lengths leave the cut within reach."""
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, o = pdf["_text"].tolist(), pdf[order].tolist()
-        rows = [(pdf[group].iloc[0], o[i], o[j], indel_ratio(t[i], t[j])) for i, j in _feasible_pairs(pdf)]
-        return pd.DataFrame(rows, columns=[group, "a_ord", "b_ord", "ratio"])
-
     types = {f.name: f.dataType for f in texts.schema}
     schema = StructType([StructField(group, types[group]), StructField("a_ord", types[order]),
                          StructField("b_ord", types[order]), StructField("ratio", DoubleType())])
-    return _in_blocks(texts, group, [order], text, block).groupBy(group, "_lo", "_hi").applyInPandas(score, schema)
+    arrow = to_arrow_schema(schema)
+
+    def score(batches):
+        for rows in _places(batches, group):
+            out = [(a[group], a[order], b[order], indel_ratio(a["_text"], b["_text"]))
+                   for a, b in _feasible_pairs(rows, [order], letters=False)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+    return _meeting(texts, group, [order], text, block).mapInArrow(score, schema)
 
 
 def drop_near_duplicates(texts: DataFrame, group: str, order: list[str], text: str, block: int = BLOCK) -> DataFrame:
@@ -92,25 +155,21 @@ def drop_near_duplicates(texts: DataFrame, group: str, order: list[str], text: s
     ``order`` must tell the rows of a group apart (a total order). Null texts count
     as empty.
     """
-    def later_ones(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf["_text"].tolist()
-        letters: dict[int, Counter] = {}
-        gone = set()
-        for i, j in _feasible_pairs(pdf):
-            if j in gone:
-                continue
-            for k in (i, j):
-                if k not in letters:
-                    letters[k] = Counter(t[k])
-            # The common letters are at least as many as the common subsequence has.
-            if above_cut((letters[i] & letters[j]).total(), len(t[i]), len(t[j])) \
-                    and above_cut(lcs_length(t[i], t[j]), len(t[i]), len(t[j])):
-                gone.add(j)
-        return pdf.iloc[sorted(gone)][[group, *order]]
-
     own = drop_exact_duplicates(texts, group, order, text)
     schema = texts.select(group, *order).schema
-    near = _in_blocks(own, group, order, text, block).groupBy(group, "_lo", "_hi").applyInPandas(later_ones, schema).distinct()
+    arrow = to_arrow_schema(schema)
+
+    def later_ones(batches):
+        for rows in _places(batches, group):
+            gone = {}
+            for a, b in _feasible_pairs(rows, order):
+                if id(b) not in gone and above_cut(lcs_length(a["_text"], b["_text"]), len(a["_text"]), len(b["_text"])):
+                    gone[id(b)] = b
+            if gone:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[c] for r in gone.values()], t) for c, t in zip(arrow.names, arrow.types)], schema=arrow)
+
+    near = _meeting(own, group, order, text, block).mapInArrow(later_ones, schema).distinct()
     return own.join(near, [group, *order], "left_anti")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from seedweave.functions.text import split_trim
 
@@ -101,29 +105,52 @@ def external_votes(clients: DataFrame, external: DataFrame, key: str, label: str
     return clients.join(ext, [key, label], "left").select(key, label, F.coalesce("w", F.lit(0)).alias("weight"))
 
 
-def keyword_containment(texts: DataFrame, text_col: str, keywords: DataFrame, kw_col: str = "kw", q: int = 3,
-                        min_len: int = 1) -> DataFrame:
-    """(text row, keyword) for every keyword that is a substring of the text.
+KEYWORD_CHARS = 2 << 20     # letters of the keywords in one automaton (some 100 MB of nodes)
+
+
+@lru_cache(maxsize=1)
+def _automaton(words: tuple[str, ...]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, w)
+    found.make_automaton()
+    return found
+
+
+def keyword_containment(texts: DataFrame, text_col: str, keywords: DataFrame, kw_col: str = "kw",
+                        most_chars: int = KEYWORD_CHARS) -> DataFrame:
+    """(text row, keyword row) for every keyword that is a substring of the text.
 
-    Equi-joins on grams: a keyword is looked up by its first ``q`` letters among the
-    distinct grams of a text, then tested whole; a shorter one is a gram itself.
-    ``min_len`` states the length of the shortest keyword (at least 1), which saves
-    the joins for shorter ones.
+    The distinct keywords make an Aho-Corasick automaton, which reads every text once, batch
+    by batch, so the work is linear in the texts and the hits, and no text is moved or cut up.
+    Keywords with more than ``most_chars`` letters in all are dealt to several automata of that
+    size, each with a scan of its own: what a task or the driver holds has that bound.
+    Null and empty keywords and null texts match nothing.
     """
-    rows = texts.withColumn("_chars", F.split(F.col(text_col), ""))
-    kw = keywords.withColumn("_len", F.length(kw_col))
-    out = None
-    for n in range(1, q + 1):
-        if n < min_len and n < q:
-            continue
-        size = F.size("_chars") - n
-        gram = F.transform(F.sequence(F.lit(0), size), lambda i: F.concat(*[F.get(F.col("_chars"), i + k) for k in range(n)]))  # noqa: B023
-        grams = rows.withColumn("_gram", F.explode_outer(F.when(size >= 0, F.array_distinct(gram)))).drop("_chars") \
-            .where(F.col("_gram").isNotNull())
-        mine = kw.where(F.col("_len") >= q if n == q else F.col("_len") == n).withColumn("_gram", F.substring(kw_col, 1, n))
-        hits = grams.join(mine, "_gram").where(F.col(text_col).contains(F.col(kw_col))).drop("_gram", "_len")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    words = keywords.select(F.col(kw_col).alias("w")).where(F.length("w") > 0).distinct()
+    letters = words.agg(F.sum(F.length("w")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-letters // most_chars))
+    schema = StructType([*texts.schema, StructField("_hit", StringType())])
+    at, out = texts.columns.index(text_col), None
+    for p in range(parts):
+        mine = words.where(F.pmod(F.xxhash64("w"), F.lit(parts)) == p) if parts > 1 else words
+        sent = texts.sparkSession.sparkContext.broadcast(tuple(r["w"] for r in mine.collect()))     # at most about ``most_chars`` letters
+
+        def scan(batches, sent=sent):
+            found = _automaton(sent.value) if sent.value else None
+            for batch in batches:
+                if found is None:
+                    continue
+                hits = [sorted({w for _, w in found.iter(t)}) if t else () for t in batch.column(at).to_pylist()]
+                rows = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.take(rows).columns, pa.array([w for h in hits for w in h], pa.string())], [f.name for f in schema])
+
+        found = texts.mapInArrow(scan, schema)
+        out = found if out is None else out.unionByName(found)
+    return out.join(keywords, F.col("_hit") == F.col(kw_col)).drop("_hit")
 
 
 def tag_frequency(df: DataFrame, list_col: str, sep: str = ",") -> DataFrame:

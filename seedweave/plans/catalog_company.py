@@ -292,7 +292,7 @@ def p8_external_labels(spark, sf):
     wc = local_table(spark, WORD_CATEGORY, ["key", "value"])
     verts = mp.distinct_mapped_list(p, "p_partkey", "vertical", wc, sep="/").withColumnRenamed("labels", "verts")
     kw = _syn_df(spark, TAG_SYNONYMS).distinct()
-    hits = mp.keyword_containment(p, "p_name", kw, "word", min_len=3).join(_ids_df(spark, TAG_IDS), "tag")
+    hits = mp.keyword_containment(p, "p_name", kw, "word").join(_ids_df(spark, TAG_IDS), "tag")
     tags = hits.groupBy("p_partkey").agg(F.array_sort(F.collect_set("tag_id")).alias("tags"))
     both = (p.select("p_partkey", "client_id").join(verts, "p_partkey").join(tags, "p_partkey")
             .where((F.size("verts") > 0) & (F.size("tags") > 0)))                       # F11

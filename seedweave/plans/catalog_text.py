@@ -211,7 +211,7 @@ def x14_seed_bigrams(spark, sf):
     new, pairs = tx.merge_seed_bigrams(seeds)
     both = seeds.withColumnRenamed("word", "old").join(new, ["label", "pos"])
     parts = table(spark, sf, "part").select("p_partkey", "p_name")
-    hits = keyword_containment(parts, "p_name", seeds.select(F.col("word").alias("kw")).distinct(), "kw", min_len=3) \
+    hits = keyword_containment(parts, "p_name", seeds.select(F.col("word").alias("kw")).distinct(), "kw") \
         .groupBy("kw").agg(F.count(F.lit(1)).alias("n"))
     j = both.join(hits, F.col("old") == F.col("kw"), "left").join(pairs.withColumnRenamed("word", "mono"), F.col("old") == F.col("bigram"), "left")
     return j.select("label", "word", F.coalesce("n", F.lit(0)).cast("long").alias("n_parts"), "mono")

@@ -1,19 +1,21 @@
 """G1: incremental classification as Structured Streaming.
 
 New documents are read with the file source (``trigger(availableNow=True)``
-processes whatever is there and stops). Each micro-batch is labelled with the
-production rule (P6, a stream-static join to the seed table) and written to the
-sink's folder ``epoch=<id>``, replacing what an earlier attempt at the same epoch
-left: a replayed batch writes nothing twice. Documents that an earlier epoch has
-labelled are skipped by an anti join with the part of the sink in the batch's range
-of ids. Sink and progress folder are the caller's and are kept between runs, so a
-later call only sees new files.
+processes whatever is there and stops), in micro-batches of about ``batch_bytes`` of files.
+Ids that have arrived before are told apart by keyed state (``dropDuplicates`` on the
+stream, dealt by id over the state store's partitions), so the sink is never read: the
+first row of an id counts, also among several in one batch. Each micro-batch is labelled
+with the production rule (P6, a stream-static join to the seed table) and written to the
+sink's folder ``epoch=<id>``, replacing what an earlier attempt at the same epoch left: a
+replayed batch starts from the state before it and writes nothing twice. Sink and progress
+folder (which holds the state) are the caller's and are kept between runs, so a later call
+only sees new files. The state has one entry per id that ever arrived; it is kept in RocksDB,
+not in the executors' heap.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seedweave.operators import match
 from seedweave.plans.fixtures import SEEDS
@@ -27,24 +29,31 @@ def label_batch(batch: DataFrame, seeds: DataFrame, n_labels: int) -> DataFrame:
     return match.production_labels(batch.select("doc_id", "text"), "text", seeds, n_labels)
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_incremental_labels(spark: SparkSession, in_dir: str, sink: str, progress: str, seeds: dict | None = None,
-                           table_name: str = "documents") -> DataFrame:
+                           table_name: str = "documents", batch_bytes: int = 16 << 30) -> DataFrame:
     """Label the new files of ``in_dir``; return all rows (doc_id, label) of the sink."""
     seeds = seeds or SEEDS
     seeds_df = seeds_from_dict(spark, seeds)
     stream = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", f"{table_name}*.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(in_dir))
+              .option("maxBytesPerTrigger", batch_bytes).parquet(in_dir))
+    stream = stream.select("doc_id", "text").dropDuplicates(["doc_id"])
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        batch.persist()                        # the rule reads the batch twice; the state must move once
         out = label_batch(batch, seeds_df, len(seeds)).select("doc_id", "label")
-        if epoch_id > 0:                       # epoch 0 has made the folder
-            span = batch.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-            done = batch.sparkSession.read.schema(SINK_SCHEMA).parquet(sink) \
-                .where((F.col("epoch") < epoch_id) & F.col("doc_id").between(span["lo"], span["hi"]))
-            out = out.join(done.select("doc_id").distinct(), "doc_id", "left_anti")
         out.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch_id}")
-
-    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", progress)
-         .trigger(availableNow=True).start())
+        batch.unpersist()
+
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKSDB)           # read when the query starts
+    try:
+        q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", progress)
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(_STORE, before)
     q.awaitTermination()
     return spark.read.schema(SINK_SCHEMA).parquet(sink).select("doc_id", "label")

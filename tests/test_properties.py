@@ -277,15 +277,3 @@ def test_contextual_documents_cover_the_corpus(spark):
     plain = lambda t, w: t == w or re.fullmatch(re.escape(w) + r"\$\d+", t)
     assert set(got) == set(words) and all(len(got[d]) == len(words[d]) and all(map(plain, got[d], words[d])) for d in words)
     assert any(t != w for d in words for t, w in zip(got[d], words[d]))
-
-
-def test_incremental_stream_equals_batch(spark):
-    from seedweave.operators import match
-    from seedweave.plans.fixtures import SEEDS
-    from seedweave.session import table
-    from seedweave.sources.dictionaries import seeds_from_dict
-    from seedweave.streaming.incremental import run_incremental_labels
-    s = run_incremental_labels(spark, SF)
-    b = match.production_labels(table(spark, SF, "documents"), "text", seeds_from_dict(spark, SEEDS), 4)
-    key = lambda df: sorted((r.doc_id, r.label or "") for r in df.collect())
-    assert key(s) == key(b)
