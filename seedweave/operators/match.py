@@ -14,9 +14,12 @@ grow past the number of labels of the dictionary.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedweave.functions.text import word_tokens
 
 OCCURRENCES = "occurrences"
 DISTINCT = "distinct"
@@ -112,19 +115,20 @@ def pseudo_labels(docs: DataFrame, tokens, seeds: DataFrame, n_dict_labels: int,
 
 
 def production_labels(docs: DataFrame, text_col: str, seeds: DataFrame, n_dict_labels: int,
-                      threshold: float = 0.2, id_col: str = "doc_id", max_n: int = 4) -> DataFrame:
-    """Distinct n-grams 1..4 of word tokens, share rule; no match -> no label.
+                      threshold: float = 0.2, id_col: str = "doc_id", max_n: int = 4,
+                      tokenizer: Callable[[str], Column] = word_tokens) -> DataFrame:
+    """Distinct n-grams 1..4 of the ``tokenizer``'s words, share rule; no match -> no label.
 
     Returns (doc_id, label) with a NULL label for documents without a hit
     (the reference's zero vector); documents without any token are dropped.
     """
-    from seedweave.functions.text import ngrams_upto, word_tokens
+    from seedweave.functions.text import ngrams_upto
 
     from seedweave.functions.text import WORD_RE
-    # A document without any token is dropped; tested on the raw text so that
-    # no filter on a derived array is pushed below (and re-runs) the tokenizer.
-    has_tok = docs.where(F.col(text_col).rlike(WORD_RE))
-    toks = has_tok.select(F.col(id_col).alias("doc_id"), word_tokens(text_col).alias("tok"))
+    # A document without any token is dropped; tested on the raw text where the tokenizer's pattern is
+    # known, so that no filter on a derived array is pushed below (and re-runs) the tokenizer.
+    has_tok = docs.where(F.col(text_col).rlike(WORD_RE) if tokenizer is word_tokens else F.size(tokenizer(text_col)) > 0)
+    toks = has_tok.select(F.col(id_col).alias("doc_id"), tokenizer(text_col).alias("tok"))
     grams = toks.select("doc_id", F.array_distinct(ngrams_upto("tok", max_n)).alias("grams"))
     # Broadcast semi join before any shuffle: only n-grams that are seeds move.
     from seedweave.functions.text import explode_nonempty
@@ -137,15 +141,15 @@ def production_labels(docs: DataFrame, text_col: str, seeds: DataFrame, n_dict_l
 
 def tag_matches(docs: DataFrame, text_col: str, synonyms: DataFrame, tag_ids: DataFrame,
                 links: DataFrame, id_col: str = "doc_id", min_hits: int = 1, hops: int = 1,
-                max_n: int = 4) -> DataFrame:
+                max_n: int = 4, tokenizer: Callable[[str], Column] = word_tokens) -> DataFrame:
     """Tags with >= ``min_hits`` synonym hits, plus linked tags, known ids only.
 
     ``synonyms``: (tag, word); ``tag_ids``: (tag, tag_id); ``links``:
     (src, dst) tag-id edges. Returns distinct (doc_id, tag_id).
     """
-    from seedweave.functions.text import ngrams_upto, word_tokens
+    from seedweave.functions.text import ngrams_upto
 
-    toks = docs.select(F.col(id_col).alias("doc_id"), word_tokens(text_col).alias("tok"))
+    toks = docs.select(F.col(id_col).alias("doc_id"), tokenizer(text_col).alias("tok"))
     from seedweave.functions.text import explode_nonempty
     grams = explode_nonempty(toks, F.array_distinct(ngrams_upto("tok", max_n)), "word", "doc_id")
     counts = label_counts(grams, synonyms.withColumnRenamed("tag", "label"))

@@ -28,7 +28,7 @@ def _decode_twice(col):
 
 
 def read_seed_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(file, label, word, pos) for each JSON file under ``path``."""
+    """(file, label, word, pos) for each JSON file under ``path``."""
     raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), F.col("value"))
     parsed = raw.select("file", F.from_json(_decode_twice(F.col("value")), SEED_SCHEMA).alias("m"))
@@ -36,6 +36,18 @@ def read_seed_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return by_label.select("file", "label", F.posexplode("words").alias("pos", "word"))
 
 
+def read_seed_dictionaries(spark: SparkSession, path: str) -> DataFrame:
+    """(iteration, file, label, word, pos) of all dictionaries under ``path``.
+
+    ``iteration`` counts the files with words from 0 in the order of their names, as the rounds are read.
+    """
+    from pyspark.sql import Window
+    rows = read_seed_dictionary(spark, path)
+    files = rows.select("file").distinct()
+    files = files.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("iteration"))     # one row per file
+    return rows.join(files, "file").select("iteration", "file", "label", "word", "pos")
+
+
 def read_tag_links(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) integer edges from a {"id": [id, ...]} JSON map."""
     raw = spark.read.text(path, wholetext=True)

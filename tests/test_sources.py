@@ -18,6 +18,33 @@ def test_seed_dictionary_plain_and_double_encoded(spark):
         assert {(fn, "a", "x", 0), (fn, "a", "y", 1), (fn, "b", "z", 0)} <= rows
 
 
+def test_all_dictionaries_of_a_folder_in_name_order(spark):
+    from seedweave.sources.dictionaries import read_seed_dictionaries
+    d = tempfile.mkdtemp(dir="/tmp")
+    for name, words in (("it1.json", ["y"]), ("it0.json", ["x"]), ("it10.json", ["z", "w"])):
+        with open(os.path.join(d, name), "w") as f:
+            json.dump({"a": words}, f)
+    rows = read_seed_dictionaries(spark, d).collect()
+    assert sorted((r.iteration, r.file, r.pos, r.word) for r in rows) == [
+        (0, "it0.json", 0, "x"), (1, "it1.json", 0, "y"), (2, "it10.json", 0, "z"), (2, "it10.json", 1, "w")]
+
+
+def test_tokenizer_of_the_production_matchers_is_a_parameter(spark):
+    from pyspark.sql import functions as F
+
+    from seedweave.operators import match
+    from seedweave.sources.dictionaries import seeds_from_dict
+    docs = spark.createDataFrame([(1, "a|b c|d"), (2, "c"), (3, None)], "doc_id long, text string")
+    seeds = seeds_from_dict(spark, {"x": ["b c"], "y": ["c"]})
+    bars = lambda c: F.split(c, r"\\|")
+    got = match.production_labels(docs, "text", seeds, 2, tokenizer=bars)
+    assert sorted((r.doc_id, r.label) for r in got.collect()) == [(1, "x"), (2, "y")]
+    ids = spark.createDataFrame([("x", 1), ("y", 2)], "tag string, tag_id int")
+    links = spark.createDataFrame([], "src int, dst int")
+    tags = match.tag_matches(docs, "text", seeds.withColumnRenamed("label", "tag"), ids, links, tokenizer=bars)
+    assert sorted((r.doc_id, r.tag_id) for r in tags.collect()) == [(1, 1), (2, 2)]
+
+
 def test_write_and_read_back_per_iteration(spark):
     from pyspark.sql import functions as F
 
