@@ -36,7 +36,7 @@ def test_tokenizer_of_the_production_matchers_is_a_parameter(spark):
     from seedweave.sources.dictionaries import seeds_from_dict
     docs = spark.createDataFrame([(1, "a|b c|d"), (2, "c"), (3, None)], "doc_id long, text string")
     seeds = seeds_from_dict(spark, {"x": ["b c"], "y": ["c"]})
-    bars = lambda c: F.split(c, r"\\|")
+    bars = lambda c: F.split(c, r"\|")
     got = match.production_labels(docs, "text", seeds, 2, tokenizer=bars)
     assert sorted((r.doc_id, r.label) for r in got.collect()) == [(1, "x"), (2, "y")]
     ids = spark.createDataFrame([("x", 1), ("y", 2)], "tag string, tag_id int")
