@@ -9,7 +9,7 @@ from seedweave.operators import dedup as dd
 from seedweave.operators import mapping as mp
 from seedweave.operators import match
 from seedweave.operators import vote as vt
-from seedweave.operators.common import local_table
+from seedweave.operators.common import cut_lineage, local_table
 from seedweave.plans.fixtures import (ACQ_DATE, SEEDS, TAG_IDS, TAG_LINKS, TAG_SYNONYMS,
                                       TEXT_TAG_IDS, TEXT_TAG_LINKS, TEXT_TAGS, WORD_CATEGORY, ids_values_sql,
                                       pairs_values_sql, seeds_values_sql, sql_ngrams_upto, sql_str,
@@ -144,10 +144,11 @@ def _model_output(spark, descr):
 
 def _company(spark, sf, duplicates="levenshtein"):
     descr, pitch = _texts(spark, sf)
-    kept = vt.without_duplicates(descr, "conv_id", "role", duplicates)
+    # Cleaned, ordered and rid of duplicates once, for the model's votes and for the job's own.
+    kept = cut_lineage(vt.without_duplicates(descr, "conv_id", "role", duplicates))
     model = vt.model_votes(_model_output(spark, kept), "conv_id", "names", "confidences", LABELS, "model_descr")
-    return vt.classify_companies(descr, pitch, seeds_from_dict(spark, SEEDS), LABELS, "conv_id", "role", [model],
-                                 _external(spark, sf, SEGMENT_LABELS, "label", "string"), duplicates)
+    return vt.classify_companies(kept, pitch, seeds_from_dict(spark, SEEDS), LABELS, "conv_id", "role", [model],
+                                 _external(spark, sf, SEGMENT_LABELS, "label", "string"), None)
 
 
 @query("p10_votes_by_predictor", f"""
