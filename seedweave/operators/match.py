@@ -187,19 +187,33 @@ def inrow_label_counts(tokens, seeds: dict) -> Column:
     return F.array(*[hits(seeds[label]) for label in sorted(seeds)])
 
 
+def bag_label_counts(bag, seeds: dict) -> Column:
+    """``inrow_label_counts`` of a ``rank.word_bag``: each distinct word is looked up once, in the set of all seeds."""
+    words = sorted({w for ws in seeds.values() for w in ws})
+    found = F.filter(bag, lambda b: b["word"].isin(words))
+
+    def hits(found_words, mine):
+        arr = F.lit(sorted(set(mine)))
+        return F.aggregate(found_words, F.lit(0), lambda n, b: n + F.when(F.array_contains(arr, b["word"]), b["n"]).otherwise(0))
+
+    # One element, so that the few words found are computed once for all labels.
+    return F.transform(F.array(found), lambda f: F.array(*[hits(f, seeds[label]) for label in sorted(seeds)]))[0]
+
+
 def inrow_share_labels(df: DataFrame, tokens: str, seeds: dict, threshold: float = 0.2,
-                       out: str = "labels") -> DataFrame:
+                       out: str = "labels", count: Callable[[Column, dict], Column] = inrow_label_counts) -> DataFrame:
     """P2 inside the row: adds ``out``, the label array of each document (empty: no hit).
 
     Used by the refinement loop, where the dictionary is small and known on the
     driver: the whole labelling is one narrow stage, no explode and no shuffle.
-    The counts are projected once, then read by the rule (no recomputation).
+    The counts are projected once, then read by the rule (no recomputation). ``count``
+    makes them from ``tokens`` and the dictionary.
     """
     labels = sorted(seeds)
     if not labels:
         return df.withColumn(out, F.array().cast("array<string>"))
     lab = F.lit(labels)
-    with_counts = df.withColumn("_cnt", inrow_label_counts(F.col(tokens), seeds))
+    with_counts = df.withColumn("_cnt", count(F.col(tokens), seeds))
     with_counts = with_counts.withColumn("_tot", F.aggregate("_cnt", F.lit(0), lambda a, b: a + b))
     pairs = F.arrays_zip(lab.alias("l"), F.col("_cnt").alias("n"))
     if len(labels) < 3:

@@ -136,6 +136,40 @@ def rank_labelled(labelled: DataFrame, tokens: str = "tokens", labels: str = "la
             sizes.where(F.col("label").isNotNull()).select("label", "n_l"))
 
 
+def word_bag(tokens) -> Column:
+    """The distinct words of a token array with their counts, by word: array<struct<word, n>>, empty for null."""
+    t = _c(tokens)
+    s = F.sort_array(F.coalesce(t, F.array().cast("array<string>")))
+    runs = F.transform(F.array(s), lambda a: F.struct(a.alias("s"), F.filter(
+        F.transform(a, lambda w, i: F.when((i == 0) | (F.get(a, i - 1) != w), i)), lambda i: i.isNotNull()).alias("at")))
+    return F.transform(runs, lambda r: F.transform(r["at"], lambda i, k: F.struct(
+        F.get(r["s"], i).alias("word"), (F.coalesce(F.get(r["at"], k + 1), F.size(r["s"])) - i).alias("n"))))[0]
+
+
+def bag_doc_freq(bags: DataFrame, bag: str) -> DataFrame:
+    """A1 of ``word_bag`` rows: (word, df)."""
+    return bags.select(F.explode_outer(F.col(bag)["word"]).alias("word")).where("word IS NOT NULL") \
+        .groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+
+def rank_bags(labelled: DataFrame, bag: str, freq: DataFrame, n_docs: int, labels: str = "labels",
+              min_df: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``rank_labelled`` of ``word_bag`` rows, with the corpus' ``bag_doc_freq`` and number of documents given.
+
+    A row per document, label and distinct word is counted; what doesn't depend on the labels isn't counted again.
+    """
+    marker = F.array(F.struct(F.lit(DOCUMENT).alias("word"), F.lit(1).alias("n")))
+    rows = explode_labels(labelled, labels, F.concat(F.col(bag), marker).alias("_w"))
+    rows = rows.select("label", F.explode_outer("_w").alias("x")).select("label", "x.*")
+    stats = rows.groupBy("label", "word").agg(F.count(F.lit(1)).alias("df_l"), F.sum("n").alias("tf_l"),
+                                              F.max(F.col("word") == DOCUMENT).alias("marker"))
+    sizes = stats.groupBy("label").agg(F.max(F.when(F.col("marker"), F.col("df_l"))).alias("n_l"))
+    j = stats.where(~F.col("marker") & (F.col("df_l") >= min_df)).join(freq, "word").join(sizes, "label")
+    out = j.select("label", "word", (F.col("df_l") / F.col("df")).alias("reldocfreq"),
+                   F.log(F.lit(n_docs) / F.col("df")).alias("idf"), F.tanh(F.col("tf_l") / F.col("n_l")).alias("rel_freq"))
+    return out.withColumn("rank", F.col("reldocfreq") * F.col("idf") * F.col("rel_freq")), sizes
+
+
 def subset_stats(corpus: DataFrame, subset: DataFrame, tokens: str = "tokens", group: str = "label",
                  top: int = 80) -> DataFrame:
     """Rank of every word of each subset against the whole corpus, top ``top``.
