@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seedweave.functions.text import (PUNCTUATION, char_class, explode_nonempty, filter_tokens, punctuation_to_space,
                                       word_tokens)
 from seedweave.operators import corpus_senses as cs
-from seedweave.operators import factor, ml
+from seedweave.operators import factor, linear, ml
 from seedweave.operators.common import cut_lineage, local_table
 from seedweave.operators.match import inrow_share_labels
 from seedweave.plans.catalog_rank import _corpus_sql, corpus
@@ -82,14 +82,27 @@ def _features(spark, sf):
     return c, feats
 
 
+def _fitted(spark, sf):
+    """All labels' classifiers on the pseudo-labels of the documents: (scores, weights)."""
+    c = cut_lineage(_sent_tokens(spark, sf))
+    lab = inrow_share_labels(c.select("doc_id", "ftok"), "ftok", SEEDS)
+    pseudo = lab.select(F.col("doc_id").alias("doc"), F.explode_outer("labels").alias("label")).where(F.col("label").isNotNull())
+    entries = linear.normal_tfidf(explode_nonempty(c, F.col("tokens"), "word", "doc_id"), min_df=2)
+    return linear.fit_all(entries, c.select(F.col("doc_id").alias("doc")), pseudo, LABELS)
+
+
 @query("k5_classifier_scores")
 def k5_classifier_scores(spark, sf):
-    """K4 + K5: one logistic regression per label trained on pseudo-labels; scores for every document (P)."""
-    c, feats = _features(spark, sf)
-    lab = inrow_share_labels(c.select("doc_id", "ftok"), "ftok", SEEDS)
-    pseudo = lab.select("doc_id", F.explode_outer("labels").alias("label")).where(F.col("label").isNotNull())
-    scores = ml.one_vs_rest(feats.select("doc_id", "features"), pseudo, LABELS)
-    return scores.select("doc_id", "label", F.round("prob", 6).alias("prob"))
+    """K4 + K5: a logistic regression per label on pseudo-labels, all in one optimisation; scores for every document (P)."""
+    scores, _ = _fitted(spark, sf)
+    return scores.select(F.col("doc").alias("doc_id"), "label", F.round("prob", 6).alias("prob"))
+
+
+@query("k4_label_weights")
+def k4_label_weights(spark, sf):
+    """K4: the coefficients of every label's classifier, the intercept as the word null (P)."""
+    _, weights = _fitted(spark, sf)
+    return weights.select(F.col("feature").alias("word"), "label", F.round("weight", 6).alias("weight"))
 
 
 @query("k6_prediction_distribution")
