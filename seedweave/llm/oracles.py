@@ -8,7 +8,11 @@ _W = r"[^\x20\x09-\x0D]"
 
 
 def _quality() -> str:
-    grid = ", ".join(f"('{rule}', {float(c)})" for rule, cuts in quality.GRID.items() for c in cuts)
+    level = ", ".join("list_sum([" + ", ".join(f"({rule} > {float(c)})::INT" for c in cuts) + f"])::INT AS l{k}"
+                      for k, (rule, cuts) in enumerate(quality.GRID.items(), 1))
+    size = [len(cuts) for cuts in quality.GRID.values()]
+    cutoff = ", ".join(f"[{', '.join(map(str, map(float, cuts)))}][i{k} + 1] AS c{k}"
+                       for k, cuts in enumerate(quality.GRID.values(), 1))
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
@@ -32,25 +36,24 @@ f AS (
          100.0::DOUBLE * n_repeat_words / greatest(n_words, 1) AS repeats FROM m),
 told AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 cal AS (SELECT f.*, good FROM f JOIN told USING (doc_id) WHERE NOT base_failed),
-grid(rule, cutoff) AS (VALUES {grid}),
-tries AS (SELECT (SELECT count(DISTINCT stratum) FROM cal) * (SELECT count(*) FROM grid) AS tests),
+levels AS (SELECT stratum, good, {level} FROM cal),
+cells AS (SELECT stratum, l1, l2, l3, sum((good = 1)::INT) AS g, sum((good = 0)::INT) AS b FROM levels GROUP BY ALL),
+triples AS (SELECT * FROM range({size[0] + 1}) a(i1), range({size[1] + 1}) b(i2), range({size[2] + 1}) c(i3)),
+tries AS (SELECT (SELECT count(DISTINCT stratum) FROM cal) * (SELECT count(*) FROM triples) AS tests),
 tried AS (
-  SELECT stratum, rule, cutoff, sum((good = 1)::INT) AS n, sum((good = 1 AND v > cutoff)::INT) AS g,
-         sum((good = 0 AND v > cutoff)::INT) AS b
-  FROM (SELECT stratum, good, rule, cutoff,
-               CASE rule WHEN 'symbols' THEN symbols WHEN 'lines' THEN lines ELSE repeats END AS v FROM cal, grid)
-  GROUP BY ALL),
+  SELECT stratum, i1, i2, i3, sum(g) AS n, coalesce(sum(g) FILTER (l1 > i1 OR l2 > i2 OR l3 > i3), 0) AS g,
+         coalesce(sum(b) FILTER (l1 > i1 OR l2 > i2 OR l3 > i3), 0) AS b
+  FROM cells, triples GROUP BY ALL),
 tail AS (
-  SELECT stratum, rule, cutoff, g, b, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+  SELECT stratum, i1, i2, i3, g, b, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
          + j * ln({quality.ALPHA}) + (n - j) * ln(1 - {quality.ALPHA}))) AS p
-  FROM (SELECT *, unnest(range(0, CAST(g AS BIGINT) + 1)) AS j FROM tried WHERE n > 0) GROUP BY ALL),
+  FROM (SELECT *, unnest(range(0, CAST(g AS BIGINT) + 1)) AS j FROM tried WHERE n > 0 AND b > g) GROUP BY ALL),
 cut AS (
-  SELECT stratum, rule, arg_max(cutoff, (b - g) * 1000 + cutoff) AS cutoff FROM tail, tries
-  WHERE p <= {quality.DELTA} / tests AND b > g GROUP BY stratum, rule),
+  SELECT DISTINCT ON (stratum) stratum, {cutoff} FROM tail, tries WHERE p <= {quality.DELTA} / tests
+  ORDER BY stratum, b - g DESC, i1 + i2 + i3 DESC, i1 DESC, i2 DESC, i3 DESC),
 judged AS (
-  SELECT f.*, coalesce(symbols > (SELECT cutoff FROM cut c WHERE c.stratum = f.stratum AND rule = 'symbols'), false) AS x1,
-         coalesce(lines > (SELECT cutoff FROM cut c WHERE c.stratum = f.stratum AND rule = 'lines'), false) AS x2,
-         coalesce(repeats > (SELECT cutoff FROM cut c WHERE c.stratum = f.stratum AND rule = 'repeats'), false) AS x3 FROM f)
+  SELECT f.*, coalesce(symbols > c1, false) AS x1, coalesce(lines > c2, false) AS x2, coalesce(repeats > c3, false) AS x3
+  FROM f LEFT JOIN cut USING (stratum))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT x1 AND NOT x2 AND NOT x3 AS kept,
        array_to_string(list_filter([CASE WHEN x1 THEN 'symbols' END, CASE WHEN x2 THEN 'lines' END,

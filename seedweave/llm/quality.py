@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
 Every rule compares a share (symbols, repeated lines, repeated words) with a
-cutoff. Cutoffs are chosen on labelled documents per stratum (language): a cutoff
-is admissible if the exact binomial test rejects "more than ``alpha`` of the good
-documents are rejected" at level ``delta / tests``, where ``tests`` counts every
-stratum, rule and grid value tried (Bonferroni). That is the Clopper-Pearson upper
-bound being at most ``alpha``. Of the admissible cutoffs the one with the most
-rejected bad less rejected good documents is taken, the mildest on ties; a rule
-that gains nothing is not used. A stratum with too few labels certifies no cutoff
+cutoff. The cutoffs of a stratum (language) are chosen together, on labelled
+documents: a triple (one cutoff per rule, or none) is admissible if the exact
+binomial test rejects "more than ``alpha`` of the good documents fail any of its
+rules" at level ``delta / tests``, where ``tests`` counts every triple of every
+stratum (Bonferroni). That is the Clopper-Pearson upper bound of the joint
+rejection being at most ``alpha``. Of the admissible triples the one with the most
+rejected bad less rejected good documents is taken, the mildest on ties; a triple
+that gains nothing is not used. A stratum with too few labels certifies nothing
 and loses no document to the method.
 
 Everything is DataFrame functions; the words of a text stay inside its row.
@@ -15,6 +16,8 @@ Everything is DataFrame functions; the words of a text stay inside its row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,9 @@ GRID = {
     "lines": (5, 10, 20, 30, 40, 50, 60, 80),
     "repeats": (2, 4, 6, 8, 10, 12, 15, 18),
 }
-ALPHA = 0.02      # tolerated share of good documents that a rule rejects, per stratum
-DELTA = 0.05      # probability that any of the chosen cutoffs breaks that promise
+TRIPLES = math.prod(len(cuts) + 1 for cuts in GRID.values())      # a cutoff of every rule, or none
+ALPHA = 0.02      # tolerated share of good documents that the rules together reject, per stratum
+DELTA = 0.05      # probability that the promise is broken in any stratum
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -87,7 +91,6 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
     """P(X <= k) for X ~ Binomial(n, p), summed term by term in logarithms."""
-    import math
     odds = math.log(p / (1 - p))
     start = F.struct((n * math.log1p(-p)).alias("t"), F.exp(n * math.log1p(-p)).alias("s"))
 
@@ -103,7 +106,7 @@ def risk_controlled_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "
                             alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Rows (stratum, rule, cutoff) chosen on the labelled rows of ``measured``.
 
-    Several labels of one key count as good only if all are 1; null labels and
+    The bound holds for the rules of a stratum together. Several labels of one key count as good only if all are 1; null labels and
     keys are ignored, as are documents that the base rules reject anyway. Output
     has at most strata x rules rows. Without labels it is empty.
     """
@@ -114,26 +117,30 @@ def risk_controlled_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "
         F.col(key).alias("_q_key"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"),
         *[_share(F.col(a), F.col(b)).alias(rule) for rule, (a, b) in SHARES.items()])
     rows = rows.join(told, "_q_key")
-    n_good = F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).cast("long")
-    over = lambda rule, c: F.col(rule) > c
-    # One row per stratum with a pair of counts for every cutoff tried.
-    aggs = [n_good.alias("n")]
-    for rule, cuts in GRID.items():
-        for c in cuts:
-            aggs += [F.sum((over(rule, c) & (F.col("good") == g)).cast("long")).alias(f"{rule}_{c}_{g}") for g in (0, 1)]
-    wide = rows.groupBy("stratum").agg(*aggs)
-    tried = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"),
-                               F.col(f"{rule}_{c}_0").alias("bad"), F.col(f"{rule}_{c}_1").alias("good"))
-                      for rule, cuts in GRID.items() for c in cuts])
-    wide = written(wide, "quality-counts")      # a row per stratum
-    tests = wide.count() * sum(map(len, GRID.values()))
+    # A rule's level is how many of its cutoffs the document fails; a triple keeps what is on or below its three places.
+    levels = [f"level_{rule}" for rule in GRID]
+    level = [sum((F.col(rule) > c).cast("int") for c in cuts).alias(f"level_{rule}") for rule, cuts in GRID.items()]
+    cells = rows.select("stratum", "good", *level).groupBy("stratum", *levels).agg(
+        *[F.count(F.when(F.col("good") == g, 1)).alias(name) for g, name in ((1, "good"), (0, "bad"))])
+    cells = written(cells, "quality-counts")      # at most TRIPLES rows per stratum
+    total = cells.groupBy("stratum").agg(F.sum("good").alias("n"), F.sum("bad").alias("n_bad"))
+    tests = total.count() * TRIPLES
     if not tests:
         return local_table(spark, [], ["stratum", "rule", "cutoff"], ["string", "string", "double"])
-    long = wide.select("stratum", "n", F.explode(tried).alias("x")).select("stratum", "n", "x.*")
-    sound = long.where((F.col("n") > 0) & (binomial_tail(F.col("n"), F.col("good"), alpha) <= delta / tests))
-    gain = F.struct((F.col("bad") - F.col("good")).alias("gain"), F.col("cutoff"))
-    return sound.where(F.col("bad") > F.col("good")).groupBy("stratum", "rule") \
-        .agg(F.max(gain)["cutoff"].alias("cutoff"))
+    kept = cells
+    for rule, cuts in GRID.items():
+        kept = kept.withColumn(f"at_{rule}", F.explode(F.sequence(F.col(f"level_{rule}"), F.lit(len(cuts)))))
+    places = [f"at_{rule}" for rule in GRID]
+    lost = kept.groupBy("stratum", *places).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")) \
+        .join(total, "stratum").withColumns({"good": F.col("n") - F.col("good"), "bad": F.col("n_bad") - F.col("bad")})
+    lost = lost.where(F.col("bad") > F.col("good"))
+    sound = lost.where((F.col("n") > 0) & (binomial_tail(F.col("n"), F.col("good"), alpha) <= delta / tests))
+    best = F.max(F.struct((F.col("bad") - F.col("good")).alias("gain"), sum(F.col(p) for p in places).alias("mild"), *places))
+    chosen = sound.groupBy("stratum").agg(best.alias("best"))
+    # The place behind the last cutoff means that the rule is not used.
+    cutoffs = [F.struct(F.lit(rule).alias("rule"), F.get(F.array(*[F.lit(float(c)) for c in cuts]), F.col(f"best.at_{rule}"))
+                        .alias("cutoff")) for rule, cuts in GRID.items()]
+    return chosen.select("stratum", F.explode(F.array(*cutoffs)).alias("x")).select("stratum", "x.*").where("cutoff IS NOT NULL")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
