@@ -9,7 +9,9 @@ more and add up to the number of rows, so counts differ by one at most (law
 Only counts per arc (``shards * vnodes`` numbers, a fixed bound) reach the
 driver, which decides how many keys each arc passes on; every row then finds its
 shard and slot from its rank on the ring. Ranks are counted inside narrow cells
-of the ring (``CELLS`` of them), so no window holds more than a sliver of the rows.
+of the ring (``CELLS`` of them), and a cell with more than ``CELL_ROWS`` rows (many
+rows of one key) is dealt into parts by a hash of the row's number, so no window holds
+more than a sliver of the rows.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seedweave.llm.shared import written
 from seedweave.operators.common import local_table
 
 RING = 1 << 60            # positions: the first 15 hex digits of an MD5
 CELLS = 1 << 16           # windows are cut at these cells, whatever the number of shards
 CELL_WIDTH = RING // CELLS
+CELL_ROWS = 1 << 17       # rows of a cell that are ranked in one window
 
 
 def ring_position(key: Column) -> Column:
@@ -71,12 +75,14 @@ def arc_plan(points: list[tuple[int, int]], counts: dict[int, int], shards: int)
     return out
 
 
-def assign_shards(df: DataFrame, key: str, shards: int, vnodes: int = 64, tie: list[str] | None = None) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, shards: int, vnodes: int = 64, tie: list[str] | None = None,
+                  cell_rows: int = CELL_ROWS) -> DataFrame:
     """Add ``home_shard``, ``shard`` and ``slot`` (0-based, gapless within a shard) to every row of ``df``.
 
     Rows with equal keys (null keys count as one key) lie at one place of the
-    ring and are told apart by ``tie`` columns; rows equal in all of them are
-    interchangeable. An empty table gives an empty table. Columns of ``df`` are
+    ring and are told apart by ``tie`` columns, in a cell of over ``cell_rows`` rows by
+    their number; rows equal in all of them are interchangeable. ``df`` is written once,
+    which fixes the numbers. An empty table gives an empty table. Columns of ``df`` are
     kept, helper columns start with ``_ring_``.
     """
     spark = df.sparkSession
@@ -91,7 +97,8 @@ def assign_shards(df: DataFrame, key: str, shards: int, vnodes: int = 64, tie: l
         .withColumn("_ring_points", F.coalesce("_ring_points", F.array().cast("array<bigint>"))) \
         .withColumn("_ring_base", F.coalesce(F.sum(F.size("_ring_points")).over(before), F.lit(0)))
 
-    placed = df.withColumn("_ring_pos", ring_position(F.col(key))) \
+    fixed = written(df.withColumn("_ring_row", F.monotonically_increasing_id()), "ring-rows")
+    placed = fixed.withColumn("_ring_pos", ring_position(F.col(key))) \
         .withColumn("_ring_cell", F.floor(F.col("_ring_pos") / CELL_WIDTH).cast("long"))
     placed = placed.join(F.broadcast(cell_table), "_ring_cell")  # CELLS rows
     past = F.size(F.filter("_ring_points", lambda p: p < F.col("_ring_pos")))
@@ -100,8 +107,15 @@ def assign_shards(df: DataFrame, key: str, shards: int, vnodes: int = 64, tie: l
         .drop("_ring_points", "_ring_base")
 
     # Keys past the last point belong to arc 0, after which come the keys before the first point.
-    sizes = placed.groupBy("_ring_arc", "_ring_lap", "_ring_cell").agg(F.count(F.lit(1)).alias("_ring_rows"))
-    by_arc = Window.partitionBy("_ring_arc").orderBy(F.desc("_ring_lap"), "_ring_cell") \
+    cell = ["_ring_arc", "_ring_lap", "_ring_cell"]
+    # Overfull cells: as many of them at most as there are ``cell_rows`` rows.
+    over = placed.groupBy(cell).agg(F.count(F.lit(1)).alias("_ring_rows")).where(F.col("_ring_rows") > cell_rows) \
+        .select(*cell, F.ceil(F.col("_ring_rows") / cell_rows).alias("_ring_parts"))
+    placed = placed.join(over, cell, "left").withColumn("_ring_part", F.when(
+        F.col("_ring_parts").isNotNull(), F.pmod(F.xxhash64("_ring_row"), F.col("_ring_parts"))).otherwise(F.lit(0)).cast("long"))
+    cell = [*cell, "_ring_part"]
+    sizes = placed.groupBy(cell).agg(F.count(F.lit(1)).alias("_ring_rows"))
+    by_arc = Window.partitionBy("_ring_arc").orderBy(F.desc("_ring_lap"), "_ring_cell", "_ring_part") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_ring_off", F.coalesce(F.sum("_ring_rows").over(by_arc), F.lit(0)))
     counts = {r["_ring_arc"]: r["n"] for r in sizes.groupBy("_ring_arc").agg(F.sum("_ring_rows").alias("n")).collect()}
@@ -110,9 +124,9 @@ def assign_shards(df: DataFrame, key: str, shards: int, vnodes: int = 64, tie: l
                        ["int", "long", "long", "int", "long"])
     home = local_table(spark, [(i, s) for i, (_, s) in enumerate(points)], ["_ring_arc", "home_shard"], ["int", "int"])
 
-    in_cell = Window.partitionBy("_ring_arc", "_ring_lap", "_ring_cell").orderBy("_ring_pos", key, *(tie or []))
+    in_cell = Window.partitionBy(cell).orderBy("_ring_pos", key, *(tie or []))
     ranked = placed.withColumn("_ring_rn", F.row_number().over(in_cell) - 1) \
-        .join(F.broadcast(offsets.drop("_ring_rows")), ["_ring_arc", "_ring_lap", "_ring_cell"]) \
+        .join(F.broadcast(offsets.drop("_ring_rows")), cell) \
         .withColumn("_ring_rank", F.col("_ring_off") + F.col("_ring_rn"))
     ranked = ranked.join(F.broadcast(home), "_ring_arc")
     p = plan.withColumnRenamed("_ring_arc", "_ring_plan_arc")

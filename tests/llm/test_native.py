@@ -96,6 +96,15 @@ def test_shards_of_odd_rows(odd_docs, no_docs):
     assert sharding.assign_shards(clash, "doc_id", 4).columns == ["doc_id", "points", "cell", "home_shard", "shard", "slot"]
 
 
+def test_hot_key_is_ranked_in_parts(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.assign_shards(rows, "doc_id", 7, 16, tie=["text"], cell_rows=100)
+    assert got.columns == ["doc_id", "text", "home_shard", "shard", "slot"]
+    got = got.collect()
+    assert len(got) == 3000 and sum(r["doc_id"] is None for r in got) == 1500
+    check_shards(got, 7)
+
+
 # quality rules
 
 def test_quality_equals_sql(spark, con):
@@ -105,6 +114,31 @@ def test_quality_equals_sql(spark, con):
     assert _digest(got.toPandas()) == _digest(con.sql(oracles.QUALITY).df())
 
 
+def test_quality_equals_sql_where_cutoffs_exist(spark):
+    big = SF.replace("sf0.01", "sf0.1")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{big}/{t}.parquet')")
+    got = quality.quality_report(table(spark, big, "documents"), table(spark, big, "labels")).toPandas()
+    assert (~got["kept"] & ~got["base_failed"]).sum() > 0
+    assert _digest(got) == _digest(con.sql(oracles.QUALITY).df())
+
+
+def test_rules_of_a_stratum_lose_few_good_documents_together(spark):
+    """Three rules that lose 1.2 % of the good ones each, different ones: alone each holds the bound, together they don't."""
+    good, bad = 6000, 300
+    part = F.when(F.col("doc_id") < good, F.floor(F.col("doc_id") / 72)).otherwise(F.col("doc_id") % 3)
+    rows = spark.range(good + bad).withColumnRenamed("id", "doc_id").withColumns({
+        "lang": F.lit("en"), "base_failed": F.lit(False), "word_chars": F.lit(100), "n_lines": F.lit(100), "n_words": F.lit(100),
+        **{m: F.when(part == k, 90).otherwise(0) for k, m in enumerate(("n_symbols", "n_dup_lines", "n_repeat_words"))}})
+    labels = rows.select("doc_id", (F.col("doc_id") < good).cast("int").alias("quality"))
+    cutoffs = quality.risk_controlled_cutoffs(rows, labels)
+    assert cutoffs.count() == 1
+    lost = quality.judge(rows, cutoffs).where("NOT kept").agg(
+        F.sum((F.col("doc_id") < good).cast("int")), F.sum((F.col("doc_id") >= good).cast("int"))).first()
+    assert tuple(lost) == (72, 100)
+
+
 def test_measures_equal_brute_force(odd_docs, make_docs):
     rnd = random.Random(3)
     pairs = [(i, "".join(rnd.choice(["a", "b", " ", " ", "\n", "#", "é|", "x y z w v ", "\t"]) for _ in range(rnd.randint(0, 150))))
