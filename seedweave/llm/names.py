@@ -1,7 +1,7 @@
 """Names of text windows, and their exchange between documents and counting tasks.
 
-Documents are dealt to chunks (by a hash of id and text, so copies spread) and
-names to buckets (by their value). A task that reads documents sends one row per
+Documents are compressed and written once with a number per row; a hash of that
+number deals them to chunks, so copies and repeated rows spread, and names go to buckets (by their value). A task that reads documents sends one row per
 bucket with the packed names of what it has seen, each name once per chunk; the
 task of a bucket sorts them, decides, and answers one row per chunk. Rows therefore
 carry plain 64-bit words, a name that is everywhere costs one entry per chunk, and
@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from seedweave.llm.shared import parts_for, text_bytes
+from seedweave.llm.shared import parts_for, text_bytes, written
 
 CHUNK_BYTES = 4 << 20        # text bytes of a chunk; there are as many buckets as chunks
 SEGMENT = 1 << 20            # units of a text that are named at once, to bound memory
@@ -98,35 +98,32 @@ def repeated(side_type: str):
     return decide
 
 
-def packed_documents(base: DataFrame) -> DataFrame:
-    """(id, data, chunk): the texts compressed, so that they can be dealt to chunks at little cost."""
+def chunked_documents(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int | None) -> tuple[DataFrame, int]:
+    """(id, data, chunk), written, and the number of chunks.
+
+    data is the compressed text (null: empty). The row number that decides the
+    chunk is fixed by the write, so a task that runs again finds the same chunks.
+    """
     def press(batches):
         import zstandard
         z = zstandard.ZstdCompressor()
         for b in batches:
             data = [z.compress(t.encode()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), b.column(2)], ["id", "data", "chunk"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), b.column(2)], ["id", "data", "row"])
 
-    schema = StructType([StructField("id", base.schema["id"].dataType), StructField("data", BinaryType()),
-                         StructField("chunk", LongType())])
-    return base.select("id", "text", "chunk").mapInArrow(press, schema)
+    n = parts_for(text_bytes(docs, text_col), chunk_bytes or CHUNK_BYTES, 1)
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       F.monotonically_increasing_id().alias("row"))
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("data", BinaryType()),
+                         StructField("row", LongType())])
+    fixed = written(base.mapInArrow(press, schema), "documents")
+    return fixed.select("id", "data", F.pmod(F.xxhash64("row"), F.lit(n)).cast("long").alias("chunk")), n
 
 
 def columns_of(rows: list[tuple], types: list[pa.DataType]) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)]
 
 
-def with_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int | None) -> tuple[DataFrame, int]:
-    """(id, text, chunk) with null texts empty, and the number of chunks."""
-    n = parts_for(text_bytes(docs, text_col), chunk_bytes or CHUNK_BYTES, 1)
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.withColumn("chunk", chunk_of(n)), n
-
-
-def chunk_of(n: int) -> Column:
-    return F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("long")
-
-
 class Outbox:
     """Gathers columns of names and packs them into one row per bucket.
 

@@ -87,21 +87,25 @@ def remove_repeated_windows(docs: DataFrame, words: int = 35, id_col: str = "doc
     ``finish(words, removed)`` makes the column (a string) from the words and the
     mask of the removed ones (None: none): their digest, or ``text_of_kept``.
     Null and empty texts have no words. Every row is a document of its own, also
-    if ids repeat or are null. Windows never cross documents.
+    if ids repeat or are null: repeated rows remove each other's windows. Windows never
+    cross documents. Very long texts are named ``SEGMENT`` words at a time, without a
+    limit. Other columns of ``docs`` are not read, whatever their names. An empty table
+    gives an empty table with the same columns.
     """
     length = words
-    base, n_chunks = N.with_chunks(docs, id_col, text_col, chunk_bytes)
-    id_type = docs.schema[id_col].dataType
+    base, n_chunks = N.chunked_documents(docs, id_col, text_col, chunk_bytes)
+    id_type = base.schema["id"].dataType
 
     def half_windows(batches):
+        plain = zstandard.ZstdDecompressor()
         box = N.Outbox(n_chunks, "u1")
         for b in batches:
-            for text, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for _, _, names, sample in _levels(word_names(text.encode()), length):
+            for z, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for _, _, names, sample in _levels(word_names(plain.decompress(z)), length):
                     name = names[np.unique(sample)]
                     box.put(chunk, name, np.zeros(len(name)))
-            if box.size >= N.FLUSH:
-                yield from box.flush()
+                    if box.size >= N.FLUSH:
+                        yield from box.flush()
         yield from box.flush()
 
     counted = StructType([StructField("id", id_type), StructField("n_words", LongType()), StructField("n_removed", LongType()),
@@ -144,8 +148,8 @@ def remove_repeated_windows(docs: DataFrame, words: int = 35, id_col: str = "doc
             for z, cand, chunk in zip(*(c.to_pylist() for c in b.columns)):
                 for _, _, name, side in candidate_names(plain.decompress(z), cand):
                     box.put(chunk, name, side)
-            if box.size >= N.FLUSH:
-                yield from box.flush()
+                    if box.size >= N.FLUSH:
+                        yield from box.flush()
         yield from box.flush()
 
     def remove(docs_table: pa.Table, answer: pa.Table) -> pa.Table:
@@ -161,8 +165,8 @@ def remove_repeated_windows(docs: DataFrame, words: int = 35, id_col: str = "doc
         cols = N.columns_of(rows, [pa.int64(), pa.int64(), pa.string()])
         return pa.table([docs_table.column("id").combine_chunks(), *cols], counted.names)
 
-    halves = N.ask(base.select("text", "chunk").mapInArrow(half_windows, N.Outbox.SCHEMA), N.repeated("u1"))
-    level = written(N.packed_documents(base).groupBy("chunk").cogroup(halves.groupBy("chunk")).applyInArrow(extend, split), "substring")
+    halves = N.ask(base.select("data", "chunk").mapInArrow(half_windows, N.Outbox.SCHEMA), N.repeated("u1"))
+    level = written(base.groupBy("chunk").cogroup(halves.groupBy("chunk")).applyInArrow(extend, split), "substring")
     waiting = level.where("open")
     full = N.ask(waiting.select("data", "candidates", "chunk").mapInArrow(full_windows, N.Outbox.SCHEMA), N.repeated("u4"))
     removed = waiting.select("id", "n_words", "chunk", "data", "candidates").groupBy("chunk") \

@@ -1,13 +1,14 @@
-"""Suffix-array deduplication by distributed prefix doubling.
+"""Suffix-array deduplication by names of prefixes, in one doubling step.
 
 Bytes covered by a string of ``length`` bytes that also starts elsewhere are removed.
-Positions are ranked by their first ``length / 2`` bytes, then by the pair of ranks
-at offset 0 and ``length / 2``, that is by their first ``length`` bytes; at each
-step Spark deals the ranks to ranges, every range is sorted, and positions whose
-rank is unique leave. A rank is a 64-bit name of the bytes, equal for equal strings.
+Positions are named by their first ``length / 2`` bytes, then by the pair of names
+at offset 0 and ``length / 2``, that is by their first ``length`` bytes; positions
+whose name is unique leave. This departs from sorted ranks at growing offsets: a name
+is a 64-bit hash of the bytes (equal for equal strings), which a sorted rank would
+only be compared with for equality, so no order is made and there is one step.
 
 Of the first step a sample is enough: in every string of ``length`` bytes the place
-with the smallest rank, which equal strings have in common. All strings that sample
+with the smallest name, which equal strings have in common. All strings that sample
 the same place form a block (its bytes, and where in it the sample lies, have a name
 too), and blocks settle most positions without a second step: where a rank has one
 block only, every string of the block is repeated if the block is, and unique if not.
@@ -108,22 +109,27 @@ def remove_repeated_strings(docs: DataFrame, length: int = 200, id_col: str = "d
     ``finish(data, mask)`` makes the column (a string) from the UTF-8 bytes and the
     mask of the removed ones (None: none): a digest, or ``text_of_kept``. Null
     texts are empty. Every row is a document of its own, also if ids repeat or are
-    null; strings never cross documents and are judged on the input.
+    null; repeated rows remove each other's strings. Strings never cross documents and
+    are judged on the input. Very long texts are named ``SEGMENT`` bytes at a time,
+    without a limit. Other columns of ``docs`` are not read, whatever their names. An
+    empty table gives an empty table with the same columns.
     """
     if length < 2:
         raise ValueError("length must be at least 2")
-    base, n_chunks = N.with_chunks(docs, id_col, text_col, chunk_bytes)
-    id_type = docs.schema[id_col].dataType
+    base, n_chunks = N.chunked_documents(docs, id_col, text_col, chunk_bytes)
+    id_type = base.schema["id"].dataType
     counted = StructType([StructField("id", id_type), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
                           StructField(column, StringType())])
     split = StructType([StructField("open", BooleanType()), *counted, StructField("chunk", LongType()),
                         *[StructField(c, BinaryType()) for c in ("data", "repeated", "rank", "send")]])
 
     def sampled(batches):
+        import zstandard
+        plain = zstandard.ZstdDecompressor()
         box = N.Outbox(n_chunks, "u8")
         for b in batches:
-            for text, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for _, rank, _, _, block in blocks(text.encode(), length):
+            for z, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for _, rank, _, _, block in blocks(plain.decompress(z), length):
                     box.put(chunk, rank, block)
                 if box.size >= N.FLUSH:
                     yield from box.flush()
@@ -197,8 +203,8 @@ def remove_repeated_strings(docs: DataFrame, length: int = 200, id_col: str = "d
         cols = N.columns_of(rows, [pa.int64()] * 3 + [pa.string()])
         return pa.table([docs_table.column("id").combine_chunks(), *cols], counted.names)
 
-    first = N.ask(base.select("text", "chunk").mapInArrow(sampled, N.Outbox.SCHEMA), settle_blocks)
-    level = written(N.packed_documents(base).groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(settle, split), "suffixes")
+    first = N.ask(base.select("data", "chunk").mapInArrow(sampled, N.Outbox.SCHEMA), settle_blocks)
+    level = written(base.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(settle, split), "suffixes")
     waiting = level.where("open")
     second = N.ask(waiting.select("data", "rank", "send", "chunk").mapInArrow(paired, N.Outbox.SCHEMA), N.repeated("u4"))
     removed = waiting.select("id", "chunk", "data", "repeated", "rank").groupBy("chunk") \

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seedweave.llm.simhash import one_per_group, simhash_components, star_components, linked_fingerprints
 from seedweave.llm.substring import remove_repeated_windows, text_of_kept
@@ -47,6 +48,17 @@ def test_byte_strings_equal_brute_force(make_docs, length):
     assert brute.rows(got, *OP7) == brute.ordered(brute.byte_strings(pairs, length))
 
 
+def test_repeated_rows_spread_over_chunks(spark):
+    from seedweave.llm.names import chunked_documents
+    rows = spark.range(8000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"),
+                                    F.when(F.col("id") % 2 == 0, F.concat(F.lit("text "), F.col("id").cast("string")))
+                                    .otherwise(F.lit("repeated")).alias("text"))
+    docs, n = chunked_documents(rows, "doc_id", "text", 1000)
+    sizes = [r["count"] for r in docs.groupBy("chunk").count().collect()]
+    assert len(sizes) == n > 50 and sum(sizes) == 8000 and max(sizes) < 2 * 8000 / n
+    assert docs.where("id IS NULL").select("chunk").distinct().count() == n
+
+
 def test_segments_give_the_same_rows(make_docs, monkeypatch):
     """Long texts are named in segments; short segments must not change a row (in this process)."""
     from seedweave.llm import names, substring, suffix
