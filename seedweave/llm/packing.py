@@ -3,8 +3,8 @@
 A piece goes into the open sequence (or a new one) for which the sum over gaps g
 of N(g)^2 becomes smallest, N(g) being the number of open sequences with g tokens
 left. Pieces as long as a sequence are sequences of their own; only shorter ones
-are placed. They are dealt evenly into groups of at most ``GROUP`` pieces, each
-packed by one task; a group leaves a handful of sequences open, so groups cost a
+are placed. A hash of their row number deals them into groups of about ``GROUP`` pieces,
+each packed by one task; a group leaves a handful of sequences open, so groups cost a
 share of sequences that does not depend on the size of the input.
 """
 
@@ -64,8 +64,10 @@ def document_pieces(length: int):
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``pieces`` (any columns with ``length``) with ``sequence_id`` and ``offset``; lengths must be 1..``length``.
 
-    Equal rows are pieces of their own. An empty table stays empty.
+    Equal rows are pieces of their own. An empty table stays empty. Input columns named
+    ``sequence_id``, ``offset``, ``_pack_row`` or ``_pack_group`` are replaced or left out.
     """
+    pieces = pieces.drop("sequence_id", "offset", "_pack_row", "_pack_group")
     fixed = written(pieces.withColumn("_pack_row", F.monotonically_increasing_id()), "pieces")
     full = fixed.where(F.col("length") == length)
     part = fixed.where(F.col("length") < length)
@@ -81,7 +83,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
         out = table.drop_columns(["_pack_row", "_pack_group"])
         return out.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
 
-    packed = part.withColumn("_pack_group", F.pmod("_pack_row", F.lit(groups))) \
+    packed = part.withColumn("_pack_group", F.pmod(F.xxhash64("_pack_row"), F.lit(groups))) \
         .groupBy("_pack_group").applyInArrow(pack_group, schema)
     own = full.withColumn("sequence_id", F.col("_pack_row") + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(own.drop("_pack_row"))

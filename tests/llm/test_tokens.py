@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seedweave.llm.bpe import byte_bpe, encode_digests, encoded, halves
 from seedweave.llm.catalog import tokenizer_file
@@ -117,6 +118,16 @@ def test_pieces_of_odd_rows(odd_docs, reference):
     packed_well(got.collect(), 2048)
 
 
+def test_groups_are_even_whatever_the_row_numbers(spark):
+    """Few rows per partition: row numbers have common factors with the number of groups."""
+    df = spark.range(6400).repartition(200).selectExpr("id", "cast(1 + id % 7 AS int) AS length", "id AS offset")
+    got = pack(df, 10, group=100)
+    assert got.columns == ["id", "length", "sequence_id", "offset"]
+    sizes = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(sizes) == 64 and max(sizes) <= 200
+    packed_well(got.collect(), 10)
+
+
 def test_extra_columns_stay(spark):
     df = spark.createDataFrame([(1, 3, "x"), (2, 7, None), (3, 10, "y")], "id int, length long, bin string")
     got = pack(df, 10)
