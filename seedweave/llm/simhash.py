@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from seedweave.llm.shared import written
+from seedweave.llm.shared import parts_for, written
 
+MEMBERS = 1 << 16          # posting list members whose neighbours one task names
 BLOCK = 1 << 18            # shingles hashed at once, to bound memory on very long texts
 
 
@@ -73,7 +74,9 @@ def linked_fingerprints(fps: DataFrame, bits: int = 2) -> DataFrame:
     lists = fps.select("fp", F.explode(kept).alias("k")).groupBy("k.c", "k.six") \
         .agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     flips = F.array(*[F.array(*[F.lit(signed(1 << b)) for i in pair for b in range(8 * i, 8 * i + 8)]) for pair in free])
-    member = lists.select("c", F.explode("fps").alias("fp"))
+    # Members grow 17-fold next, so they are dealt out by their number, not by their size now.
+    member = written(lists.select("c", F.explode("fps").alias("fp")), "index-members")
+    member = member.repartition(parts_for(member.count(), MEMBERS, 1))
     if bits == 1:
         # One bit apart: the word with the bit cleared is one of the two.
         named = F.transform(flips[F.col("c")], lambda f: F.col("fp").bitwiseAND(F.bitwise_not(f)))
@@ -138,7 +141,10 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2) -> Data
     """doc_id, fingerprint, component_id of every row of ``docs``.
 
     Texts without words (null, empty) have fingerprint zero and are linked like
-    any other. Rows with null or repeated ids are rows of their own.
+    any other. Rows with null or repeated ids are rows of their own; a group whose ids
+    are all null has a null component_id. Very long texts are hashed ``BLOCK`` shingles
+    at a time, without a limit. Other columns of ``docs`` are not read, whatever their
+    names. An empty table gives an empty table with the same columns.
     """
     rows = written(with_fingerprints(docs.select("doc_id", "text"), "fp", shingle=shingle).drop("text"), "simhash")
     groups = near_duplicate_groups(rows, "doc_id", "fp", bits).withColumnRenamed("fp", "own")
