@@ -18,12 +18,22 @@ from seedweave.session import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the risk-controlled rules keep; cutoffs come from the labelled ones among ``docs``."""
+    """Documents that the risk-controlled rules keep; cutoffs come from the labelled ones among ``docs``.
+
+    Null and empty texts have no words and go by the base rules. Repeated rows are judged
+    one by one and alike; a share equal to a cutoff passes. Null languages are a stratum of
+    their own. An empty table stays empty, and columns named like a measure are kept as they are.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group linked at two or fewer bits, on three-word shingles."""
+    """One document (the smallest id) of each group linked at two or fewer bits, on three-word shingles.
+
+    Texts without words (null, empty) have fingerprint zero and are a group like any other.
+    Null ids stay only where a group has no other; of repeated rows one stays. An empty
+    table stays empty; all columns are returned as they are, names starting with ``_simhash_`` apart.
+    """
     return one_per_group(docs, shingle=3, bits=2)
 
 
@@ -33,7 +43,12 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, placed in sequences of at most 2048 tokens."""
+    """Token pieces of all documents, placed in sequences of at most 2048 tokens.
+
+    Null and empty texts are the end id alone; null ids and repeated rows are documents of
+    their own, ties in length go by row. An empty table gives no pieces. Of ``docs`` only
+    doc_id and text are used, whatever the other columns are called.
+    """
     return pack_documents(docs, tokenizer_file())
 
 
