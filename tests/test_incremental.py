@@ -35,3 +35,14 @@ def test_calls_with_overlapping_ids_and_a_replayed_batch(spark, tmp_path):
     assert rows(run_incremental_labels(spark, into, sink, progress)) == got
     # Nothing new: nothing happens.
     assert rows(run_incremental_labels(spark, into, sink, progress)) == got
+
+
+def test_a_table_that_is_a_folder_of_part_files(spark, tmp_path):
+    from seedweave.plans.catalog_sampling import g1_incremental_labels
+    text = ["the cat and of", "der und des", None, "nothing here"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(text * 3)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(2).write.parquet(f"{tmp_path}/pages.parquet")               # another table beside it
+    want = match.production_labels(docs.select("doc_id", "text"), "text", seeds_from_dict(spark, SEEDS), len(SEEDS))
+    assert rows(g1_incremental_labels(spark, str(tmp_path))) == rows(want)
