@@ -34,7 +34,7 @@ FUNCTIONS = {
                          f"filter(split(regexp_replace(lower(text), r'{char_class(TOKENIZER_FILTERS)}', ' '), ' '), t -> t <> '')"),
     "sw_small_clean": ("text STRING", "STRING",
                        "regexp_replace(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), "
-                       f"r'{DIGIT_WORD_RE}', ''), r'^\\s+|\\s+$', ''), ' +', ' ')"),
+                       f"r'{DIGIT_WORD_RE}', '$1'), r'^\\s+|\\s+$', ''), '  +', ' ')"),
     "sw_sorted_union": ("lists ARRAY<ARRAY<STRING>>", "ARRAY<STRING>", "array_sort(array_distinct(flatten(lists)))"),
     "sw_token_rows": ("text STRING", "ARRAY<STRUCT<pos: INT, word: STRING>>",
                       f"transform(regexp_extract_all(lower(text), r'{WORD_RE}', 0), (w, i) -> named_struct('pos', i, 'word', w))"),
