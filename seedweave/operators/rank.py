@@ -54,13 +54,22 @@ def explode_labels(labelled: DataFrame, labels: str = "labels", *cols) -> DataFr
             .where(F.col("label").isNotNull()))
 
 
-def label_stats(labelled: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
-    """A2 + A5 inputs: (label, word, df_l, tf_l) for documents carrying a labels array."""
-    counts = word_counts(labelled, tokens, labels).where(~F.col("marker"))
-    return by_label(counts).select("label", "word", F.col("df").alias("df_l"), F.col("tf").alias("tf_l"))
+def label_stats(labelled: DataFrame, tokens: str = "tokens", labels: str = "labels",
+                counts: DataFrame | None = None) -> DataFrame:
+    """A2 + A5 inputs: (label, word, df_l, tf_l) for documents carrying a labels array.
+
+    ``counts``: their ``word_counts``, where they are there already.
+    """
+    counts = word_counts(labelled, tokens, labels) if counts is None else counts
+    stats = by_label(counts.where(~F.col("marker")), labels)
+    return stats.select("label", "word", F.col("df").alias("df_l"), F.col("tf").alias("tf_l"))
 
 
-def docs_per_label(labelled: DataFrame, labels: str = "labels") -> DataFrame:
+def docs_per_label(labelled: DataFrame, labels: str = "labels", counts: DataFrame | None = None) -> DataFrame:
+    """(label, n_l); read from the ``word_counts`` where these are given."""
+    if counts is not None:
+        # One row per set of labels.
+        return by_label(counts.where("marker"), labels).select("label", F.col("tf").alias("n_l"))
     return explode_labels(labelled, labels).groupBy("label").agg(F.count(F.lit(1)).alias("n_l"))
 
 
@@ -74,10 +83,11 @@ def rank_table(corpus: DataFrame, labelled: DataFrame, tokens: str = "tokens", l
     """
     n_docs = corpus.agg(F.count(F.lit(1))).scalar()
     dfw = inverse_doc_freq(doc_freq(corpus, tokens), n_docs)
-    ls = label_stats(labelled, tokens, labels).where(F.col("df_l") >= min_df)
+    counts = word_counts(labelled, tokens, labels)
+    ls = label_stats(labelled, tokens, labels, counts).where(F.col("df_l") >= min_df)
     if vocabulary is not None:
         ls = ls.join(vocabulary.select("word").distinct(), "word", "left_semi")
-    nl = docs_per_label(labelled, labels)
+    nl = docs_per_label(labelled, labels, counts)
     j = ls.join(dfw, "word").join(nl, "label")  # one row per label: bounded
     out = j.select(
         "label", "word",
@@ -91,30 +101,30 @@ def rank_table(corpus: DataFrame, labelled: DataFrame, tokens: str = "tokens", l
 DOCUMENT = ""
 
 
-def word_counts(labelled: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
+def word_counts(labelled: DataFrame, tokens: str = "tokens", *labels: str) -> DataFrame:
     """(labels, word, df, tf, marker) in one pass: per set of labels, written once.
 
-    A document counts under its whole label array, so that a token is one row whatever the
-    number of its labels; ``by_label`` turns the few counts into those of each label.
-    ``marker`` tells the row that counts documents from those of words. A document's
-    tokens are sorted inside its row, so the first of equal tokens counts for the
-    document frequency and each for the term frequency. Everything read from the counts
-    reads the files, so no plan on top of them can run the corpus again.
+    A document counts under its whole label array (``labels``, or several such columns), so that
+    a token is one row whatever the number of its labels; ``by_label`` turns the few counts into
+    those of each label of a column. ``marker`` tells the row that counts documents from those of words.
+    A document's tokens are followed by its distinct ones, so that a row counts for the term frequency or, from
+    there on, for the document frequency. Everything read from the counts reads the files, so no
+    plan on top of them can run the corpus again.
     """
-    words = labelled.select(F.coalesce(labels, F.array().cast("array<string>")).alias("_l"), F.sort_array(tokens).alias("_s"))
-    first = F.transform("_s", lambda w, i: F.struct(w.alias("word"), (
-        (i == 0) | (F.get(F.col("_s"), i - 1) != w)).cast("int").alias("first")))
-    marker = F.array(F.struct(F.lit(DOCUMENT).alias("word"), F.lit(1).alias("first")))
+    labels = labels or ("labels",)
+    none = F.array().cast("array<string>")
     # Empty or null tokens and labels: the document still counts.
-    rows = words.select("_l", F.explode_outer(F.coalesce(F.concat(first, marker), marker)).alias("x")).select("_l", "x.*")
-    counts = rows.groupBy(F.col("_l").alias("labels"), "word").agg(
-        F.sum("first").alias("df"), F.count(F.lit(1)).alias("tf"), F.max(F.col("word") == DOCUMENT).alias("marker"))
-    return stored(counts, "word-counts")
+    words = labelled.select(*[F.coalesce(c, none).alias(c) for c in labels],
+                            F.concat(F.coalesce(tokens, none), F.array(F.lit(DOCUMENT))).alias("_w"))
+    rows = words.select(*labels, F.size("_w").alias("_n"), F.posexplode_outer(F.concat("_w", F.array_distinct("_w"))).alias("_i", "word"))
+    distinct = F.col("_i") >= F.col("_n")
+    counts = rows.groupBy(*labels, "word").agg(F.count_if(distinct).alias("df"), F.count_if(~distinct).alias("tf"))
+    return stored(counts.withColumn("marker", F.col("word") == DOCUMENT), "word-counts")
 
 
-def by_label(counts: DataFrame) -> DataFrame:
+def by_label(counts: DataFrame, labels: str = "labels") -> DataFrame:
     """(label, word, df, tf, marker) of ``word_counts``; a label that a document has twice counts twice."""
-    return explode_labels(counts, "labels", "word", "df", "tf", "marker").groupBy("label", "word").agg(
+    return explode_labels(counts, labels, "word", "df", "tf", "marker").groupBy("label", "word").agg(
         F.sum("df").alias("df"), F.sum("tf").alias("tf"), F.max("marker").alias("marker"))
 
 
@@ -123,21 +133,20 @@ def over_corpus(counts: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"), F.max("marker").alias("marker"))
 
 
-def rank_labelled(labelled: DataFrame, tokens: str = "tokens", labels: str = "labels", min_df: int = 5,
-                  vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def rank_labelled(labelled: DataFrame | None, tokens: str = "tokens", labels: str = "labels", min_df: int = 5,
+                  vocabulary: DataFrame | None = None, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A6 where the labelled documents are the whole corpus: (``rank_table``, (label, n_l)).
 
-    One scan and one shuffle of the corpus: both results read the same written counts.
+    One scan and one shuffle of the corpus: both results read the same written counts. With
+    ``counts``, the corpus' ``word_counts`` by ``labels``, the corpus isn't read at all.
     """
-    counts = word_counts(labelled, tokens, labels)
-    size = F.greatest("df", "tf").alias("n")
-    head = counts.where("marker")                                 # one row per set of labels
-    n_docs = over_corpus(head).select(size).scalar()
-    sizes = by_label(head).select("label", size.alias("n_l"))     # one row per label
+    counts = word_counts(labelled, tokens, labels) if counts is None else counts
+    n_docs = over_corpus(counts.where("marker")).select("tf").scalar()      # one row per set of labels
+    sizes = docs_per_label(labelled, labels, counts)                        # one row per label
     words = counts.where(~F.col("marker"))
     # A word has at least as many documents as it has under a label.
     freq = over_corpus(words).where(F.col("df") >= min_df).select("word", F.col("df").alias("_df"))
-    ls = by_label(words).where(F.col("df") >= min_df)
+    ls = by_label(words, labels).where(F.col("df") >= min_df)
     if vocabulary is not None:
         ls = ls.join(vocabulary.select("word").distinct(), "word", "left_semi")
     out = ls.join(freq, "word").join(sizes, "label").select(
@@ -180,16 +189,22 @@ def rank_bags(labelled: DataFrame, bag: str, freq: DataFrame, n_docs: int, label
     return out.withColumn("rank", F.col("reldocfreq") * F.col("idf") * F.col("rel_freq")), sizes
 
 
-def subset_stats(corpus: DataFrame, subset: DataFrame, tokens: str = "tokens", group: str = "label",
-                 top: int = 80) -> DataFrame:
+def subset_stats(corpus: DataFrame, subset: DataFrame | None = None, tokens: str = "tokens", group: str = "label",
+                 top: int = 80, counts: DataFrame | None = None) -> DataFrame:
     """Rank of every word of each subset against the whole corpus, top ``top``.
 
-    ``subset`` has a ``group`` column and a tokens column; threshold 0. All
+    ``subset`` has a ``group`` column and a tokens column; threshold 0. Without it the
+    groups are those of ``corpus`` itself, which is then read once, or not at all with its
+    ``word_counts`` by the column ``group`` (one-element arrays) as ``counts``. All
     groups are ranked in one pass (window partitioned by group); ties go to
     the alphabetically first word.
     """
-    labelled = subset.select(F.array(F.col(group)).alias("labels"), tokens)
-    r = rank_table(corpus, labelled, tokens, "labels", min_df=0)
+    if subset is None:
+        grouped = corpus.select(F.array(F.col(group)).alias(group), tokens) if counts is None else None
+        r, _ = rank_labelled(grouped, tokens, group, min_df=0, counts=counts)
+    else:
+        labelled = subset.select(F.array(F.col(group)).alias("labels"), tokens)
+        r = rank_table(corpus, labelled, tokens, "labels", min_df=0)
     w = Window.partitionBy("label").orderBy(F.desc("rank"), F.asc("word"))
     return r.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top).withColumnRenamed("label", group)
 
