@@ -9,6 +9,7 @@ from seedweave.operators import match
 from seedweave.operators import metrics as mt
 from seedweave.operators import rank as rk
 from seedweave.operators.common import cut_lineage, local_table
+from seedweave.operators.match import inrow_share_labels
 from seedweave.plans.catalog_labels import _P2_SQL, _SHARES_SQL, _p2, _shares
 from seedweave.plans.catalog_rank import SEEDS_U6, _P15_SQL, _corpus_sql, _round1, corpus, labelled
 from seedweave.plans.fixtures import SEEDS, seeds_values_sql, sql_filter_tokens, sql_str
@@ -175,8 +176,11 @@ FROM best b LEFT JOIN newd n ON n.label = b.label AND n.word = b.word GROUP BY b
 def n3_best_dictionary_coverage(spark, sf):
     """Share of each label's 80 best words (by true label) found in the round-1 dictionary."""
     c = corpus(spark, sf)
-    best = rk.subset_stats(c, c.select("lang", "tokens"), group="lang", top=80).select(F.col("lang").alias("label"), "word")
-    last = _round1(spark, sf).select("label", "word", F.lit(1).alias("hit"))
+    # One pass counts the words by pseudo-labels and by true label; both rankings read its files.
+    lab = inrow_share_labels(c, "ftok", SEEDS_U6).select("tokens", "labels", F.array("lang").alias("lang"))
+    counts = rk.word_counts(lab, "tokens", "labels", "lang")
+    best = rk.subset_stats(c, group="lang", top=80, counts=counts).select(F.col("lang").alias("label"), "word")
+    last = _round1(spark, sf, counts).select("label", "word", F.lit(1).alias("hit"))
     j = best.join(last, ["label", "word"], "left")
     return j.groupBy("label").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("coverage"))
 
