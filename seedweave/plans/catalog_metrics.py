@@ -14,7 +14,7 @@ from seedweave.plans.catalog_labels import _P2_SQL, _SHARES_SQL, _p2, _shares
 from seedweave.plans.catalog_rank import SEEDS_U6, _P15_SQL, _corpus_sql, _round1, corpus, labelled
 from seedweave.plans.fixtures import SEEDS, seeds_values_sql, sql_filter_tokens, sql_str
 from seedweave.plans.registry import query
-from seedweave.session import table
+from seedweave.session import spread_table, table
 from seedweave.sources.dictionaries import seeds_from_dict
 from seedweave.sources.runs import new_history, read_runs, write_round
 
@@ -194,10 +194,12 @@ FROM seeds s LEFT JOIN rt USING (label, word) WHERE rt.rank IS NULL
 """)
 def n6_unmatched_seeds(spark, sf):
     """Seeds without a rank, with the reason."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    v = match.explode_tokens(d, filter_tokens("text")).select("word").distinct().withColumn("seen", F.lit(True))
-    ranks, sizes = rk.rank_labelled(labelled(corpus(spark, sf), SEEDS_U6), min_df=5)
+    d = spread_table(spark, sf, "documents", "doc_id", "text")
     s = seeds_from_dict(spark, SEEDS_U6).select("label", "word")
+    # Only the words of the dictionary are looked for: no other leaves the scan.
+    v = match.explode_tokens(d, filter_tokens("text")).join(s.select("word").distinct(), "word", "left_semi")
+    v = v.select("word").distinct().withColumn("seen", F.lit(True))
+    ranks, sizes = rk.rank_labelled(labelled(corpus(spark, sf), SEEDS_U6), min_df=5)
     j = s.join(ranks.select("label", "word"), ["label", "word"], "left_anti").join(v, "word", "left").join(sizes, "label", "left")
     reason = F.when(F.col("seen").isNull(), "not in corpus").when(F.col("n_l").isNull(), "label without documents") \
         .otherwise("below the document frequency")
