@@ -8,7 +8,7 @@ from seedweave.functions.text import filter_tokens
 from seedweave.operators import match
 from seedweave.operators import metrics as mt
 from seedweave.operators import rank as rk
-from seedweave.operators.common import cut_lineage, local_table
+from seedweave.operators.common import local_table, stored
 from seedweave.operators.match import inrow_share_labels
 from seedweave.plans.catalog_labels import _P2_SQL, _SHARES_SQL, _p2, _shares
 from seedweave.plans.catalog_rank import SEEDS_U6, _P15_SQL, _corpus_sql, _round1, corpus, labelled
@@ -256,13 +256,17 @@ acc AS (SELECT k.run, k.iteration, avg(CASE WHEN coalesce(s.p, '') = d.lang THEN
 
 def _history(spark, sf):
     """The runs' reports, written by run and round and read back."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    truth = docs.select("doc_id", F.col("lang").alias("label"))
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
+    truth = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"))
     labels = local_table(spark, [(l,) for l in LABELS], ["label"])
     path = new_history(spark)
     seeds = seeds_from_dict(spark, SEEDS_U6).select("label", "word")
-    for it, d in enumerate((seeds, cut_lineage(_round1(spark, sf)))):
-        counts = cut_lineage(match.label_counts(match.explode_tokens(docs, filter_tokens("text")), d))
+    # Both dictionaries are matched in one pass; the second is read from a file, whose size Spark knows.
+    dicts = [d.withColumn("iteration", F.lit(it)) for it, d in enumerate((seeds, stored(_round1(spark, sf), "dictionary")))]
+    tokens = match.explode_tokens(docs, filter_tokens("text"))
+    hits = stored(match.label_counts(tokens, dicts[0].unionByName(dicts[1]), "iteration"), "label-counts")
+    for it in range(len(dicts)):
+        counts = hits.where(F.col("iteration") == it).drop("iteration")
         for run, threshold in RUNS.items():
             pred = match.share_rule(counts, len(SEEDS_U6), threshold)
             conf = mt.confusion(pred, truth, truth, labels)
