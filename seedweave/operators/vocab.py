@@ -9,16 +9,41 @@ from seedweave.functions.text import explode_nonempty, filter_tokens, sentences
 from seedweave.operators.windows import global_index
 
 
+# Words that a join by words may keep on every executor.
+FREQUENT_WORDS = 1 << 16
+INDEX_BITS = (1 << 32) - 1
+
+
 def token_rows(docs: DataFrame, tokens, id_col: str = "doc_id") -> DataFrame:
     return explode_nonempty(docs, tokens, "word", F.col(id_col).alias("doc_id"), with_pos="pos")
 
 
+def _first_seen(docs: DataFrame, tokens, id_col: str, *aggregates) -> DataFrame:
+    """(word, aggregates over its tokens, first_seen): the least (doc_id, pos) of every word.
+
+    The least of a struct makes Spark sort all tokens; integer ids whose range has up to 31
+    bits go with the position into one number instead, whose least is kept in a hash table.
+    """
+    t = token_rows(docs, tokens, id_col)
+    kind = dict(t.dtypes)["doc_id"]
+    low = None
+    if kind in ("smallint", "int", "bigint"):
+        ids = F.col(id_col).cast("decimal(20,0)")
+        r = docs.agg(F.min(ids).alias("low"), F.max(ids).alias("high"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
+        if r["low"] is not None and not r["nulls"] and r["high"] - r["low"] < 1 << 31:
+            low = int(r["low"])
+    if low is None:
+        return t.groupBy("word").agg(*aggregates, F.min(F.struct("doc_id", "pos")).alias("first_seen"))
+    place = F.shiftleft(F.col("doc_id").cast("long") - F.lit(low).cast("long"), 32) + F.col("pos")
+    v = t.groupBy("word").agg(*aggregates, F.min(place).alias("_place"))
+    first = F.struct((F.shiftright("_place", 32) + F.lit(low).cast("long")).cast(kind).alias("doc_id"),
+                     F.col("_place").bitwiseAND(INDEX_BITS).cast("int").alias("pos"))
+    return v.withColumn("first_seen", first).drop("_place")
+
+
 def vocabulary(docs: DataFrame, tokens, id_col: str = "doc_id", max_words: int | None = None) -> DataFrame:
     """(word, tf, first_seen, idx); idx 1-based by frequency, first seen on ties."""
-    t = token_rows(docs, tokens, id_col)
-    v = t.groupBy("word").agg(
-        F.count(F.lit(1)).alias("tf"),
-        F.min(F.struct("doc_id", "pos")).alias("first_seen"))
+    v = _first_seen(docs, tokens, id_col, F.count(F.lit(1)).alias("tf"))
     v = global_index(v, [F.desc("tf"), F.asc("first_seen"), F.asc("word")], "idx", start=1)
     if max_words is not None:  # T6: keep indices below the cut
         v = v.where(F.col("idx") < max_words)
@@ -27,18 +52,27 @@ def vocabulary(docs: DataFrame, tokens, id_col: str = "doc_id", max_words: int |
 
 def first_seen_index(docs: DataFrame, tokens, id_col: str = "doc_id", start: int = 0) -> DataFrame:
     """Index of words in order of first appearance."""
-    t = token_rows(docs, tokens, id_col)
-    v = t.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("first_seen"))
+    v = _first_seen(docs, tokens, id_col)
     return global_index(v, [F.asc("first_seen"), F.asc("word")], "idx", start=start)
 
 
 def to_indices(docs: DataFrame, tokens, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids array<long>) in token order; unknown words are skipped."""
+    """(doc_id, ids array<long>) in token order; unknown words are skipped.
+
+    Words with an index up to ``FREQUENT_WORDS`` (most tokens) are looked up where the text is read;
+    only the tokens of others are shuffled to meet the rest of the vocabulary. A token is one
+    number (position, then index), which is cheaper to collect and sort than a struct.
+    """
     t = token_rows(docs, tokens, id_col)
     v = vocab.select("word", "idx")
-    j = t.join(v, "word")
-    agg = j.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "idx")).alias("items"))
-    return agg.select("doc_id", F.transform(F.array_sort("items"), lambda s: s["idx"]).alias("ids"))
+    known, rest = F.broadcast(v.where(F.col("idx") <= FREQUENT_WORDS)), v.where(F.col("idx") > FREQUENT_WORDS)
+    rare = t.join(known.select("word"), "word", "left_anti").join(rest, "word")
+    j = t.join(known, "word").unionByName(rare)
+    fits = F.col("idx").between(0, INDEX_BITS)
+    item = F.when(fits, F.shiftleft(F.col("pos").cast("long"), 32) + F.col("idx")).otherwise(
+        F.raise_error(F.lit("indices must be 0 to 2^32 - 1")).cast("long"))
+    agg = j.groupBy("doc_id").agg(F.collect_list(item).alias("items"))
+    return agg.select("doc_id", F.transform(F.sort_array("items"), lambda i: i.bitwiseAND(INDEX_BITS)).alias("ids"))
 
 
 def doc_tensor(docs: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "doc_id",
